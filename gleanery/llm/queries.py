@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import best_fit, lines, pii, token_counts, toxicity
+from gleanery.llm import best_fit, exact, lines, near, pii, token_counts, toxicity
 from gleanery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicated(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+EXACT_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents),
+g AS (SELECT doc_id, h, count(*) OVER (PARTITION BY h) AS size, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, size::BIGINT AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
+"""
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -55,5 +70,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op6_pii, op8_token_counts, op10_line_dedup)}
-ORACLES: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_minhash_near_dedup, op6_pii, op8_token_counts, op10_line_dedup)}
+ORACLES: dict[str, str] = {"op4_exact_dedup": EXACT_DEDUP_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
