@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import best_fit, exact, lines, near, pii, token_counts, toxicity
+from gleanery.llm import best_fit, exact, lines, media, near, pii, spm, token_counts, toxicity
 from gleanery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,11 +49,19 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encoded(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.inspect(media.store(documents(spark, sf_dir)))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.without_repeated_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -70,5 +78,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_minhash_near_dedup, op6_pii, op8_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_minhash_near_dedup, op6_pii, op7_sentencepiece, op8_token_counts, op9_progressive_jpeg, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": EXACT_DEDUP_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
