@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import best_fit, exact, lines, media, near, pii, spm, token_counts, toxicity
+from gleanery.llm import best_fit, exact, lines, media, near, pii, spm, suffix, token_counts, toxicity
 from gleanery.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicated(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -78,5 +82,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_minhash_near_dedup, op6_pii, op7_sentencepiece, op8_token_counts, op9_progressive_jpeg, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_exact_dedup, op5_minhash_near_dedup, op6_pii, op7_sentencepiece, op8_token_counts, op9_progressive_jpeg, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": EXACT_DEDUP_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
