@@ -31,9 +31,27 @@ from gleanery.llm.common import map_batches, materialize, texts
 SEQUENCE = 2048
 OPEN_BINS = 2048
 #: Distinct words that a Python worker remembers before it starts anew.
-CACHE_WORDS = 1 << 19
-#: A space that has white space before and white space or nothing behind belongs to a longer run.
-RUN = re.compile(r"\s \s|\s \Z")
+CACHE_WORDS = 1 << 20
+#: Below this code point, Python's classes of letters and numbers are the tokenizer's; words beyond it are left to the library's expression.
+WELL_KNOWN = 0x250
+
+
+def _class(test) -> str:
+    return "".join(re.escape(chr(c)) for c in range(WELL_KNOWN) if test(chr(c)))
+
+
+SIMPLE = re.compile(f" [\\x21-\x84\x86-\x9f\xa1-{chr(WELL_KNOWN - 1)}]+")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_class(str.isalpha)}]+| ?[{_class(str.isnumeric)}]+| ?[^ {_class(lambda c: c.isalpha() or c.isnumeric())}]+")
+
+
+def byte_symbols() -> dict[int, str]:
+    """The printable character that stands for each byte: itself if it is one, else the next from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+SYMBOLS = byte_symbols()
 
 
 class Encoder:
@@ -41,8 +59,8 @@ class Encoder:
 
     A byte-level tokenizer never joins what stands before a single space with that
     space and the word behind it, so texts are taken apart at single spaces and each
-    distinct word is encoded once. Texts with runs that this can't cut, and texts with
-    special strings, go to the library whole.
+    distinct word is encoded once. Texts with longer runs of white space that this
+    can't cut, and texts with special strings, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,6 +70,7 @@ class Encoder:
         self.pre, self.model = self.tok.pre_tokenizer, self.tok.model
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -61,23 +80,43 @@ class Encoder:
         return out.tobytes()
 
     def _word(self, word: str) -> bytes:
-        return self._bytes([t.id for piece, _ in self.pre.pre_tokenize_str(word) for t in self.model.tokenize(piece)])
+        if not SIMPLE.fullmatch(word):
+            return self._bytes([t.id for piece, _ in self.pre.pre_tokenize_str(word) for t in self.model.tokenize(piece)])
+        out, known = [], self.pieces
+        for piece in PIECES.findall(word):
+            if (ids := known.get(piece)) is None:
+                if len(known) >= CACHE_WORDS // 4:
+                    known.clear()
+                ids = known[piece] = self._bytes([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(SYMBOLS))])
+            out.append(ids)
+        return b"".join(out)
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if any(m in text for m in self.marks) or RUN.search(text):
-            return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
+        if any(m in text for m in self.marks):
+            return self._whole(text)
         first, *rest = text.split(" ")
         known = self.words
         got = list(map(known.get, rest))
         if None in got:
             for i, ids in enumerate(got):
-                if ids is None and (ids := known.get(rest[i])) is None:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    ids = self._word(" " + rest[i])
-                    if len(rest[i]) <= 64:
-                        known[rest[i]] = ids
-                got[i] = ids
+                if ids is None:
+                    word = rest[i]
+                    if not word or word[0].isspace():
+                        # the space before it belongs to a longer run if white space stands before that too, or nothing behind
+                        before = rest[i - 1] if i else first
+                        if not before or before[-1].isspace() or not word:
+                            return self._whole(text)
+                        ids = self._word(" " + word)
+                    elif (ids := known.get(word)) is None:
+                        if len(known) >= CACHE_WORDS:
+                            known.clear()
+                        ids = self._word(" " + word)
+                        if len(word) <= 64:
+                            known[word] = ids
+                    got[i] = ids
         return b"".join([self._word(first), *got])
 
 
