@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gleanery.functions.text import tag_normalised
 from gleanery.functions.vectors import cosine
@@ -23,7 +24,7 @@ def histogram(notes: DataFrame) -> DataFrame:
     return own.filter("tag <> ''").groupBy("tag").agg(F.count(F.lit(1)).alias("notes"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spelling(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching runs (Ratcliff and Obershelp)."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
