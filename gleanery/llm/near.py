@@ -1,15 +1,17 @@
 """Near-duplicate detection by MinHash with odd sketches, confirmed on full sets.
 
 A document's set holds its distinct word shingles. One pass takes MinHash samples of the
-set: bands of samples give bucket keys, and all samples together are folded into an odd
-sketch, a bitmap in which each sample flips a bit. Where two sketches differ in more
-bits than sets of the wanted similarity can cause (six standard deviations allowed), the
-pair is no candidate, whatever buckets it shares.
+set: bands of independent samples give bucket keys, and the ``BOTTOM`` least hashes are
+folded into an odd sketch, a bitmap in which each sample flips a bit. Two sketches differ
+in no more bits than their samples differ in elements, so a pair whose sketches differ
+in more than the wanted similarity allows is no candidate, whatever buckets it shares.
+For sets of at most ``BOTTOM`` shingles the samples are the sets and that bound is
+strict; for larger ones it allows six standard deviations.
 
 Documents with equal sets are one class from the start. Buckets never emit all their
 pairs: in the first round each member is compared with the bucket's first member, links
 are confirmed by the full sets and joined into components, and only buckets with members
-of several components go on, with eight times as many members to compare with in
+of several components go on, with ever more members to compare with in
 every round, until every pair of different components has been compared. No link is left
 out by this, and a bucket whose members are all alike is done after one round. Hot
 members are salted.
@@ -36,13 +38,14 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import map_batches, materialize, texts
 
 SAMPLES = 130
-SKETCH_BITS = 512
+BOTTOM = 512
+SKETCH_BITS = 1024
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 MISSED = 1e-6
 CACHE_WORDS = 1 << 20
 #: Pairs with one member that meet one copy of its set.
 PAIRS_A_COPY = 4096
-GROWTH = 8
+GROWTH = 32
 
 
 def band_rows(similarity: float) -> int:
@@ -51,9 +54,16 @@ def band_rows(similarity: float) -> int:
     return max(fits, default=1)
 
 
-def most_bits(similarity: float) -> int:
-    """Bits in which the sketches of a pair at the threshold differ at most: two for every sample that differs."""
-    return math.ceil(2 * (SAMPLES * (1 - similarity) + 6 * math.sqrt(SAMPLES * similarity * (1 - similarity))))
+def most_bits(least: Column, greatest: Column, similarity: float) -> Column:
+    """Bits in which the sketches of two sets of these sizes can differ if they are similar enough.
+
+    Similar sets differ in at most ``c`` of their sizes' sum. Samples of larger sets end at different hashes, too: the smaller set's samples reach
+    further by what it is smaller.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    apart_by = c * (least + greatest)
+    expected = apart_by * BOTTOM / greatest + BOTTOM * (1 - least / greatest)
+    return F.when(greatest <= BOTTOM, apart_by + 1e-6).when(least <= BOTTOM, apart_by + (greatest - BOTTOM) + 1e-6).otherwise(expected + 6 * F.sqrt(expected) + 6)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,9 +114,9 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """The samples' parity bitmap, as 64-bit words."""
-    at = (mixed(least ^ MULTIPLY) % np.uint64(SKETCH_BITS)).astype(np.int64)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity bitmap of the least hashes of a sorted set, as 64-bit words."""
+    at = (mixed(shingles[:BOTTOM] ^ MULTIPLY[0]) % np.uint64(SKETCH_BITS)).astype(np.int64)
     odd = (np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
@@ -122,7 +132,7 @@ def bands(least: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, n, high, low, sketch, bands): size and 128-bit name of each document's set, and its sketch and bucket keys."""
+    """(doc_id, body, n, high, low, sketch, bands) of rows (doc_id, text, body): size and 128-bit name of each document's set, and its sketch and bucket keys."""
     per_band = band_rows(similarity)
 
     def make():
@@ -136,23 +146,23 @@ def signatures(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
                 if len(own):
                     least = samples(own)
-                    sketches.append(odd_sketch(least))
+                    sketches.append(odd_sketch(own))
                     keys.append(bands(least, per_band).view(np.int64))
                 else:
                     sketches.append(np.zeros(len(SKETCH), np.uint64))
                     keys.append(np.zeros(0, np.int64))
             name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             sketch = np.array(sketches).view(np.int64)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy())]
+            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy())]
             cols += [pa.array(sketch[:, k].copy()) for k in range(len(SKETCH))]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))))
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "high", "low", *SKETCH, "bands"])
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "body", "n", "high", "low", *SKETCH, "bands"])
 
         return step
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, make, f"doc_id {kind}, n long, high long, low long, {', '.join(f'{s} long' for s in SKETCH)}, bands array<long>")
+    return map_batches(rows, make, f"doc_id {kind}, body long, n long, high long, low long, {', '.join(f'{s} long' for s in SKETCH)}, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -194,9 +204,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node with an edge (a, b); comp is the component's smallest node. Rounds of large and small stars."""
-    seen = None
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """(node, comp) of every node with an edge (a, b); comp is the component's smallest node. Rounds of large and small stars until each node has one edge, to a node that has none down."""
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         # large stars: neighbours above a node move to the least node around it
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -206,15 +215,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = materialize(small, "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        loose = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR down = 1 AND up = 1")
+        if loose.isEmpty():
             roots = edges.select(F.col("b").alias("node")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
-        seen = state
 
 
 def linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and (high, low, cls, rep, comp) of every set; comp is null for sets without a link."""
+    """Signatures of all rows (doc_id, text, body), and (high, low, cls, rep, comp) of every set; comp is null for sets without a link."""
     similarity = percent / 100
     signed = materialize(signatures(rows, words, similarity).withColumn("row", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n", *SKETCH, "bands")).alias("f")
@@ -233,7 +242,7 @@ def linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     held = rows.withColumnsRenamed({"doc_id": "own"}).join(wanted, F.col("own").eqNullSafe(F.col("rep"))).select("cls", "high", "low", "text")
     full = materialize(shingle_sets(held, words).dropDuplicates(["cls"]), "shingle-sets")
 
-    links, comps = None, None
+    comps = None
     done, most, turn = 0.0, (inside.agg(F.max("size")).first()[0] or 0), 0
     state = inside
     while most > 1:
@@ -252,13 +261,14 @@ def linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
             picked = (F.col("u") != F.col("first")) & (share >= done) & ((share < now) | F.lit(now >= most))
         x, y = labelled.filter(picked).alias("x"), labelled.alias("y")
         later = (F.col("x.u") < F.col("y.u")) if turn else (F.col("x.u") != F.col("y.u"))
-        sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-        near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & later & (F.col("x.of") != F.col("y.of")) & sizes & (apart("x", "y") <= most_bits(similarity)))
+        small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+        sizes = 100 * small >= percent * large
+        near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & later & (F.col("x.of") != F.col("y.of")) & sizes & (apart("x", "y") <= most_bits(small, large, similarity)))
         pairs = materialize(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "candidates")
         new = materialize(confirmed(pairs, full, percent), "links")
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            comps = materialize(components(links), "components")
+            so_far = new if comps is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+            comps = materialize(components(so_far), "components")
         state = labelled.drop("of", "comp") if turn else state
         done, turn = max(now, 0.0), turn + 1
     found = classes.select("high", "low", "cls", "rep")
@@ -267,18 +277,25 @@ def linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     return signed, found.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; the component's smallest id is kept."""
-    signed, found = linked(texts(docs, id_col, text_col), words, percent)
+def _near_rows(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, body, n_shingles, component_id, kept) of every row; body: a hash of the text."""
+    signed, found = linked(texts(docs, id_col, text_col).withColumn("body", F.xxhash64("text")), words, percent)
     found = found.withColumn("comp", F.coalesce("comp", "cls"))
     least = found.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = found.join(least, "comp").select("high", "low", "component_id")
-    some = signed.filter("n > 0").join(named, ["high", "low"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    some = signed.filter("n > 0").join(named, ["high", "low"]).select("doc_id", "body", F.col("n").alias("n_shingles"), "component_id")
+    none = signed.filter("n = 0").select("doc_id", "body", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; the component's smallest id is kept."""
+    return _near_rows(docs, words, percent, id_col, text_col).drop("body")
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of each component's smallest id and those without near duplicates, with all their columns."""
-    gone = materialize(near_duplicates(docs, words, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("gone")), "left_anti")
+    found = _near_rows(docs, words, percent, id_col, text_col)
+    gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("body").alias("_gone_body")).distinct(), "near-copies")
+    body = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")) & (body == F.col("_gone_body")), "left_anti")

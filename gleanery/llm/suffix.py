@@ -4,17 +4,19 @@ A byte goes if a string of ``length`` bytes covers it that also starts anywhere
 the texts, the same text included. All starts are judged, by these steps:
 
 1. Every start has an anchor: of the 64-grams inside its string, the one with the least
-   hash, the leftmost of equals. Equal strings have equal anchors at equal places.
-   Neighbouring starts with one anchor form a context, about every 170 bytes, and only
+   hash, the leftmost of equals. Equal strings have equal anchors at equal places. An
+   anchor's bucket is refined at once by the bytes beside it, which the string has too:
+   those before it if it lies in the string's right half, else those behind it.
+   Neighbouring starts with one bucket form a context, about every 120 bytes, and only
    its hashes leave the pass over the texts.
-2. Anchors that occur once are done. Where all contexts of an anchor are equal, all
+2. Buckets that occur once are done. Where all contexts of a bucket are equal, all
    their starts are repeated. The rest is undecided, one context for each distinct hash.
-3. The bytes of undecided contexts are dealt by anchor and refined as a suffix array
+3. The bytes of undecided contexts are dealt by bucket and refined as a suffix array
    would be: buckets of 8-grams, then buckets by the bucket identifiers at later offsets,
    each refinement reused for the next, until a bucket means equal strings of ``length``
    bytes. Suffixes alone in their bucket drop out on the way, and the refinement is of
    bytes, not of hashes.
-4. Anchors with very many contexts are split by hash. A part settles what it can and
+4. Buckets with very many contexts are split by hash. A part settles what it can and
    sends one hash for each of its strings, to be matched with the other parts'.
 5. Repeated starts become spans, and a last pass over the texts cuts them out.
 
@@ -41,6 +43,8 @@ GRAM = 64
 Q = 8
 #: Bytes of texts that one step of the first pass looks at.
 SLICE = 1 << 18
+#: Bytes of texts whose contexts are found together.
+SEGMENT = 1 << 22
 #: Contexts of an anchor that are refined together, and bytes of a group of anchors, about.
 PART, TASK_BYTES = 1000, 1 << 20
 
@@ -74,49 +78,72 @@ def least_of(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - rest], keys[rest:]) if rest else keys
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every start of a string of ``length`` bytes, its anchor's place and hash."""
-    places, hashes = [], []
-    n = len(data) - length + 1
-    for at in range(0, n, SLICE):
-        part = data[at : at + SLICE + length - 1]
-        h = gram_hashes(part)
-        keys = h & np.uint64(0xFFFFFFFFFFF00000) | np.arange(len(h), dtype=np.uint64)
-        place = (least_of(keys, length - GRAM + 1) & np.uint64(0xFFFFF)).astype(np.int64)
-        places.append(place + at)
-        hashes.append(h[place])
-    return np.concatenate(places), np.concatenate(hashes)
-
-
 def contexts_of(held: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, start, starts, lead, anchor, hash) of every context; lead: bytes from the first start to the anchor."""
+    """(text, start, starts, bucket, hash) of every context: starts with one bucket, and a hash of all their bytes."""
     sizes = np.array([len(b) for b in held], np.int64)
     own = np.maximum(sizes - length + 1, 0)
     if not own.sum():
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 5
     buffer = b"".join(held)
-    place, hashes = anchors(np.frombuffer(buffer, np.uint8), length)
+    data = np.frombuffer(buffer, np.uint8)
+    grams = np.concatenate([gram_hashes(data[at : at + SLICE + GRAM - 1]) for at in range(0, len(data) - GRAM + 1, SLICE)])
+    places = []
+    for at in range(0, len(data) - length + 1, SLICE):
+        part = grams[at : at + SLICE + length - GRAM]
+        keys = part & np.uint64(0xFFFFFFFFFFF00000) | np.arange(len(part), dtype=np.uint64)
+        places.append((least_of(keys, length - GRAM + 1) & np.uint64(0xFFFFF)).astype(np.int64) + at)
+    place = np.concatenate(places)
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     text = np.repeat(np.arange(len(held)), own)
     starts = np.arange(len(text)) - np.repeat(np.cumsum(own) - own, own) + base[text]
-    place, hashes = place[starts], hashes[starts]
-    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+    place = place[starts]
+    half = (length - GRAM) // 2
+    right = place - starts >= half
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (right[1:] != right[:-1]) | (text[1:] != text[:-1])]))
     count = np.diff(np.concatenate([first, [len(starts)]]))
-    begin = starts[first]
+    begin, place, right = starts[first], place[first], right[first]
+    bucket = grams[place] * FACTORS[0] + right.astype(np.uint64)
+    if half >= GRAM:
+        beside = np.where(right, place - half, place + GRAM)
+        for f, shift in zip(FACTORS[1:], (0, (half - GRAM) // 2, half - GRAM), strict=False):
+            bucket = mixed(bucket + grams[beside + shift] * f)
     view = memoryview(buffer)
     digest = np.array([xxhash.xxh3_64_intdigest(view[s : s + n + length - 1]) for s, n in zip(begin.tolist(), count.tolist(), strict=True)], np.uint64)
-    return text[first], begin - base[text[first]], count, place[first] - begin, hashes[first].view(np.int64), digest.view(np.int64)
+    return text[first], begin - base[text[first]], count, bucket.view(np.int64), digest.view(np.int64)
+
+
+def segments(held: list[str], length: int) -> list[tuple[list[int], list[int], list[bytes]]]:
+    """Texts as bytes in groups of at most about SEGMENT: (rows, offsets, bytes). A longer text is cut into pieces that overlap by a string less a byte, so that every start is in one of them."""
+    out: list[tuple[list[int], list[int], list[bytes]]] = []
+    room = 0
+    for row, text in enumerate(held):
+        own = text.encode()
+        for at in range(0, max(1, len(own) - length + 1), SEGMENT):
+            piece = own[at : at + SEGMENT + length - 1]
+            if not out or room < len(piece):
+                out.append(([], [], []))
+                room = SEGMENT + length
+            rows, offsets, pieces = out[-1]
+            rows.append(row)
+            offsets.append(at)
+            pieces.append(piece)
+            room -= len(piece)
+    return out
 
 
 def find_contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, body, start, starts, anchor, context) of rows (doc_id, text, body)."""
+    """(doc_id, body, start, starts, anchor, context) of rows (doc_id, text, body); anchor: the bucket."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            text, start, count, _, anchor, digest = contexts_of([t.encode() for t in batch.column(1).to_pylist()], length)
-            if not len(text):
+            found = []
+            for own, offsets, pieces in segments(batch.column(1).to_pylist(), length):
+                text, start, count, anchor, digest = contexts_of(pieces, length)
+                found.append((np.array(own)[text], start + np.array(offsets)[text], count, anchor, digest))
+            row, start, count, anchor, digest = (np.concatenate([f[k] for f in found]) for k in range(5))
+            if not len(row):
                 return None
-            at = pa.array(text)
+            at = pa.array(row)
             return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(start), pa.array(count.astype(np.int32)), pa.array(anchor), pa.array(digest)], ["doc_id", "body", "start", "starts", "anchor", "context"])
 
         return step
@@ -126,7 +153,7 @@ def find_contexts(rows: DataFrame, length: int) -> DataFrame:
 
 
 def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Buckets of all suffixes by their first ``length`` bytes; -1 where no other suffix has the same ones, or too few bytes are left.
+    """Buckets of all suffixes by their first ``length`` bytes, Q at least; -1 where no other suffix has the same ones, or too few bytes are left.
 
     ``ends``: where each place's own string ends.
     """
@@ -138,9 +165,9 @@ def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         if k:
             grams[n - k :] <<= np.uint64(8)
     bucket = np.full(n, -1, np.int64)
-    active = np.flatnonzero(room >= min(Q, length))
+    active = np.flatnonzero(room >= Q)
     key = grams[active]
-    depth = min(Q, length)
+    depth = Q
     most = 64 // max(1, n.bit_length())
     while True:
         _, own, count = np.unique(key, return_inverse=True, return_counts=True)
