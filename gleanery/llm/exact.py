@@ -28,7 +28,15 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import materialize, shared_folder
 
 SPACE = (" ", "\t", "\n", "\v", "\f", "\r")
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
+#: Stores are many and may be small, so none allocates disk ahead of its need (some 4 MB each).
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{ROCKSDB}.changelogCheckpointing.enabled": "true",
+    f"{ROCKSDB}.boundedMemoryUsage": "true",
+    f"{ROCKSDB}.maxMemoryUsageMB": "300",
+    f"{ROCKSDB}.allowFAllocate": "false",
+}
 
 
 def without_space(text: Column) -> Column:
@@ -61,8 +69,8 @@ def run_stream(spark: SparkSession, source: str, schema, folder: str) -> DataFra
 
     Called again after files were added, it reads only those.
     """
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")}
-    for k, v in zip(held, (STATE_STORE, "true", "true", "300"), strict=True):
+    held = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).parquet(source)
