@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,57 @@ def top_in_order(chunks: DataFrame, query: list[float], n: int, text: str = "tex
     return parts.select("entity_id", F.col("p.position").alias("positions"), F.col("p.text").alias("texts"))
 
 
+#: Vectors of a block; a block of chunks meets a block of queries as two matrices.
+BLOCK = 1024
+
+
+def packed(vectors: DataFrame, key: str, ids: str, matrix: str) -> DataFrame:
+    """(ids, matrix): vectors (key, embedding) in blocks of at most ``BLOCK``, at unit length; those without a key or a length are left out."""
+    own = vectors.filter(F.col("embedding").isNotNull() & F.col(key).isNotNull()).select(key, "embedding")
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), BLOCK):
+                part = frame.iloc[at : at + BLOCK]
+                m = np.stack(part["embedding"].tolist()).astype("float64")
+                norm = np.sqrt((m * m).sum(axis=1))
+                kept = norm > 0
+                if kept.any():
+                    yield pd.DataFrame({ids: [part[key].to_numpy()[kept].tolist()], matrix: [(m[kept] / norm[kept, None]).tobytes()]})
+
+    return own.mapInPandas(run, f"{ids} array<{own.schema[key].dataType.simpleString()}>, {matrix} binary")
+
+
+def crowding(chunks: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
+    """(entity_id, in_top): how often each item is among the ``n`` best of a query, over all queries (query_id, embedding).
+
+    Items rank by their best chunk, ties by id; those never among the ``n`` best have no row. A task keeps each query's ``n``
+    best items of the chunk blocks it saw. That loses nothing: what beats an item there, beats it over all chunks too.
+    """
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = packed(chunks, "entity_id", "items", "chunk_matrix").repartition(parts).crossJoin(packed(queries, "query_id", "asked", "query_matrix"))
+
+    def run(frames):
+        held = {}
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                q, c = (np.frombuffer(m).reshape(len(ids), -1) for ids, m in ((row.asked, row.query_matrix), (row.items, row.chunk_matrix)))
+                items, of = np.unique(row.items, return_inverse=True)
+                order = np.argsort(of, kind="stable")
+                best = np.maximum.reduceat((q @ c.T)[:, order], np.searchsorted(of[order], np.arange(len(items))), axis=1).round(6)
+                top = np.argsort(-best, axis=1, kind="stable")[:, :n]
+                new = pd.DataFrame({"query_id": np.repeat(row.asked, top.shape[1]), "entity_id": items[top].ravel(), "score": np.take_along_axis(best, top, 1).ravel()})
+                key = row.asked[0]
+                both = pd.concat([held[key], new]).groupby(["query_id", "entity_id"], as_index=False)["score"].max() if key in held else new
+                held[key] = both.sort_values(["query_id", "score", "entity_id"], ascending=[True, False, True]).groupby("query_id").head(n)
+        yield from held.values()
+
+    kinds = (queries.schema["query_id"].dataType.simpleString(), chunks.schema["entity_id"].dataType.simpleString())
+    scores = pairs.mapInPandas(run, "query_id {}, entity_id {}, score double".format(*kinds)).groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
+    return scores.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= n).groupBy("entity_id").agg(F.count(F.lit(1)).alias("in_top"))
+
+
 def pending(chunks: DataFrame, signature: str) -> DataFrame:
     """Chunks whose vector is missing or by another embedder."""
     return chunks.filter(F.col("embedding").isNull() | ~F.col("embedder").eqNullSafe(F.lit(signature)))

@@ -73,10 +73,23 @@ best AS (SELECT label AS entity_id, vec_id FROM embeddings, q QUALIFY row_number
 SELECT entity_id, count(*)::BIGINT AS in_top FROM best GROUP BY entity_id"""
 )
 def top3_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each item's three best chunks there are, by one query: not the reference's measure, which ``top3_crowding_queries`` has."""
     close = vector.top_in_order(chunks(spark, sf_dir), first_vector(spark, sf_dir), 3)
     return close.select("entity_id", F.size("positions").cast("long").alias("in_top"))
 
 
+@R.query(
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+best AS (SELECT q.vec_id AS query_id, c.label AS entity_id, round(max(list_cosine_similarity(c.v, q.v)), 6) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 GROUP BY ALL),
+top AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= 3)
+SELECT entity_id, count(*)::BIGINT AS in_top FROM top GROUP BY entity_id"""
+)
+def top3_crowding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each item is in a query's overall top 3. Every vector whose id is divisible by 20 is a query, against all chunks, itself among them."""
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector.crowding(chunks(spark, sf_dir), queries, 3)
+
+
 WORDS = ("thing", "license", "token", "benchmark")
 ANY_SQL = f"""{POSTINGS_SQL},
 tf AS (SELECT entity_id, lexeme, sum(w) AS tf FROM postings WHERE lexeme IN ({", ".join(f"'{w}'" for w in WORDS)}) GROUP BY ALL),

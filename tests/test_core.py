@@ -233,3 +233,21 @@ def test_tag_rules(spark):
     known = spark.createDataFrame([("db", [0.9, 0.1]), ("zoo", [0.0, 1.0])], "similar string, known_vector array<double>")
     assert tags.alike_by_meaning(wanted, known).first()["similar"] == "db"
     assert state.capture_states(spark.createDataFrame([], "id string, action string, at timestamp, seq int")).count() == 0
+
+
+def test_crowding_over_many_queries(spark):
+    """Against brute force: the best chunk counts, not the number of chunks; ties by id; vectors without length aren't ranked."""
+    c = spark.createDataFrame([("far", 0, [-1.0, 0.1]), ("far", 1, [-1.0, 0.0]), ("far", 2, [-1.0, -0.1]), ("x", 0, [1.0, 0.0]), ("y", 0, [0.0, 1.0]), ("y", 1, [0.0, -1.0]), ("z", 0, [1.0, 1.0]), ("zero", 0, [0.0, 0.0]), ("null", 0, None)], "entity_id string, position int, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.2]), (2, [0.5, 1.0]), (3, [2.0, -0.1]), (4, [-1.0, 0.05]), (5, [0.0, 0.0])], "query_id int, embedding array<float>")
+    want = {}
+    for ask in (r["embedding"] for r in q.collect()):
+        best = {}
+        for r in c.collect():
+            sizes = [sum(x * x for x in v) ** 0.5 for v in (ask, r["embedding"] or [0.0])]
+            if min(sizes) > 0:
+                score = round(sum(x * y for x, y in zip(ask, r["embedding"], strict=True)) / sizes[0] / sizes[1], 6)
+                best[r["entity_id"]] = max(best.get(r["entity_id"], -2.0), score)
+        for entity in sorted(best, key=lambda e: (-best[e], e))[:3]:
+            want[entity] = want.get(entity, 0) + 1
+    assert len(set(want.values())) > 1
+    assert {r["entity_id"]: r["in_top"] for r in vector.crowding(c.repartition(3), q.repartition(2)).collect()} == want
