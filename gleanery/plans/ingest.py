@@ -154,10 +154,18 @@ def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT doc_id AS entity_id, 0 AS position, trim(source || chr(10) || substr(text, 1, 20)) AS text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def backfill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the first 20 characters of each text, which the SQL states; ``backfill_whole`` has the whole texts."""
     items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.substring("text", 1, 20).alias("excerpt"))
     return ingest.backfilled(items, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id")))
 
 
+@R.query("SELECT doc_id AS entity_id, 0 AS position, trim(coalesce(source, '') || chr(10) || coalesce(text, '')) AS text FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id)")
+def backfill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk of source and whole text for every document without a chunk. The reference stores 500 characters of it, as its index keeps no more; here the text is at hand."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("excerpt"))
+    return ingest.backfilled(items, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id")))
+
+
 @R.query("SELECT l.doc_id, d.source FROM labels l JOIN documents d USING (doc_id) WHERE (l.quality, l.toxic) IN ((0, 1), (1, 1))")
 def row_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([(0, 1), (1, 1)], "quality int, toxic int")

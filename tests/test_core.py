@@ -251,3 +251,11 @@ def test_crowding_over_many_queries(spark):
             want[entity] = want.get(entity, 0) + 1
     assert len(set(want.values())) > 1
     assert {r["entity_id"]: r["in_top"] for r in vector.crowding(c.repartition(3), q.repartition(2)).collect()} == want
+
+
+def test_backfill_keeps_whole_texts(spark, tmp_path):
+    long = "word " * 300 + "last"
+    spark.createDataFrame([(1, "s", "has a chunk"), (2, "s", long), (3, None, " x "), (4, "t", None)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,), (None,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["entity_id"]: r["text"] for r in entry.queries()["backfill_whole"](spark, str(tmp_path)).collect()}
+    assert got == {2: f"s\n{long}", 3: "\n x", 4: "t\n"}
