@@ -224,6 +224,7 @@ blocks AS (SELECT position, '[' || position || '] ITEM — document ' || doc_id
 SELECT string_agg(block, chr(10) || chr(10) ORDER BY position) AS context FROM blocks"""
 )
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best hits with the first 100 characters of each, which the SQL states; ``context_bodies`` has the whole texts."""
     best = fusion.fused(ranked_lists(spark, sf_dir)).orderBy(F.desc("score"), "first").limit(5)
     best = fusion.positioned(best, F.desc("score"), F.col("first"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "source", F.substring("text", 1, 100).alias("content"))
@@ -231,6 +232,21 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rendered(hits)
 
 
+@R.query(
+    f"""WITH {LISTS_SQL}, best AS (SELECT entity_id, row_number() OVER (ORDER BY score DESC, first) AS position FROM fused QUALIFY position <= 5),
+blocks AS (SELECT position, '[' || position || '] ITEM — document ' || doc_id || '  (source: ' || source || ')' || chr(10) || '    date: 2024-01-' || lpad((1 + position)::VARCHAR, 2, '0') || ' 00:00' || coalesce(chr(10) || '    ' || nullif(text, ''), '') AS block
+  FROM best JOIN documents ON doc_id = entity_id)
+SELECT coalesce(string_agg(block, chr(10) || chr(10) ORDER BY position), 'No results found in the user''s personal system.') AS context FROM blocks"""
+)
+def context_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best hits with their whole texts, as the bodies that the reference fetches. A null or empty text leaves its line out."""
+    best = fusion.fused(ranked_lists(spark, sf_dir)).orderBy(F.desc("score"), "first").limit(5)
+    best = fusion.positioned(best, F.desc("score"), F.col("first"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "source", F.col("text").alias("content"))
+    hits = docs.join(F.broadcast(best), "entity_id").withColumn("modified_at", F.expr("timestamp '2024-01-01' + make_dt_interval(position)"))
+    return fusion.rendered(hits)
+
+
 @R.query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.functions.vectors import dot

@@ -259,3 +259,11 @@ def test_backfill_keeps_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1,), (None,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["entity_id"]: r["text"] for r in entry.queries()["backfill_whole"](spark, str(tmp_path)).collect()}
     assert got == {2: f"s\n{long}", 3: "\n x", 4: "t\n"}
+
+
+def test_context_has_whole_texts(spark):
+    context = entry.queries()["context_bodies"](spark, SF).first()["context"]
+    best = [r["entity_id"] for r in fusion.top_fused(entry.retrieval.ranked_lists(spark, SF), 5).collect()]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    known = [i for i in best if i in texts]
+    assert any(len(texts[i]) > 500 for i in known) and all(f"\n    {texts[i]}" in context for i in known)
