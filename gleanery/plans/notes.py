@@ -271,10 +271,19 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, min(tokens)::INTEGER AS least, median(tokens) AS middle, max(tokens)::INTEGER AS most, count(*)::BIGINT AS chunks FROM s GROUP BY doc_id"""
 )
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of each document's lines, which the SQL states; ``chunk_sizes`` measures the chunks."""
     parts = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("tokens", T.tokens(F.col("line")))
     return parts.groupBy("doc_id").agg(F.min("tokens").alias("least"), F.median("tokens").alias("middle"), F.max("tokens").alias("most"), F.count(F.lit(1)).alias("chunks"))
 
 
+@R.query()
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in tokens of each document's chunks, and over all chunks in the row whose ``over_all`` is true. Documents without text have no chunks and no row."""
+    parts = chunk_text(spark, sf_dir).select(F.col("note_id").alias("doc_id"), T.tokens(F.col("text")).alias("tokens"))
+    own = parts.rollup("doc_id").agg((F.grouping("doc_id") == 1).alias("over_all"), F.min("tokens").alias("least"), F.median("tokens").alias("middle"), F.max("tokens").alias("most"), F.count(F.lit(1)).alias("chunks"))
+    return own.select("doc_id", "over_all", "least", "middle", "most", "chunks")
+
+
 @R.query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))

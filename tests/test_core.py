@@ -267,3 +267,9 @@ def test_context_has_whole_texts(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     known = [i for i in best if i in texts]
     assert any(len(texts[i]) > 500 for i in known) and all(f"\n    {texts[i]}" in context for i in known)
+
+
+def test_chunk_sizes(spark, tmp_path):
+    spark.createDataFrame([(1, "w" * 5000), (2, "a\n\nb"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["over_all"]): tuple(r)[2:] for r in entry.queries()["chunk_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {(1, False): (50, 400.0, 400, 4), (2, False): (1, 1.0, 1, 1), (None, True): (1, 400.0, 400, 5)}
