@@ -58,6 +58,24 @@ def eval_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.by_tag(ranks(spark), QUESTIONS.df(spark), 5)
 
 
+@R.query(
+    """WITH d AS (SELECT lang || '/' || source AS question_id, lang, source, doc_id, n_chars FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+r AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY n_chars DESC, doc_id) AS position, doc_id FROM d),
+h AS (SELECT question_id, min(position) AS rank FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY question_id),
+t AS (SELECT question_id, lang AS tag FROM d UNION SELECT question_id, source FROM d)
+SELECT tag, count(*) FILTER (rank <= 5)::BIGINT AS found, count(*)::BIGINT AS total FROM t LEFT JOIN h USING (question_id) GROUP BY tag"""
+)
+def eval_by_tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of language and source as questions, tagged with both: documents ranked by length, toxic ones expected. Ranks are counted as in ``eval_recall_mrr_documents``."""
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL AND source IS NOT NULL").withColumn("question_id", F.concat_ws("/", "lang", "source"))
+    expected = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    key = F.struct((-F.col("n_chars")).alias("less"), "doc_id")
+    first = docs.join(expected, "doc_id", "left_semi").groupBy("question_id").agg(F.min(key).alias("first"))
+    ahead = docs.select("question_id", key.alias("key")).join(first, "question_id").groupBy("question_id").agg((F.count_if(F.col("key") < F.col("first")) + 1).alias("rank"))
+    tags = docs.select("question_id", F.explode(F.array("lang", "source")).alias("tag")).distinct()
+    return E.by_tag(tags.select("question_id").distinct().join(ahead, "question_id", "left"), tags, 5)
+
+
 BEFORE = Literal("before", "question_id string, rank int", [("q1", 1), ("q2", None), ("q3", 2), ("q4", 3), ("q6", 1)])
 AFTER = Literal("after", "question_id string, rank int", [("q1", 1), ("q2", 4), ("q3", 5), ("q4", None), ("q7", 1)])
 

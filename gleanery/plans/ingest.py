@@ -79,6 +79,26 @@ def capture_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.capture_states(log).withColumnRenamed("at", "moved_at")
 
 
+@R.query(
+    """WITH RECURSIVE log AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts AS at_time,
+  CASE event_type WHEN 'click' THEN 'route' WHEN 'view' THEN 'undo' WHEN 'error' THEN 'archive' ELSE event_type END AS action FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+walk(id, seq, status, moved, steps) AS (
+  SELECT DISTINCT id, 0::BIGINT, 'inbox', NULL::TIMESTAMP, 0::BIGINT FROM log
+  UNION ALL
+  SELECT w.id, l.seq,
+    CASE WHEN status = 'inbox' AND action = 'route' THEN 'routed' WHEN status = 'inbox' AND action = 'archive' THEN 'archived' WHEN status = 'routed' AND action = 'undo' THEN 'inbox' ELSE status END,
+    CASE WHEN (status = 'inbox' AND action IN ('route', 'archive')) OR (status = 'routed' AND action = 'undo') THEN at_time ELSE moved END,
+    steps + CASE WHEN (status = 'inbox' AND action IN ('route', 'archive')) OR (status = 'routed' AND action = 'undo') THEN 1 ELSE 0 END
+  FROM walk w JOIN log l ON l.id = w.id AND l.seq = w.seq + 1)
+SELECT id, status, moved AS moved_at, steps FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""
+)
+def capture_state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as captures: clicks route, views undo, errors archive, other events change nothing. Events without a user or a time are in no log."""
+    action = F.when(F.col("event_type") == "click", "route").when(F.col("event_type") == "view", "undo").when(F.col("event_type") == "error", "archive").otherwise(F.col("event_type"))
+    log = events(spark, sf_dir).filter("user_id IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), action.alias("action"))
+    return state.capture_states(log).withColumnRenamed("at", "moved_at")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The documents as listed now and as indexed before: without those of source src3, those of src5 since edited, and some of lang es since deleted."""
     docs = table(spark, sf_dir, "documents")

@@ -273,3 +273,15 @@ def test_chunk_sizes(spark, tmp_path):
     spark.createDataFrame([(1, "w" * 5000), (2, "a\n\nb"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["over_all"]): tuple(r)[2:] for r in entry.queries()["chunk_sizes"](spark, str(tmp_path)).collect()}
     assert got == {(1, False): (50, 400.0, 400, 4), (2, False): (1, 1.0, 1, 1), (None, True): (1, 400.0, 400, 5)}
+
+
+def test_states_and_tags_read_the_tables(spark, tmp_path):
+    log = [(1, 7, "2024-01-01", "click"), (2, 7, "2024-01-02", "view"), (3, 7, "2024-01-03", "error"), (4, 7, "2024-01-04", "click"), (5, 8, "2024-01-01", "signup"), (6, None, "2024-01-01", "click"), (7, 8, None, "click")]
+    spark.createDataFrame(log, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["id"]: (r["status"], r["moved_at"] and r["moved_at"].day, r["steps"]) for r in entry.queries()["capture_state_events"](spark, str(tmp_path)).collect()}
+    assert got == {7: ("archived", 3, 3), 8: ("inbox", None, 0)}
+    docs = [(k, "en", "a", 100 - k) for k in range(7)] + [(10, "en", "b", 5), (11, "de", "b", 5), (12, None, "b", 5)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1), (10, 1), (11, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["tag"]: (r["found"], r["total"]) for r in entry.queries()["eval_by_tag_documents"](spark, str(tmp_path)).collect()}
+    assert got == {"en": (1, 2), "a": (0, 1), "b": (1, 2), "de": (0, 1)}
