@@ -51,6 +51,8 @@ PART, TASK_BYTES = 1000, 1 << 20
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 LETTERS = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 POWER = np.uint64(0x5851F42D4C957F2D)
+#: Times POWER it is 1, modulo 2 ** 64.
+UNPOWER = np.uint64(pow(int(POWER), -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -191,13 +193,16 @@ def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         depth = wide
 
 
+def powers_of(base: np.uint64, number: int) -> np.ndarray:
+    out = np.full(number, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the string at each start."""
-    powers = np.full(len(data) + 1, POWER, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[data] * powers[:-1], dtype=np.uint64)])
-    return mixed((sums[starts + length] - sums[starts]) * powers[len(data) - starts])
+    """A 64-bit hash of the string at each start, whatever data lie around it."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[data] * powers_of(POWER, len(data)), dtype=np.uint64)])
+    return mixed((sums[starts + length] - sums[starts]) * powers_of(UNPOWER, len(data))[starts])
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +268,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"strings must have {GRAM + Q} bytes at least")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = materialize(find_contexts(rows, length), "contexts")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("open"))
+    counted = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
+    # written by itself: a stage that only joins may be split where an anchor is hot
+    often = materialize(counted.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("open")), "anchors")
     again = materialize(found.join(often, "anchor"), "repeated-anchors")
     whole = lambda df: df.select("doc_id", "body", F.col("start").alias("low"), (F.col("start") + F.col("starts") + (length - 1)).alias("high"))
     spans = whole(again.filter(~F.col("open")))
@@ -272,10 +279,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = materialize(undecided.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), first).select("anchor", "context", "copies", "f.doc_id", "f.body", "f.start", "f.starts"), "context-classes")
     spans = spans.unionByName(whole(undecided.join(classes.filter("copies > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")))
 
-    parts = classes.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
+    parts = materialize(classes.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts")).filter("parts > 1"), "anchor-parts")
     total = classes.agg(F.sum(F.col("starts") + (length - 1))).first()[0] or 0
     groups = max(1, math.ceil(total / TASK_BYTES))
-    dealt = classes.join(parts, "anchor").withColumn("split", F.col("parts") > 1).withColumn("group", F.pmod(F.xxhash64("anchor", F.pmod("context", "parts")), F.lit(groups)))
+    dealt = classes.join(parts, "anchor", "left").withColumn("split", F.col("parts").isNotNull()).withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("group", F.pmod(F.xxhash64("anchor", F.pmod("context", "parts")), F.lit(groups)))
     wanted = dealt.groupBy(F.col("doc_id").alias("of_id"), F.col("body").alias("of_body")).agg(F.collect_list(F.struct("group", "anchor", "split", "copies", "start", "starts")).alias("wanted"))
     held = rows.join(wanted, same_row()).select("doc_id", "body", F.encode("text", "UTF-8").alias("bytes"), F.explode("wanted").alias("w"))
     context = F.substring(F.col("bytes"), F.col("w.start").cast("int") + 1, F.col("w.starts") + (length - 1))

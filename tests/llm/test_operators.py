@@ -172,6 +172,7 @@ def brute_repeats(texts, length):
 def test_repeats_equal_brute_force(docs, monkeypatch, length, part):
     monkeypatch.setattr(suffix, "PART", part)
     monkeypatch.setattr(suffix, "SEGMENT", 1 << 12)
+    monkeypatch.setattr(suffix, "TASK_BYTES", 1 << (20 if part == 1000 else 11))  # parts of one anchor in several groups
     held = texts_of(docs)
     want = dict(zip(held, brute_repeats(held.values(), length), strict=True))
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix.without_repeats(docs, length).collect()}
@@ -185,6 +186,14 @@ def test_repeats_of_odd_rows(odd, none):
     assert suffix.without_repeats(none).count() == 0
 
 
+def test_string_hashes_do_not_depend_on_the_data_around():
+    rng = np.random.default_rng(4)
+    own, one, two = (rng.integers(0, 256, n).astype(np.uint8) for n in (100, 37, 911))
+    a = suffix.string_hashes(np.concatenate([one, own, two]), np.array([37, 38]), 100)
+    b = suffix.string_hashes(np.concatenate([two, two, own, one[:1]]), np.array([1822]), 100)
+    assert a[0] == b[0] != a[1]
+
+
 def test_buckets_mean_equal_strings():
     rng = random.Random(1)
     data = np.array([rng.choice(b"ab") for _ in range(600)], np.uint8)
