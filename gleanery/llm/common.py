@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that reaches Python: documents may have a hundred thousand characters each.
-BATCH_ROWS = 500
+#: Rows and bytes of what a step works on at a time; Spark's own Arrow batches are bounded by bytes too.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,27 +23,42 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps the memory of a Python task to a few hundred whole texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``BATCH_BYTES``, ``BATCH_ROWS`` at most."""
+    rows = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Applies make()'s function to every Arrow batch; make runs once a task, on the executor."""
-    bounded_batches(df.sparkSession)
+    """Applies make()'s function to parts of every Arrow batch; make runs once a task, on the executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+            for part in slices(batch):
+                if (out := step(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that the table has already (names differ by more than case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, as the cluster names it; one of our own only where none is named."""
+    """The folder that all executors see, as the cluster names it. One of our own only where none is named and all run on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     return (named or "/tmp/checkpoints/gleanery").rstrip("/")
 
 
@@ -51,7 +67,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def row_key(*cols: str | Column) -> Column:
-    return F.xxhash64(*cols)

@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     take = lambda k: known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
     sample = F.broadcast(take(0).unionByName(take(1)))  # max_train rows at most
     rows = texts(docs, id_col, text_col)
-    picked = rows.join(sample, "doc_id").select("text", "toxic")
+    # of rows with one id, one text, so that the sample's bound holds for them too
+    picked = rows.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
     stands_for = {k: counts[k] / max(1, min(half, counts[k])) for k in (0, 1)}
 
     def learn(batches):
@@ -150,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
         kept = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([kept.astype(np.int32).tobytes()], pa.binary()), pa.array([model.weights[kept].tobytes()], pa.binary())], ["bias", "places", "weights"])
 
-    row = picked.coalesce(1).mapInArrow(learn, "bias double, places binary, weights binary").first()
+    # only the sample goes to one task: the scan stays in its own stage
+    row = picked.repartition(1).mapInArrow(learn, "bias double, places binary, weights binary").first()
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     if row is None:
         return Model(-500.0, weights)
