@@ -277,7 +277,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     undecided = again.filter("open")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body", "start", "starts")).alias("f")
     classes = materialize(undecided.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), first).select("anchor", "context", "copies", "f.doc_id", "f.body", "f.start", "f.starts"), "context-classes")
-    spans = spans.unionByName(whole(undecided.join(classes.filter("copies > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")))
+    several = materialize(classes.filter("copies > 1").select("anchor", "context"), "repeated-contexts")
+    spans = spans.unionByName(materialize(whole(undecided.join(several, ["anchor", "context"], "left_semi")), "repeated-spans"))
 
     parts = materialize(classes.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts")).filter("parts > 1"), "anchor-parts")
     total = classes.agg(F.sum(F.col("starts") + (length - 1))).first()[0] or 0
