@@ -2,16 +2,17 @@
 
 Texts are equal when they are identical without white space. A stream reads one small
 row for each text: the SHA-256 of the text without white space, its length, its id and
-its content's locator (file and row number where the table comes from files, else its
-row number). Its state is keyed by digest, kept on disk by RocksDB and never expires; it
-holds the number of copies and the identifier and locator of the row that stays: the
-longest original text, then the smallest id (a null id last), then the first row. A stream that is
-given more rows later goes on from the same state.
-
-Equal digests aren't taken for equal texts: the full bytes are grouped under their
-digest, and should one digest ever have two texts, its rows are grouped by the texts
-themselves. Copies meet in sums made before the shuffle, so one text may have any
-share of all rows.
+its content's locator, the file and row number that it stands at (a table that comes
+from no files is written to some first). Its state is keyed by digest, kept on disk by
+RocksDB and never expires; it holds the number of copies and the identifier and locator
+of the row that stays: the longest original text, then the smallest id (a null id last),
+then the first row. A stream that is given more rows later goes on from the same state.
+
+Equal digests aren't taken for equal texts. Hits, rows whose digest was met more than
+once, are compared by their full bytes with the text that stays, which is fetched by its
+locator; texts that were met once don't move. Should a hit's bytes ever differ, its
+digest's rows are grouped by the texts themselves. Copies meet in sums made before the
+shuffle, so one text may have any share of all rows.
 
 All of it is DataFrame operations. Null texts count as empty and empty texts are equal
 to each other; an empty table gives no rows; of repeated rows one stays.
@@ -25,8 +26,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import materialize, shared_folder
+from gleanery.llm.common import fresh, materialize, shared_folder
 
+#: Rows of a side that is sent to all executors, some 50 bytes each; a larger one is joined by a shuffle.
+SMALL = 1 << 20
 SPACE = (" ", "\t", "\n", "\v", "\f", "\r")
 ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
 #: Stores are many and may be small, so none allocates disk ahead of its need (some 4 MB each).
@@ -45,14 +48,33 @@ def without_space(text: Column) -> Column:
     return text
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, n_chars, doc_id, row, file, file_row) of every row."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = [F.sha2(without_space(text), 256).alias("digest"), F.char_length(text).cast("long").alias("n_chars"), F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("row")]
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The rows with all their columns and two more, which say what file (its path's hash) and row each stands at; and those columns' names."""
+    file, row = fresh(docs, "at_file", "at_row")
+
+    def found(df: DataFrame) -> DataFrame:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+
     try:
-        return docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("file_row"))
+        return found(docs), file, row
     except AnalysisException:  # not straight from files
-        return docs.select(*own, F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("file_row"))
+        return found(materialize(docs, "documents")), file, row
+
+
+def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, file, file_row); a null text is the empty text."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return located(own)[0].withColumnsRenamed({"at_file": "file", "at_row": "file_row"})
+
+
+def digest_rows(texts: DataFrame) -> DataFrame:
+    """(digest, n_chars, doc_id, row, file, file_row) of every row (doc_id, text, file, file_row)."""
+    return texts.select(F.sha2(without_space(F.col("text")), 256).alias("digest"), F.char_length("text").cast("long").alias("n_chars"), "doc_id", F.monotonically_increasing_id().alias("row"), "file", "file_row")
+
+
+def sent(side: DataFrame, rows: int) -> DataFrame:
+    """The side of a join, broadcast if it is known to be small."""
+    return F.broadcast(side) if rows <= SMALL else side
 
 
 def first_choice() -> Column:
@@ -91,26 +113,32 @@ def run_stream(spark: SparkSession, source: str, schema, folder: str) -> DataFra
     return changes.groupBy("digest").agg(newest).select("digest", "g.group_size", "g.keep")
 
 
-def clashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests with more than one text under them, by their full bytes."""
-    text = without_space(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    pairs = docs.select(F.sha2(text, 256).alias("digest"), text.alias("body")).groupBy("digest", "body").agg(F.lit(1).alias("one"))
-    return pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
+def clashes(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Digests under which a hit's bytes differ from those of the text that stays; of texts (doc_id, text, file, file_row) and their groups."""
+    met = materialize(groups.filter("group_size > 1").select("digest", F.xxhash64("digest").alias("key"), "keep.file", "keep.file_row"), "met-again")
+    n = met.count()
+    hashed = texts.select(F.sha2(without_space(F.col("text")), 256).alias("digest"), without_space(F.col("text")).alias("body"))
+    hits = hashed.withColumn("key", F.xxhash64("digest")).join(sent(met.select("key").distinct(), n), "key", "left_semi").groupBy("digest", "body").agg(F.lit(1).alias("one"))
+    keepers = texts.join(sent(met.select("digest", "file", "file_row"), n), ["file", "file_row"]).select("digest", without_space(F.col("text")).alias("kept_body"))
+    return hits.join(keepers, "digest").filter(F.col("body") != F.col("kept_body")).select("digest").distinct()
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, n_chars, file, file_row) of every row."""
-    spark = docs.sparkSession
+def _judged(texts: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, n_chars, file, file_row) of every row (doc_id, text, file, file_row)."""
+    spark = texts.sparkSession
     folder = f"{shared_folder(spark)}/exact-{uuid.uuid4().hex}"
-    rows = digest_rows(docs, id_col, text_col)
+    rows = digest_rows(texts)
     rows.write.parquet(f"{folder}/rows")
     staged = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
-    groups = run_stream(spark, f"{folder}/rows", rows.schema, folder)
-    odd = materialize(clashes(docs, id_col, text_col), "clashes")
+    groups = materialize(run_stream(spark, f"{folder}/rows", rows.schema, folder), "groups")
+    odd = materialize(clashes(texts, groups), "clashes")
     result = placed(staged, groups, "digest")
-    if odd.isEmpty():
-        return result
-    return resolved(docs, result, odd, id_col, text_col)
+    return result if odd.isEmpty() else resolved(texts, result, odd)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, n_chars) of every row."""
+    return _judged(plain(docs, id_col, text_col)).drop("file", "file_row")
 
 
 def placed(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
@@ -119,24 +147,18 @@ def placed(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     return found.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), "n_chars", "file", "file_row")
 
 
-def resolved(docs: DataFrame, result: DataFrame, odd: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resolved(texts: DataFrame, result: DataFrame, odd: DataFrame) -> DataFrame:
     """The result with the rows of clashing digests grouped by their texts instead."""
-    text = without_space(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    rows = digest_rows(docs.withColumn("_body", text), id_col, text_col).columns
-    own = docs.select(text.alias("body"), F.sha2(text, 256).alias("digest"), F.char_length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("long").alias("n_chars"), F.col(f"`{id_col}`").alias("doc_id"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("file_row"))
-    again = materialize(own.join(odd, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "clash-rows").select("body", *rows)
+    body = without_space(F.col("text"))
+    own = digest_rows(texts).drop("row").join(odd, "digest", "left_semi").join(texts.select("file", "file_row", body.alias("body")), ["file", "file_row"])
+    again = materialize(own.withColumn("row", F.monotonically_increasing_id()), "clash-rows")
     fine = result.join(odd.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left_anti").select(*result.columns)
     return fine.unionByName(placed(again, grouped(again, "digest", "body"), "digest", "body"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    found = deduplicated(docs, id_col, text_col)
-    stay = materialize(found.filter("kept").select("keep_id", "text_sha256", F.col("n_chars").alias("keep_chars")), "kept-rows")
-    twice = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256", "n_chars").count().filter("count > 1")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_digest": F.sha2(without_space(text), 256), "_chars": F.char_length(text).cast("long")})
-    kept = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.col("_digest") == F.col("text_sha256")) & (F.col("_chars") == F.col("keep_chars")), "left_semi")
-    if not twice.isEmpty():  # rows given more than once
-        kept = kept.withColumn("_id", F.col(f"`{id_col}`")).dropDuplicates(["_id", "_digest", "_chars"]).drop("_id")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows that stay, with all their columns; the others are found by their locators."""
+    whole, file, row = located(docs)
+    texts = whole.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(file).alias("file"), F.col(row).alias("file_row"))
+    gone = materialize(_judged(texts).filter(~F.col("kept")).select(F.col("file").alias(file), F.col("file_row").alias(row)), "exact-copies")
+    return whole.join(sent(gone, gone.count()), [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

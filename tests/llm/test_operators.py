@@ -239,6 +239,35 @@ def test_exact_keeps_one_row_of_each_text(odd):
     assert len(bodies) == len(set(bodies)) == exact.deduplicated(odd).select("text_sha256").distinct().count()
 
 
+INTERNAL = "keep_id", "text_sha256", "_digest", "_chars", "_id", "at_file", "at_row", "file", "file_row", "digest", "row", "body", "gone_id", "gone_body", "own", "cls", "n_spans"
+
+
+def with_clashes(df):
+    """A column of every name that the operators use inside, but for id and text."""
+    return df.select("doc_id", "text", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in INTERNAL))
+
+
+def test_exact_leaves_clashing_columns_alone(spark, docs, odd, none, tmp_path):
+    for df in (docs, odd):
+        own = with_clashes(df)
+        kept = exact.keep_first(own).collect()
+        assert len(kept) == exact.keep_first(df).count()
+        assert all(r[c] == (None if r["doc_id"] is None else c + str(r["doc_id"])) for r in kept for c in INTERNAL)
+    assert exact.keep_first(none).count() == 0
+    # a larger side that is not broadcast, and a table straight from files
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    held = spark.read.parquet(f"file://{tmp_path}/docs")
+    want = {r["doc_id"] for r in exact.keep_first(docs).collect()}
+    assert {r["doc_id"] for r in exact.keep_first(held).collect()} == want
+
+
+def test_exact_joins_large_sides_by_shuffles(docs, monkeypatch):
+    want = {tuple(r) for r in exact.deduplicated(docs).collect()}
+    monkeypatch.setattr(exact, "SMALL", -1)
+    assert {tuple(r) for r in exact.deduplicated(docs).collect()} == want
+    assert exact.keep_first(docs).count() == sum(r[3] for r in want)
+
+
 def test_clashing_digests_are_told_apart_by_their_bytes(spark, docs, monkeypatch):
     monkeypatch.setattr(exact.F, "sha2", lambda c, n: F.lit("the same for all"))
     found = exact.deduplicated(docs).select("doc_id", "keep_id", "group_size").collect()
@@ -251,10 +280,10 @@ def test_the_stream_goes_on_from_its_state(spark, tmp_path):
     first = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     more = spark.createDataFrame([(0, "ab"), (3, "a   b"), (4, "d")], "doc_id long, text string")
     source, folder = f"file://{tmp_path}/rows", f"file://{tmp_path}/work"
-    exact.digest_rows(first).write.parquet(source)
-    schema = exact.digest_rows(first).schema
+    exact.digest_rows(exact.plain(first)).write.parquet(source)
+    schema = exact.digest_rows(exact.plain(first)).schema
     assert {r["group_size"] for r in exact.run_stream(spark, source, schema, folder).collect()} == {1}
-    exact.digest_rows(more).write.mode("append").parquet(source)
+    exact.digest_rows(exact.plain(more)).write.mode("append").parquet(source)
     groups = {r["keep"]["doc_id"]: r["group_size"] for r in exact.run_stream(spark, source, schema, folder).collect()}
     assert groups == {3: 3, 2: 1, 4: 1}
 
