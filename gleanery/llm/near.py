@@ -13,8 +13,9 @@ pairs: in the first round each member is compared with the bucket's first member
 are confirmed by the full sets and joined into components, and only buckets with members
 of several components go on, with ever more members to compare with in
 every round, until every pair of different components has been compared. No link is left
-out by this, and a bucket whose members are all alike is done after one round. Hot
-members are salted.
+out by this, and a bucket whose members are all alike is done after one round. Large
+buckets are dealt to slots, each of which gets the members to compare with; members with
+many candidates are dealt likewise.
 
 What may be missed is a pair that shares no band: less than one in a million at the
 threshold and fewer above it.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import map_batches, materialize, texts
+from gleanery.llm.common import fresh, map_batches, materialize, texts
 
 SAMPLES = 130
 BOTTOM = 512
@@ -45,6 +46,8 @@ MISSED = 1e-6
 CACHE_WORDS = 1 << 20
 #: Pairs with one member that meet one copy of its set.
 PAIRS_A_COPY = 4096
+#: Members of a bucket that are compared in one slot, about.
+SLOT = 256
 GROWTH = 32
 
 
@@ -194,9 +197,12 @@ def apart(a: str, b: str) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Sets of members with many pairs are copied and their pairs dealt."""
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("long").alias("copies"))
-    dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies")).select("a", "b", "copy")
-    first = sets.withColumnsRenamed({"cls": "a", "shingles": "left"}).join(copies, "a").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("a", "copy", "left")
+    counted = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("long").alias("copies"))
+    # only members with several copies; written, so that the join may be split where a member is hot
+    copies = materialize(counted.filter("copies > 1"), "copies")
+    dealt = pairs.join(copies, "a", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("b"), "copies"), F.lit(0))).select("a", "b", "copy")
+    asked = pairs.select("a").distinct().join(copies, "a", "left").select("a", F.coalesce("copies", F.lit(1)).alias("copies"))
+    first = sets.withColumnsRenamed({"cls": "a", "shingles": "left"}).join(asked, "a").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("a", "copy", "left")
     both = dealt.join(first, ["a", "copy"]).join(sets.withColumnsRenamed({"cls": "b", "shingles": "right"}), "b")
     shared = F.size(F.array_intersect("left", "right")).cast("long")
     union = F.size("left") + F.size("right") - F.col("shared")
@@ -259,11 +265,13 @@ def linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
             if most <= 1 or done >= most:
                 break
             picked = (F.col("u") != F.col("first")) & (share >= done) & ((share < now) | F.lit(now >= most))
-        x, y = labelled.filter(picked).alias("x"), labelled.alias("y")
+        slots = F.ceil(F.col("size") / SLOT).cast("long")
+        x = labelled.filter(picked).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).alias("x")
+        y = labelled.withColumn("slot", F.pmod(F.xxhash64("u"), slots)).alias("y")
         later = (F.col("x.u") < F.col("y.u")) if turn else (F.col("x.u") != F.col("y.u"))
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
         sizes = 100 * small >= percent * large
-        near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & later & (F.col("x.of") != F.col("y.of")) & sizes & (apart("x", "y") <= most_bits(small, large, similarity)))
+        near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.slot") == F.col("y.slot")) & later & (F.col("x.of") != F.col("y.of")) & sizes & (apart("x", "y") <= most_bits(small, large, similarity)))
         pairs = materialize(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "candidates")
         new = materialize(confirmed(pairs, full, percent), "links")
         if not new.isEmpty():
@@ -296,6 +304,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of each component's smallest id and those without near duplicates, with all their columns."""
     found = _near_rows(docs, words, percent, id_col, text_col)
-    gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("body").alias("_gone_body")).distinct(), "near-copies")
+    id_name, body_name = fresh(docs, "gone_id", "gone_body")
+    gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_name), F.col("body").alias(body_name)).distinct(), "near-copies")
     body = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")) & (body == F.col("_gone_body")), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(id_name)) & (body == F.col(body_name)), "left_anti")

@@ -327,7 +327,7 @@ def test_near_of_odd_rows(odd, none):
     assert near.near_duplicates(none).count() == 0
 
 
-def test_large_families_need_no_pairs_of_all(spark):
+def test_large_families_need_no_pairs_of_all(spark, monkeypatch):
     rng = random.Random(8)
     words = [word(rng) for _ in range(200)]
     rows = []
@@ -339,6 +339,8 @@ def test_large_families_need_no_pairs_of_all(spark):
             own[rng.randrange(200)] = word(rng) + "x"
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "SLOT", 7)
+    monkeypatch.setattr(near, "PAIRS_A_COPY", 5)
     assert Counter(tuple(r)[:3] for r in near.near_duplicates(df, 3, 85).collect()) == brute_near(rows, 3, 85)
 
 
@@ -366,6 +368,8 @@ def test_keep_one(odd):
     assert kept.columns == odd.columns
     want = {c for _, _, c in brute_near([(r["doc_id"], r["text"]) for r in odd.collect()], 3, 85)}
     assert {r["doc_id"] for r in kept.collect()} == want
+    own = near.keep_one(with_clashes(odd), 3, 85)
+    assert {r["doc_id"] for r in own.collect()} == want and own.columns == ["doc_id", "text", *INTERNAL]
 
 
 # 6: personal data
