@@ -58,8 +58,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+    counted = token_counts.token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), budget=2048)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_within")
 
 
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

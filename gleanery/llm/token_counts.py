@@ -8,6 +8,11 @@ then holds ``count[i] = count[i - len(last)] + 1``. With an end-of-word marker,
 token that ends a prefix comes from the marked part of the vocabulary while all
 before it come from the plain part; two tables answer both.
 
+Words are counted apart, so the table of a text is made of its words' tables, each
+shifted by the last entries before it. A worker stores the table of every word it meets;
+a text's count is the last entry of its own table, and where a budget is spent is read
+in the one word's table that reaches it. ``counts`` writes a text's table out.
+
 Positions are code points of the text after NFC, white space included: the count at
 position i is the number of tokens of the first i code points. Null texts count as
 empty; an empty text has no tokens; repeated rows give repeated results.
@@ -33,6 +38,7 @@ from gleanery.llm.common import map_batches, texts
 CACHE_WORDS = 1 << 19
 #: Characters that Python counts as white space and the tokenizer's expressions don't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+WORD = re.compile(r"\S+")
 #: Fixed values of the tokenizer's word expression.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Below this code point, Python's classes of letters and numbers are the expression's; beyond it the library is asked.
@@ -235,15 +241,52 @@ class PrefixCounter:
             at = m.end()
         return [*out, (text[at:], False)]
 
+    def composed(self, text: str) -> str:
+        """The text in NFC, special strings as they are."""
+        if text.isascii() or unicodedata.is_normalized("NFC", text):
+            return text
+        return "".join(p if mark else unicodedata.normalize("NFC", p) for p, mark in self._parts(text))
+
     def count(self, text: str) -> int:
         """The count at the last prefix."""
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = "".join(p if mark else unicodedata.normalize("NFC", p) for p, mark in self._parts(text))
         total = 0
-        for part, mark in self._parts(text):
+        for part, mark in self._parts(self.composed(text)):
             total += 1 if mark else self._odd(part)[-1] if ODD_SPACE.search(part) else self._plain(part)
         return total
 
+    def within(self, text: str, budget: int) -> int:
+        """The most code points from the start, in NFC, whose own encoding has at most ``budget`` tokens: by the words' stored tables."""
+        best, at, done = 0, 0, 0
+        for part, mark in self._parts(self.composed(text)):
+            if mark or ODD_SPACE.search(part):
+                # until it is complete, a special string is ordinary text
+                table = np.array(self._odd(part), np.int32) + done
+                if mark:
+                    table[-1] = done + 1
+                fits = np.flatnonzero(table <= budget)
+                best = at + int(fits[-1]) if len(fits) else best
+                done = int(table[-1])
+            else:
+                for m in WORD.finditer(part):
+                    if done <= budget:
+                        best = at + m.start()  # white space in front adds nothing
+                    # words before the budget's end are passed over by their totals
+                    total = self.totals.get(m[0])
+                    if total is None or done + total > budget:
+                        table = np.frombuffer(self.tables.get(m[0]) or self._table(m[0]), np.int32)
+                        fits = np.flatnonzero(done + table <= budget)
+                        best = at + m.start() + int(fits[-1]) + 1 if len(fits) else best
+                        total = int(table[-1])
+                    done += total
+                    if done <= budget:
+                        best = at + m.end()
+                    elif done - total >= budget:
+                        return best
+                if done <= budget:
+                    best = at + len(part)
+            at += len(part)
+        return best
+
     def _odd(self, text: str) -> list[int]:
         """Counts at every prefix of a text whose control characters Python takes for white space; the empty prefix comes first."""
         out = [0]
@@ -275,8 +318,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every row; with ``prefixes`` also ``prefix_counts``, an array with the count at every prefix.
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False, budget: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of every row; with ``prefixes`` also ``prefix_counts``, an array with the count at every prefix;
+    with a ``budget`` of tokens also ``n_within``, the most code points from the start (in NFC) whose own encoding keeps within it.
 
     The last entry of the table over the prefixes is the count of the whole text.
     """
@@ -294,13 +338,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 names.append("prefix_counts")
             else:
                 cols.append(pa.array([c.count(t) for t in rows], pa.int64()))
+            if budget is not None:
+                cols.append(pa.array([len(c.composed(t)) if n <= budget else c.within(t, budget) for t, n in zip(rows, cols[2].to_pylist(), strict=True)], pa.int64()))
+                names.append("n_within")
             return pa.RecordBatch.from_arrays(cols, names)
 
         return step
 
     ids = texts(docs, id_col, text_col)
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return map_batches(ids, make, f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_counts array<int>" * prefixes)
+    return map_batches(ids, make, f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_counts array<int>" * prefixes + ", n_within long" * (budget is not None))
 
 
 def tokens_within(prefix_counts: Column, code_points: Column) -> Column:

@@ -512,6 +512,8 @@ def test_counts_at_every_prefix():
         want = [len(c.tok.encode(whole[:i], add_special_tokens=False).ids) for i in range(len(whole) + 1)]
         assert c.counts(s).tolist() == want, s
         assert c.count(s) == want[-1]
+        for budget in {0, 1, 2, 3, 5, want[-1] - 1, want[-1], want[-1] + 1} - {-1}:
+            assert c.within(s, budget) == max(i for i, n in enumerate(want) if n <= budget), (s, budget)
 
 
 def test_budget_questions_need_no_encoding(spark, odd, none):
@@ -527,7 +529,9 @@ def test_budget_questions_need_no_encoding(spark, odd, none):
         n = lambda s: len(c.tok.encode(s, add_special_tokens=False).ids)
         assert r["n_tokens"] == n(text) and r["ten"] == n(text[:10])
         assert r["fits"] == max(i for i in range(len(text) + 1) if n(text[:i]) <= 10)
-    assert token_counts.token_counts(none, path("word_bpe_49k.json")).count() == 0
+    budgeted = token_counts.token_counts(odd, path("word_bpe_49k.json"), budget=10).collect()
+    assert {(r["doc_id"], r["n_within"]) for r in budgeted} == {(r["doc_id"], r["fits"]) for r in asked.collect()}
+    assert token_counts.token_counts(none, path("word_bpe_49k.json"), budget=10).count() == 0
 
 
 # 9: media
