@@ -3,10 +3,14 @@
 Base spans are found by expressions, kind by kind. The random field then reads the words
 around anything with a digit or an ``@``: a segment of up to ``LONGEST`` tokens is scored
 as a whole, by its shape, its length, checks such as Luhn's, and the words beside it, and
-a dynamic program over segments chooses boundaries and kinds of all spans together. Since
-only segments with a digit or an ``@`` are candidates and everything else is scored
-token by token, the program over such a stretch gives what one over the whole text gives.
-Spans that it adds never replace or overlap base spans.
+by the kind of the segment before it, and a dynamic program over segments chooses
+boundaries and kinds of all spans together. Base spans are segments that stand already:
+the program goes through them, so what it adds never overlaps them and is the best
+labelling of the rest. A segment has an ``@`` or at least ``LEAST_DIGITS`` digits, no
+line break, no space beside a word of letters, and doesn't begin or end inside a word of
+letters and digits; everything else is a token outside, which scores 0. So no
+segment reaches further than ``LONGEST`` tokens from a digit or an ``@``, and the program
+over the ``REACH`` words around those gives what one over the whole text gives.
 
 Weights are the conditional likelihood's maximum on sentences that ``training_sentences``
 makes by rule from a fixed seed, found by stochastic gradients over the segment lattice.
@@ -31,11 +35,15 @@ from gleanery.llm.common import map_batches, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-LONGEST = 13
+LONGEST, LEAST_DIGITS = 13, 4
+#: Words on either side of a digit or an @: a segment's tokens, and those beside it that its features read.
+REACH = LONGEST + 3
+OUTSIDE = "outside"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Begins where digits begin and gives none back, so that a long run of digits is read once; the matches are those of the plain expression.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]")
@@ -55,6 +63,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """True for at most 255, however many zeros lead."""
+    own = digits.lstrip("0") or "0"
+    return len(own) <= 3 and int(own) <= 255
+
+
 def only_digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -73,7 +87,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, done))
     if TRIGGER.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(octet(p) for p in m[0].split(".")):
                 out.append((*m.span(), "ip"))
         for m in CARD.finditer(text):
             d = only_digits(m[0])
@@ -107,58 +121,66 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
         left, _, right = own.partition("@")
         out.append(f"at {bool(left)} {'.' in right} {'@' in right}")
     if IP.fullmatch(own):
-        out.append(f"ip {all(len(p) <= 3 and int(p) <= 255 for p in own.split('.'))}")
-    if len(digits) >= 12:
+        out.append(f"ip {all(len(p) <= 3 and octet(p) for p in own.split('.'))}")
+    if 12 <= len(digits) <= 19:
         out.append(f"luhn {luhn(digits)}")
     if len(own) >= 20 and HEX.fullmatch(own):
         out.append(f"hex {len(own) >= 32}")
     return out
 
 
-def islands(text: str, reach: int = 4) -> list[tuple[int, int]]:
-    """Stretches of whole words around digits and @, ``reach`` words on either side."""
+def islands(text: str, reach: int = REACH) -> list[tuple[int, int]]:
+    """Stretches of whole words around digits and @, ``reach`` words on either side. Every word is a token at least."""
     out: list[list[int]] = []
     at = 0
     while m := TRIGGER.search(text, at):
-        start = m.start()
-        for _ in range(reach + 1):
-            start = max(text.rfind(" ", 0, max(0, start - 1)), text.rfind("\n", 0, max(0, start - 1))) + 1
-            if not start or m.start() - start > 200:
-                break
-        end = m.end()
-        for _ in range(reach + 1):
-            nexts = [p for p in (text.find(" ", end + 1, end + 200), text.find("\n", end + 1, end + 200)) if p >= 0]
-            end = min(nexts, default=min(len(text), end + 200))
-            if end >= len(text):
-                break
+        floor = out[-1][1] if out else 0
+        start, end, words = m.start(), m.end(), 0
+        while words <= reach and start > floor:
+            space = max(text.rfind(" ", floor, start), text.rfind("\n", floor, start))
+            words += not text[max(space, floor) : start].isspace() and start - space > 1
+            start = max(space, floor)
+        words = 0
+        while words <= reach and end < len(text):
+            space = min((p for p in (text.find(" ", end), text.find("\n", end)) if p >= 0), default=len(text))
+            words += space > end and not text[end:space].isspace()
+            end = min(space + 1, len(text))
         if out and start <= out[-1][1]:
-            out[-1][1] = max(end, out[-1][1])
+            out[-1][1] = end
         else:
             out.append([start, end])
-        at = max(m.end(), end)
+        at = end
     return [(a, b) for a, b in out]
 
 
 class SemiMarkov:
-    """Weights of (kind, feature); tokens outside of spans score 0."""
+    """Weights of (kind, feature) and of (kind before, kind) for neighbouring segments; tokens outside of spans score 0."""
 
     def __init__(self) -> None:
         self.weights: dict[tuple[str, str], float] = defaultdict(float)
+        self.moves: dict[tuple[str, str], float] = defaultdict(float)
+        self.table: dict[str, list[float]] | None = None  # the weights by feature, made when a fitted field first decodes
 
     def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Segments (i, j) that have a digit or an @ and no line break, and start and end on something a span can."""
-        trigger = [bool(TRIGGER.search(text, a, b)) for a, b in tokens]
+        """Segments (i, j) that have an @ or enough digits, no line break and no space beside letters, and start and end where a span can."""
+        worth = [0]  # an @ counts as enough digits
+        for a, b in tokens:
+            own = text[a:b]
+            worth.append(worth[-1] + (LEAST_DIGITS if own == "@" else sum(map(own.count, "0123456789")) if TRIGGER.search(own) else 0))
+        # whether a token may stand in one segment with the token before it
+        joins = [False] * len(tokens)
+        for k in range(1, len(tokens)):
+            gap = text[tokens[k - 1][1] : tokens[k][0]]
+            joins[k] = not gap or len(gap) == 1 and gap != "\n" and not text[slice(*tokens[k - 1])].isalpha() and not text[slice(*tokens[k])].isalpha()
+        ends = [text[b - 1].isalnum() and not text[b : b + 1].isalnum() for _, b in tokens]
         out = []
         for i, (a, _) in enumerate(tokens):
-            if not (text[a].isalnum() or text[a] in "+("):
+            if not (text[a].isalnum() and not (a and text[a - 1].isalnum()) or text[a] in "+("):
                 continue
-            seen = False
             for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-                gap = text[tokens[j - 2][1] : tokens[j - 1][0]] if j - i > 1 else ""
-                if len(gap) > 1 or "\n" in gap:
+                if j - i > 1 and not joins[j - 1]:
                     break
-                seen = seen or trigger[j - 1]
-                if seen and text[tokens[j - 1][1] - 1].isalnum():
+                if ends[j - 1] and worth[j] - worth[i] >= LEAST_DIGITS:
                     out.append((i, j))
         return out
 
@@ -173,52 +195,142 @@ class SemiMarkov:
         w = self.weights
         return sum(w.get((kind, f), 0.0) for f in features)
 
-    def decode(self, text: str, margin: float = 0.0) -> list[Span]:
-        """The best segmentation's spans; each must be worth more than ``margin``."""
-        tokens = [m.span() for m in TOKEN.finditer(text)]
+    def values(self, features: list[str]) -> list[float]:
+        """By kind, in the order of ``KINDS``."""
+        if self.table is None:
+            self.table = {}
+            for (kind, f), w in self.weights.items():
+                self.table.setdefault(f, [0.0] * len(KINDS))[KINDS.index(kind)] = w
+        found = [w for f in features if (w := self.table.get(f)) is not None]
+        return [math.fsum(w) for w in zip(*found, strict=True)] if found else [0.0] * len(KINDS)
+
+    def move(self, before: str, kind: str) -> float:
+        return self.moves.get((before, kind), 0.0)
+
+    def decode(self, text: str, margin: float = 0.0, fixed: list[Span] = (), low: int = 0, high: int | None = None) -> list[Span]:
+        """The best segmentation's spans beside the ``fixed`` ones, between two borders of the text; each span costs ``margin``."""
+        tokens = [m.span() for m in TOKEN.finditer(text, low, len(text) if high is None else high)]
+        n = len(tokens)
+        # fixed spans as runs of tokens, overlapping ones as one run with the first one's kind
+        runs: list[list] = []
+        k = 0
+        for start, end, kind in sorted(fixed):
+            while k < n and tokens[k][1] <= start:
+                k += 1
+            j = k
+            while j < n and tokens[j][0] < end:
+                j += 1
+            if j > k and runs and k < runs[-1][1]:
+                runs[-1][1] = max(j, runs[-1][1])
+            elif j > k:
+                runs.append([k, j, kind])
+        taken = [0] * (n + 1)
+        for i, j, _ in runs:
+            for t in range(i, j):
+                taken[t + 1] = 1
+        for t in range(n):
+            taken[t + 1] += taken[t]
+        ends = {j: (i, kind) for i, j, kind in runs}
         by_end = self.lattice(text, tokens)
-        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
+        # by place: the best score of each kind that the last segment may have, and where from
+        best: list[dict[str, tuple[float, int, str]]] = [{OUTSIDE: (0.0, -1, "")}] + [{} for _ in range(n)]
+
+        into: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
+
+        def reach(i: int, kind: str) -> tuple[float, str]:
+            if (got := into[i].get(kind)) is None:
+                got = into[i][kind] = max((v + self.move(before, kind), before) for before, (v, _, _) in best[i].items())
+            return got
+
+        for j in range(1, n + 1):
+            if j in ends:
+                i, kind = ends[j]
+                v, before = reach(i, kind)
+                best[j][kind] = (v, i, before)
+                continue
+            if taken[j] > taken[j - 1]:
+                continue  # inside a fixed span
+            v, before = reach(j - 1, OUTSIDE)
+            best[j][OUTSIDE] = (v, j - 1, before)
             for i, features in by_end.get(j, ()):
-                for kind in KINDS:
-                    v = self.value(kind, features)
-                    if v > margin and best[i] + v > best[j]:
-                        best[j], back[j] = best[i] + v, (i, kind)
-        out, j = [], len(tokens)
+                if taken[j] > taken[i]:
+                    continue
+                for kind, own in zip(KINDS, self.values(features), strict=True):
+                    v, before = reach(i, kind)
+                    v += own - margin
+                    if kind not in best[j] or v > best[j][kind][0]:
+                        best[j][kind] = (v, i, before)
+        out, j = [], n
+        kind = max((v, k) for k, (v, _, _) in best[n].items())[1]
         while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, kind = back[j]
+            _, i, before = best[j][kind]
+            if kind != OUTSIDE and j not in ends:
                 out.append((tokens[i][0], tokens[j - 1][1], kind))
-                j = i
+            j, kind = i, before
         return out[::-1]
 
     def learn(self, text: str, spans: list[Span], rate: float, penalty: float) -> None:
         """One step up the sentence's conditional likelihood."""
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        by_end = self.lattice(text, tokens)
-        n = len(tokens)
-        scored = {j: [(i, kind, f, self.value(kind, f)) for i, f in segments for kind in KINDS] for j, segments in by_end.items()}
-        ahead = [0.0] + [-math.inf] * n
+        n, labels = len(tokens), (OUTSIDE, *KINDS)
+        arcs: list[list[tuple[int, str, float, list[str]]]] = [[] for _ in range(n + 1)]
+        for j in range(1, n + 1):
+            arcs[j].append((j - 1, OUTSIDE, 0.0, []))
+        for j, segments in self.lattice(text, tokens).items():
+            arcs[j] += [(i, kind, self.value(kind, f), f) for i, f in segments for kind in KINDS]
+        move = {(a, b): self.move(a, b) for a in labels for b in labels}
+        ahead: list[dict[str, float]] = [{OUTSIDE: 0.0}] + [{} for _ in range(n)]
+        into: dict[tuple[int, str], float] = {}  # all ways to a place, and the move to a kind from there
+
+        def enter(i: int, kind: str) -> float:
+            if (i, kind) not in into:
+                into[i, kind] = _log_sum([v + move[before, kind] for before, v in ahead[i].items()])
+            return into[i, kind]
+
         for j in range(1, n + 1):
-            ahead[j] = _log_sum([ahead[j - 1], *(ahead[i] + v for i, _, _, v in scored.get(j, ()))])
-        behind = [-math.inf] * n + [0.0]
-        by_start = defaultdict(list)
-        for j, segments in scored.items():
-            for i, _, _, v in segments:
-                by_start[i].append((j, v))
-        for i in range(n - 1, -1, -1):
-            behind[i] = _log_sum([behind[i + 1], *(behind[j] + v for j, v in by_start.get(i, ()))])
-        gold = set(spans)
-        for j, segments in scored.items():
-            for i, kind, features, v in segments:
-                p = math.exp(ahead[i] + v + behind[j] - ahead[n])
-                push = ((tokens[i][0], tokens[j - 1][1], kind) in gold) - p
-                if abs(push) > 1e-4:
-                    for f in features:
-                        self.weights[kind, f] += rate * (push - penalty * self.weights[kind, f])
+            parts = defaultdict(list)
+            for i, kind, v, _ in arcs[j]:
+                parts[kind].append(enter(i, kind) + v)
+            ahead[j] = {kind: _log_sum(v) for kind, v in parts.items()}
+        total = _log_sum(list(ahead[n].values()))
+        behind: list[dict[str, list[float]]] = [defaultdict(list) for _ in range(n + 1)]
+        settled: list[dict[str, float]] = [{} for _ in range(n)] + [dict.fromkeys(labels, 0.0)]
+        chance: dict[tuple[str, str], float] = defaultdict(float)
+        gold = {(i, j): k for i, j, k in self._as_tokens(tokens, spans)}
+        pushes = []
+        for j in range(n, 0, -1):
+            if j < n:
+                settled[j] = {kind: _log_sum(v) for kind, v in behind[j].items()}
+            for i, kind, v, features in arcs[j]:
+                rest = v + settled[j].get(kind, -math.inf)
+                for before, sofar in ahead[i].items():
+                    p = math.exp(sofar + move[before, kind] + rest - total)
+                    chance[before, kind] += p
+                    behind[i][before].append(move[before, kind] + rest)
+                if features:
+                    p = math.exp(enter(i, kind) + rest - total)
+                    push = (gold.get((i, j)) == kind) - p
+                    if abs(push) > 1e-4:
+                        pushes.append((kind, features, push))
+        for kind, features, push in pushes:
+            for f in features:
+                self.weights[kind, f] += rate * (push - penalty * self.weights[kind, f])
+        # the moves of the gold labelling; from outside they are part of the segments' own weights
+        path, at = [], 0
+        starts = {i: (j, k) for (i, j), k in gold.items()}
+        before = OUTSIDE
+        while at < n:
+            at, kind = starts.get(at, (at + 1, OUTSIDE))
+            path.append((before, kind))
+            before = kind
+        for pair in {*chance, *path}:
+            if pair[0] != OUTSIDE:
+                self.moves[pair] += rate * (path.count(pair) - chance[pair] - penalty * self.moves[pair])
+
+    @staticmethod
+    def _as_tokens(tokens: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int, str]]:
+        first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: j + 1 for j, (_, b) in enumerate(tokens)}
+        return [(first[a], last[b], kind) for a, b, kind in spans if a in first and b in last]
 
 
 def _log_sum(values: list[float]) -> float:
@@ -226,7 +338,7 @@ def _log_sum(values: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in values)) if top > -math.inf else top
 
 
-def training_sentences(number: int = 500, seed: int = 7) -> list[tuple[str, list[Span]]]:
+def training_sentences(number: int = 1500, seed: int = 7) -> list[tuple[str, list[Span]]]:
     """Sentences of made-up words with personal data in several forms, and with numbers that are none."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "ver", "que"]) for _ in range(rng.randint(1, 4)))
@@ -292,7 +404,7 @@ def training_sentences(number: int = 500, seed: int = 7) -> list[tuple[str, list
 
 
 @lru_cache(maxsize=2)
-def trained(sentences: int = 500, rounds: int = 3, seed: int = 7) -> SemiMarkov:
+def trained(sentences: int = 1500, rounds: int = 3, seed: int = 7) -> SemiMarkov:
     """The random field, fitted; the same one every time."""
     model = SemiMarkov()
     data = training_sentences(sentences, seed)
@@ -300,7 +412,7 @@ def trained(sentences: int = 500, rounds: int = 3, seed: int = 7) -> SemiMarkov:
         order = random.Random(k).sample(data, len(data))
         for text, spans in order:
             model.learn(text, spans, 0.4 / (1 + k), 1e-3)
-    model.weights = dict(model.weights)
+    model.weights, model.moves = dict(model.weights), dict(model.moves)
     return model
 
 
@@ -313,13 +425,17 @@ def all_spans(text: str, model: SemiMarkov, margin: float = MARGIN) -> tuple[lis
     base = base_spans(text)
     if not TRIGGER.search(text):
         return base, base
-    added = []
-    for a, b in islands(text):
-        for start, end, kind in model.decode(text[a:b], margin):
-            span = (start + a, end + a, kind)
-            if not any(s < span[1] and span[0] < e for s, e, _ in base):
-                added.append(span)
-    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
+    every, k = list(base), 0
+    for low, high in islands(text):
+        while k < len(base) and base[k][1] <= low:
+            k += 1
+        own = []
+        for span in base[k:]:
+            if span[0] >= high:
+                break
+            own.append(span)
+        every += model.decode(text, margin, own, low, high)
+    return base, sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def spelled(spans: list[Span]) -> str:
@@ -342,11 +458,11 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans) of every row; the first four count base spans."""
-    sent = docs.sparkSession.sparkContext.broadcast(trained().weights)
+    sent = docs.sparkSession.sparkContext.broadcast((trained().weights, trained().moves))
 
     def make():
         model = SemiMarkov()
-        model.weights = sent.value
+        model.weights, model.moves = sent.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [all_spans(t, model, margin) for t in batch.column(1).to_pylist()]
@@ -366,12 +482,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin
 
 def mask(docs: DataFrame, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """All rows with all columns, personal data in the text replaced by its kind; a null text stays null."""
-    sent = docs.sparkSession.sparkContext.broadcast(trained().weights)
+    sent = docs.sparkSession.sparkContext.broadcast((trained().weights, trained().moves))
     at = docs.columns.index(text_col)
 
     def make():
         model = SemiMarkov()
-        model.weights = sent.value
+        model.weights, model.moves = sent.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             new = [None if t is None else masked(t, all_spans(t, model, margin)[1]) for t in batch.column(at).to_pylist()]

@@ -413,26 +413,98 @@ def test_the_random_field_finds_spans_it_was_not_shown():
     assert right >= 0.95 * len(held_out)
 
 
-def test_decoding_is_the_best_segmentation():
-    model = pii.SemiMarkov()
-    rng = random.Random(6)
-    text = "a1 b2 c3 d4"
+def labellings(model, text, tokens, fixed=()):
+    """Every labelling of the tokens as [(i, j, kind)], with its score; fixed: segments that it must have."""
+    segments = defaultdict(list)
+    for j, own in model.lattice(text, tokens).items():
+        for i, features in own:
+            if all(j <= a or i >= b for a, b, _ in fixed):
+                segments[i] += [(j, kind, model.value(kind, features)) for kind in pii.KINDS]
+    forced = {a: (b, kind) for a, b, kind in fixed}
+
+    def go(i, before):
+        if i == len(tokens):
+            yield [], 0.0
+            return
+        ways = [(*forced[i], 0.0)] if i in forced else [(i + 1, pii.OUTSIDE, 0.0), *segments[i]]
+        for j, kind, v in ways:
+            for rest, w in go(j, kind):
+                yield ([(i, j, kind), *rest] if kind != pii.OUTSIDE else rest), v + w + model.move(before, kind)
+
+    return list(go(0, pii.OUTSIDE))
+
+
+def some_field(seed, text):
+    model, rng = pii.SemiMarkov(), random.Random(seed)
     tokens = [m.span() for m in pii.TOKEN.finditer(text)]
     pool = {(k, f) for segments in model.lattice(text, tokens).values() for _, fs in segments for f in fs for k in pii.KINDS}
-    model.weights = {p: rng.uniform(-1, 1) for p in sorted(pool)}
+    model.weights = defaultdict(float, {p: rng.uniform(-1, 1) for p in sorted(pool)})
+    model.moves = defaultdict(float, {(a, b): rng.uniform(-2, 2) for a in pii.KINDS for b in (pii.OUTSIDE, *pii.KINDS)})
+    return model, tokens
+
+
+def test_decoding_is_the_best_labelling():
+    for seed, text in enumerate(["a1234 2345 3b", "11.22-34 x", "9 @a 7", "x@1 (2) 3"]):
+        model, tokens = some_field(seed, text)
+        ways = labellings(model, text, tokens)
+        got = [(a, b, k) for a, b, k in pii.SemiMarkov._as_tokens(tokens, model.decode(text))]
+        assert dict((tuple(w), v) for w, v in ways)[tuple(got)] == pytest.approx(max(v for _, v in ways))
+        # a span that stands already is part of the labelling and isn't given again
+        held = [(1, 2, "ip")]
+        ways = labellings(model, text, tokens, held)
+        own = model.decode(text, 0.0, [(*tokens[1], "ip")])
+        got = tuple(sorted([*pii.SemiMarkov._as_tokens(tokens, own), *held]))
+        assert dict((tuple(w), v) for w, v in ways)[got] == pytest.approx(max(v for _, v in ways))
+
+
+def test_learning_follows_the_gradient_of_the_likelihood():
+    text, gold = "a1234 5678 90", [(6, 10, "ip")]
+    model, tokens = some_field(5, text)
+    ways = labellings(model, text, tokens)
+    total = sum(math.exp(v) for _, v in ways)
     lattice = model.lattice(text, tokens)
-
-    def best(j):
-        if j == 0:
-            return 0.0
-        return max([best(j - 1), *(best(i) + max(0.0, max(model.value(k, f) for k in pii.KINDS)) for i, f in lattice.get(j, ()))])
-
-    spans = model.decode(text)
-    worth = 0.0
-    for a, b, kind in spans:
-        i, j = next(k for k, t in enumerate(tokens) if t[0] == a), next(k for k, t in enumerate(tokens) if t[1] == b) + 1
-        worth += model.value(kind, pii.segment_features(text, tokens, i, j))
-    assert worth == pytest.approx(best(len(tokens)))
+    want, moves = Counter(), Counter()
+
+    def count(way, amount):
+        at, before = 0, pii.OUTSIDE
+        starts = {i: (j, k) for i, j, k in way}
+        while at < len(tokens):
+            j, kind = starts.get(at, (at + 1, pii.OUTSIDE))
+            if kind != pii.OUTSIDE:
+                for f in dict(lattice[j])[at]:
+                    want[kind, f] += amount
+            if before != pii.OUTSIDE:
+                moves[before, kind] += amount
+            at, before = j, kind
+
+    for way, v in ways:
+        count(way, -math.exp(v) / total)
+    count(pii.SemiMarkov._as_tokens(tokens, gold), 1.0)
+    before, before_moves = dict(model.weights), dict(model.moves)
+    model.learn(text, gold, 1e-3, 0.0)
+    for key, g in want.items():
+        assert model.weights[key] - before[key] == pytest.approx(1e-3 * g, abs=2e-6), key
+    for key, g in moves.items():
+        assert model.moves[key] - before_moves[key] == pytest.approx(1e-3 * g, abs=1e-9), key
+
+
+def test_stretches_give_what_the_whole_text_gives():
+    model, rng = pii.trained(), random.Random(3)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [lambda: word(rng), lambda: word(rng), lambda: word(rng), lambda: number(rng.randint(1, 17)), lambda: "+1 (555) " + number(3) + "-" + number(4), lambda: "a@b.cd", lambda: "10.0.0." + number(2), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)), lambda: rng.choice(["\n", "\t", "  ", ".", ",", "(", "_"]), lambda: "\u00a0"]
+    samples = [" ".join(rng.choice(makers)() for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    samples += ["key = '1" + "a" * n + "'" for n in (1199, 2400)] + ["6" + "f" * 1200 + " " + word(rng), ("x" * 700 + " ") * 30 + "call 555-123-4567" + " y" * 900]
+    for text in samples:
+        base = pii.base_spans(text)
+        whole = sorted(base + model.decode(text, pii.MARGIN, base), key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        assert pii.all_spans(text, model)[1] == whole, text
+
+
+def test_very_long_parts(spark):
+    big = "0" * 5000 + ".1.1.1"
+    rows = spark.createDataFrame([(1, big), (2, "9" * 5000 + ".1.1.1"), (3, "7x" * 100_000), (4, "1" * 300_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find(rows).collect()}
+    assert found[1]["n_ip"] == 1 and found[2]["n_ip"] == 0 and len(found) == 4
 
 
 def test_pii_columns_and_masks(spark, docs, odd, none):
