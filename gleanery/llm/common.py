@@ -62,8 +62,8 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or "/tmp/checkpoints/gleanery").rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage ends there, lost executors recompute from it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import best_fit, exact, lines, media, near, pii, spm, suffix, token_counts, toxicity
-from gleanery.llm.common import documents
+from gleanery.llm.common import documents, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.inspect(media.store(documents(spark, sf_dir)))
+    held = materialize(media.store(documents(spark, sf_dir)), "media", compression="zstd")  # what is read back has been written
+    return media.inspect(held)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
