@@ -13,8 +13,9 @@ Where all shards together fit ``TABLE_BYTES``, which is checked, they are broadc
 Where they don't, the line hashes go to the shards: each shard is copied once for every
 ``PROBES`` hashes that ask for it, so that no frequent line fills a task.
 
-Each row counts as a document. Null texts count as empty, which is one empty line. A
-null id is below all others. An empty table gives no rows.
+Each row counts as a document. Null texts count as empty, which is one empty line. Ids
+may be of any type that has an order; a null id is below all others. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,13 @@ TABLE_BYTES = 64 << 20
 #: Line hashes that meet one copy of a shard in a task, about.
 PROBES = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
-NO_ID = -(1 << 63)
+
+
+def id_array(ids: list) -> np.ndarray:
+    """Ids of any type; null is None."""
+    out = np.empty(len(ids), object)
+    out[:] = ids
+    return out
 
 
 def line_hashes(text: str, min_chars: int) -> list[tuple[int, int]]:
@@ -119,24 +126,29 @@ class Shard:
         # keys with one lower half (never seen) can't be told apart by place: all but the first are listed
         _, first = np.unique(low, return_index=True)
         twins = np.setdiff1d(np.arange(len(low)), first)
-        self.twins = {(int(high[i]), int(low[i])): (int(docs[i]), int(last[i])) for i in twins}
+        self.twins = {(int(high[i]), int(low[i])): (int(docs[i]), last[i]) for i in twins}
         self.hash = PerfectHash(low[first])
         at = self.hash.places(low[first])
-        self.prints, self.docs, self.last = np.zeros(self.hash.n, np.uint64), np.zeros(self.hash.n, np.uint32), np.zeros(self.hash.n, np.int64)
+        self.prints, self.docs, self.last = np.zeros(self.hash.n, np.uint64), np.zeros(self.hash.n, np.uint32), np.empty(self.hash.n, last.dtype)
         self.prints[at], self.docs[at], self.last[at] = high[first], np.minimum(docs[first], 0xFFFFFFFF), last[first]
 
     def find(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each line is one of the frequent, and its last document."""
-        at = self.hash.places(low)
-        safe = np.maximum(at, 0)
-        hit = (at >= 0) & (self.prints[safe] == high) if self.hash.n else np.zeros(len(low), bool)
-        last = np.where(hit, self.last[safe], 0) if self.hash.n else np.zeros(len(low), np.int64)
+        """Whether each line is one of the frequent, and the last document of those that are."""
+        hit, last = np.zeros(len(low), bool), np.empty(len(low), self.last.dtype)
+        if self.hash.n:
+            at = self.hash.places(low)
+            hit = (at >= 0) & (self.prints[np.maximum(at, 0)] == high)
+            last[hit] = self.last[at[hit]]
         for (h, lo), (_, end) in self.twins.items():
             twin = (high == np.uint64(h)) & (low == np.uint64(lo))
-            hit, last = hit | twin, np.where(twin, end, last)
+            hit, last[twin] = hit | twin, end
         return hit, last
 
 
+def id_type(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
 def frequent_lines(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(high, low, docs, last) of every line key that at least ``min_docs`` rows hold, by its hash."""
 
@@ -154,8 +166,8 @@ def frequent_lines(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
         return step
 
-    hashed = map_batches(rows, make, "high long, low long, doc_id long")
-    counted = hashed.groupBy("high", "low").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("last"))
+    hashed = map_batches(rows, make, f"high long, low long, doc_id {id_type(rows)}")
+    counted = hashed.groupBy("high", "low").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
     return counted.filter(F.col("docs") >= min_docs)
 
 
@@ -165,7 +177,10 @@ def shards(frequent: DataFrame) -> tuple[DataFrame, int]:
 
     def build(table: pa.Table) -> pa.Table:
         high, low = (table[c].to_numpy().view(np.uint64) for c in ("high", "low"))
-        made = Shard(high, low, table["docs"].to_numpy(), table["last"].to_numpy())
+        last = table["last"]
+        # whole numbers without a null need no objects
+        plain = pa.types.is_integer(last.type) and not last.null_count
+        made = Shard(high, low, table["docs"].to_numpy(), last.to_numpy().astype(np.int64) if plain else id_array(last.to_pylist()))
         return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), "table": pa.array([pickle.dumps(made)], pa.binary())})
 
     dealt = frequent.withColumn("shard", F.pmod("high", F.lit(number).cast("long")))
@@ -173,7 +188,7 @@ def shards(frequent: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _find(tables: dict[int, Shard], number: int, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hit, last = np.zeros(len(high), bool), np.zeros(len(high), np.int64)
+    hit, last = np.zeros(len(high), bool), np.empty(len(high), object)
     of = high.view(np.int64) % number  # as pmod
     for shard in np.unique(of):
         if (table := tables.get(int(shard))) is not None:
@@ -204,15 +219,15 @@ def _probe_broadcast(rows: DataFrame, tables: DataFrame, number: int, min_chars:
             dropped: dict[int, set[int]] = {}
             if hashes:
                 hit, last = _find(own, number, *halves(hashes))
-                mine = np.array([NO_ID if i is None else i for i in ids], np.int64)[at]
-                for k in np.flatnonzero(hit & (last != mine)):
-                    dropped.setdefault(at[k], set()).add(line[k])
+                for k in np.flatnonzero(hit).tolist():
+                    if last[k] != ids[at[k]]:
+                        dropped.setdefault(at[k], set()).add(line[k])
             cut = [_cut(text, dropped.get(r, set())) for r, text in enumerate(held)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in cut], pa.string()), pa.array([n for _, n in cut], pa.int64()), pa.array([len(dropped.get(r, ())) for r in range(len(held))], pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
         return step
 
-    return map_batches(rows, make, "doc_id long, text string, n_lines long, n_dropped long")
+    return map_batches(rows, make, f"doc_id {id_type(rows)}, text string, n_lines long, n_dropped long")
 
 
 def _probe_routed(rows: DataFrame, tables: DataFrame, number: int, min_chars: int) -> DataFrame:
@@ -234,7 +249,8 @@ def _probe_routed(rows: DataFrame, tables: DataFrame, number: int, min_chars: in
 
         return step
 
-    probes = map_batches(keyed, make, "doc_id long, body long, line int, high long, low long").withColumn("shard", F.pmod("high", F.lit(number).cast("long")))
+    kind = id_type(rows)
+    probes = map_batches(keyed, make, f"doc_id {kind}, body long, line int, high long, low long").withColumn("shard", F.pmod("high", F.lit(number).cast("long")))
     probes = materialize(probes, "line-probes")
     asked = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("long").alias("copies"))  # MOST_SHARDS rows at most
     asked = materialize(asked, "line-copies")
@@ -247,10 +263,12 @@ def _probe_routed(rows: DataFrame, tables: DataFrame, number: int, min_chars: in
         own = pickle.loads(table["table"][0].as_py())
         high, low = (mine[c].to_numpy().view(np.uint64) for c in ("high", "low"))
         hit, last = own.find(high, low)
-        ids = mine["doc_id"].fill_null(NO_ID).to_numpy()
-        return mine.select(["doc_id", "body", "line"]).filter(pa.array(hit & (last != ids)))
+        at = np.flatnonzero(hit)
+        ids = mine["doc_id"].take(pa.array(at)).to_pylist()
+        gone = [i for i, doc, end in zip(at.tolist(), ids, last[at].tolist(), strict=True) if doc != end]
+        return mine.select(["doc_id", "body", "line"]).take(pa.array(gone, pa.int64()))
 
-    hits = dealt.drop("copies").groupBy("shard", "copy").cogroup(copies.drop("copies").groupBy("shard", "copy")).applyInArrow(probe, "doc_id long, body long, line int")
+    hits = dealt.drop("copies").groupBy("shard", "copy").cogroup(copies.drop("copies").groupBy("shard", "copy")).applyInArrow(probe, f"doc_id {kind}, body long, line int")
     drops = hits.groupBy("doc_id", "body").agg(F.collect_set("line").alias("drops")).select(F.col("doc_id").alias("of"), F.col("body").alias("of_body"), "drops")
     joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body")), "left")
     lines = F.split("text", "\n", -1)
@@ -261,7 +279,7 @@ def _probe_routed(rows: DataFrame, tables: DataFrame, number: int, min_chars: in
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) of every row: its text without repeated lines, how many lines it had and how many went."""
-    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = texts(docs, id_col, text_col)
     frequent = materialize(frequent_lines(rows, min_chars, min_docs), "frequent-lines")
     built, number = shards(frequent)
     tables = materialize(built, "line-shards")
