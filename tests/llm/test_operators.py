@@ -155,6 +155,66 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert kept.columns == docs.columns and kept.count() == sum(s < 0.5 for s in scored.values())
 
 
+def slow_buckets(text):
+    """Buckets of the n-grams, one at a time."""
+    mask = (1 << 64) - 1
+    chars = [c if ord(c) > 127 or c.isalnum() or c == "'" else " " for c in f" {text.lower()} "]
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(chars) - n + 1):
+            own = chars[i : i + n]
+            if " " in own[1:-1]:
+                continue
+            h = ord(own[0])
+            for c in own[1:]:
+                h = (h * 0x100000001B3 & mask) ^ (ord(c) * int(toxicity.FACTOR) & mask)
+            out.add((h ^ h >> 29) * int(toxicity.FACTOR) % (1 << 64) >> 64 - toxicity.BUCKET_BITS)
+    return out
+
+
+def slow_model(rows, toxic, weight):
+    """The log-count ratios and the regression, by loops over features."""
+    own = [slow_buckets(t) for t in rows]
+    n = Counter(toxic)
+    have = {k: Counter(b for o, y in zip(own, toxic, strict=True) if y == k for b in o) for k in (0, 1)}
+    ratio, total = {}, sum(n.values())
+    for b in have[0].keys() | have[1].keys():
+        p, q = have[1][b] / n[1], have[0][b] / n[0]
+        share = (have[0][b] + have[1][b]) / total
+        chi = (p - q) ** 2 / (max(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
+        if have[0][b] + have[1][b] >= toxicity.MIN_TEXTS and chi >= toxicity.MIN_CHI:
+            ratio[b] = math.log((have[1][b] + 1) / (n[1] + 2)) - math.log((have[0][b] + 1) / (n[0] + 2))
+    share = sum(w for w, y in zip(weight, toxic, strict=True) if y) / sum(weight)
+    w, w0 = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 0.0)
+    b = b0 = math.log(share / (1 - share))
+    scale = [x / sum(weight) for x in weight]
+    curve = 0.25 * sum(s * (1 + sum(ratio[f] ** 2 for f in o if f in ratio)) for s, o in zip(scale, own, strict=True)) + toxicity.PENALTY
+    for k in range(toxicity.STEPS):
+        yw = {f: w[f] + k / (k + 3) * (w[f] - w0[f]) for f in ratio}
+        yb = b + k / (k + 3) * (b - b0)
+        slope = [s * (1 / (1 + math.exp(-(yb + sum(yw[f] * ratio[f] for f in o if f in ratio)))) - y) for s, o, y in zip(scale, own, toxic, strict=True)]
+        w0, b0 = w, b
+        grad = Counter()
+        for s, o in zip(slope, own, strict=True):
+            for f in o:
+                if f in ratio:
+                    grad[f] += ratio[f] * s
+        w = {f: yw[f] - (grad[f] + toxicity.PENALTY * yw[f]) / curve for f in ratio}
+        b = yb - sum(slope) / curve
+    return lambda text: 1 / (1 + math.exp(-(b + sum(w[f] * ratio[f] for f in slow_buckets(text) if f in ratio))))
+
+
+def test_toxicity_equals_slow_loops():
+    rng = random.Random(12)
+    rows = [prose(rng, rng.randint(0, 15)) + (" vileword" if i % 4 == 0 else "") for i in range(60)]
+    toxic = [int(i % 4 == 0) for i in range(60)]
+    weight = [2.5 if y else 1.0 for y in toxic]
+    model = toxicity.fit(rows, np.array(toxic, np.float64), np.array(weight))
+    slow = slow_model(rows, toxic, weight)
+    for text in [*rows, "", "a vileword it is", "é ß'n Straße"]:
+        assert model.score(text) == pytest.approx(slow(text), abs=1e-5)
+
+
 def test_toxicity_without_labels(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, empty)
@@ -719,6 +779,11 @@ def test_lines_equal_brute_force(docs, odd, none, table_bytes):
         got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in out.collect())
         assert got == brute_lines([(r["doc_id"], r["text"]) for r in df.collect()], 20, 3)
     assert lines.without_repeated_lines(none, table_bytes=table_bytes).count() == 0
+    # ids of letters: the largest is the last in their order
+    named = odd.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("d%05d", "doc_id")))
+    out = lines.without_repeated_lines(named, min_chars=20, min_docs=3, table_bytes=table_bytes).collect()
+    want = brute_lines([(r["doc_id"], r["text"]) for r in odd.collect()], 20, 3)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in out) == sum((Counter({(None if k[0] is None else f"d{k[0]:05d}", *k[1:3]): n}) for k, n in want.items()), Counter())
 
 
 def test_perfect_hash_has_a_place_for_each_key():
