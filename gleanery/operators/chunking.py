@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import lines, stripped
+from gleanery.functions.text import LINE_END, lines, stripped
 
 # Fixed values of chunking: sizes in tokens of four characters, and the overlap of a cut.
 MAX_TOKENS, MIN_TOKENS, OVERLAP_CHARS = 400, 40, 200
@@ -45,67 +46,93 @@ def sections(notes: DataFrame, id_col: str = "note_id", body_col: str = "body")
     return parts.select("note_id", "section", "path", text.alias("text")).filter(F.length("text") > 0)
 
 
-def size(text: str) -> int:
-    return len(text) // 4
-
-
-def cut_long(text: str) -> list[str]:
-    """Pieces of a long section, at paragraph ends where possible; each begins with the end of the one before."""
-    limit, pieces, open_ = 4 * MAX_TOKENS, [], ""
+#: What ends a section or matters for it, on a line of its own: a fence, a heading, a rule.
+MARK = re.compile(r"^(?:(?P<fence>[^\S\n]*(?:```|~~~))|(?P<level>#{1,6})[^\S\n]+(?P<title>.*)|[^\S\n]*(?:---+|\*\*\*+)[^\S\n]*$)", re.M)
+ENDS = re.compile(LINE_END)
+BLANK = re.compile(r"\n\s*\n")
+LIMIT_CHARS = 4 * MAX_TOKENS
+
+
+def marked_sections(body: str) -> list[tuple[list[str], str]]:
+    """(path, text) of a note's sections with text: the slices between its headings and rules."""
+    text = ENDS.sub("\n", body)
+    out, trail, start, code = [], {}, 0, False
+    for m in [*MARK.finditer(text), None]:
+        if m and m["fence"] is not None:
+            code = not code
+        elif m is None or not code:
+            if own := text[start : m.start() if m else len(text)].strip():
+                out.append(([trail[level] for level in sorted(trail)], own))
+            if m:
+                start = m.end()
+                if m["level"]:
+                    trail = {level: title for level, title in trail.items() if level < len(m["level"])} | {len(m["level"]): m["title"].strip()}
+    return out
 
-    def close() -> None:
-        nonlocal open_
-        if open_:
-            pieces.append(open_)
-        open_ = ""
 
-    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        while size(paragraph) > MAX_TOKENS:
-            close()
-            space = paragraph.rfind(" ", 0, limit)
-            at = space if space > 0 else limit
-            pieces.append(paragraph[:at])
-            paragraph = paragraph[at:].strip()
-        if open_ and size(open_ + paragraph) > MAX_TOKENS:
-            tail = open_[-OVERLAP_CHARS:]
-            close()
-            open_ = tail[tail.find(" ") + 1 :] + "\n\n" + paragraph
-        else:
-            open_ = "\n\n".join(filter(None, (open_, paragraph)))
-    close()
-    return pieces
-
-
-def folded(parts: list[tuple[list[str], str]]) -> list[tuple[list[str], str]]:
-    """Sections (path, text) of one note as chunks: long ones cut, then small ones joined to the next, a last one to the one before."""
-    pieces = [(path, p) for path, text in parts for p in (cut_long(text) if size(text) > MAX_TOKENS else [text])]
-    out: list[tuple[list[str], str]] = []
-    waiting = ""
-    for k, (path, text) in enumerate(pieces):
-        text = f"{waiting}\n\n{text}" if waiting else text
-        waiting = ""
-        if size(text) >= MIN_TOKENS:
-            out.append((path, text))
-        elif k + 1 < len(pieces):
-            waiting = text
-        elif out:
-            out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{text}")
+def blocks(text: str) -> Iterator[tuple[str, bool]]:
+    """Paragraphs in order, and whether each stands alone: one that is too long gives full slices that do, ended at a space, and a rest that doesn't."""
+    for paragraph in BLANK.split(text):
+        rest = paragraph.strip()
+        while len(rest) // 4 > MAX_TOKENS:
+            head, space, _ = rest[:LIMIT_CHARS].rpartition(" ")
+            yield (head if space and head else rest[:LIMIT_CHARS]), True
+            rest = rest[len(head) if space and head else LIMIT_CHARS :].strip()
+        if rest:
+            yield rest, False
+
+
+def pieces(text: str) -> list[str]:
+    """A long section as pieces of whole paragraphs; a piece that follows a full one begins with that one's last words."""
+    out: list[str] = []
+    fill = False  # whether the last piece may take more
+    for block, alone in blocks(text):
+        if fill and not alone and (len(out[-1]) + len(block)) // 4 <= MAX_TOKENS:
+            out[-1] += "\n\n" + block
+        elif fill and not alone:
+            _, space, words = out[-1][-OVERLAP_CHARS:].partition(" ")
+            out.append((words if space else out[-1][-OVERLAP_CHARS:]) + "\n\n" + block)
         else:
-            out.append((path, text))
+            out.append(block)
+        fill = not alone
     return out
 
 
-def chunks(notes: DataFrame, id_col: str = "note_id", body_col: str = "body") -> DataFrame:
-    """(note_id, position, path, text): Spark gathers each note's sections in order, and the fold runs note by note over Arrow batches."""
-    gathered = sections(notes, id_col, body_col).groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("section", "path", "text"))).alias("parts"))
-    kind = gathered.schema["note_id"].dataType.simpleString()
+def together(parts: list[tuple[list[str], str]]) -> list[tuple[list[str], str]]:
+    """Parts (path, text) in groups that are large enough, each under its last part's path; what is left over joins the group before, under that one's."""
+    groups: list[list[int]] = [[]]
+    chars = 0
+    for i, (_, text) in enumerate(parts):
+        chars += len(text) + (2 if groups[-1] else 0)
+        groups[-1].append(i)
+        if chars // 4 >= MIN_TOKENS:
+            groups.append([])
+            chars = 0
+    *full, rest = groups
+    if full and rest:
+        return [(parts[g[-1]][0], "\n\n".join(parts[i][1] for i in g + (rest if g is full[-1] else []))) for g in full]
+    return [(parts[g[-1]][0], "\n\n".join(parts[i][1] for i in g)) for g in groups if g]
+
 
-    def run(frames):
-        for frame in frames:
-            rows = [(note, k, path, text) for note, parts in zip(frame["note_id"], frame["parts"], strict=True) for k, (path, text) in enumerate(folded([(list(p["path"]), p["text"]) for p in parts]))]
-            yield pd.DataFrame(rows, columns=["note_id", "position", "path", "text"])
+def note_chunks(body: str) -> list[tuple[list[str], str]]:
+    """(path, text) of a note's chunks."""
+    return together([(path, p) for path, text in marked_sections(body) for p in (pieces(text) if len(text) // 4 > MAX_TOKENS else [text])])
 
-    return gathered.mapInPandas(run, f"note_id {kind}, position int, path array<string>, text string")
+
+def chunks(notes: DataFrame, id_col: str = "note_id", body_col: str = "body") -> DataFrame:
+    """(note_id, position, path, text) of every note's chunks, note by note over Arrow batches: no shuffle. A null body has none."""
+    own = notes.select(F.col(id_col).alias("note_id"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
+    kind = own.schema["note_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            made = [note_chunks(b) for b in batch.column(1).to_pylist()]
+            at = pa.array([r for r, m in enumerate(made) for _ in m], pa.int64())
+            flat = [c for m in made for c in m]
+            cols = [batch.column(0).take(at), pa.array([k for m in made for k in range(len(m))], pa.int32()), pa.array([p for p, _ in flat], pa.list_(pa.string())), pa.array([t for _, t in flat], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["note_id", "position", "path", "text"])
+
+    return own.mapInArrow(run, f"note_id {kind}, position int, path array<string>, text string")
 
 
 def item_chunks(items: DataFrame) -> DataFrame:

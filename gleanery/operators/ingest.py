@@ -81,7 +81,7 @@ def pruned(index: DataFrame, new: DataFrame, prunes: list[str]) -> DataFrame:
     """The index without rows of pruning providers that their listing, if it has any row, no longer has."""
     listed = new.select("provider").distinct().filter(F.col("provider").isin(prunes)).withColumn("listed", F.lit(True))
     kept = new.select(*KEYS).distinct().withColumn("kept", F.lit(True))
-    marked = index.join(F.broadcast(listed), "provider", "left").join(kept, KEYS, "left")
+    marked = index.join(listed, "provider", "left").join(kept, KEYS, "left")
     return marked.filter(F.col("listed").isNull() | F.col("kept").isNotNull()).select(*index.columns)
 
 

@@ -34,7 +34,7 @@ def open_tasks(lists: DataFrame, tasks: DataFrame, most: int = 500) -> DataFrame
     """(list_id, list_name, task_id, title) of open tasks that are neither deleted nor hidden, ``most`` of each list by position."""
     nth = Window.partitionBy("list_id").orderBy("position", "task_id")
     kept = tasks.filter(~F.col("completed") & ~F.col("deleted") & ~F.col("hidden")).withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= most)
-    return kept.join(F.broadcast(lists), "list_id").select("list_id", "list_name", "task_id", "title")
+    return kept.join(lists, "list_id").select("list_id", "list_name", "task_id", "title")
 
 
 def list_counts(lists: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -67,6 +67,6 @@ def validated(intents: DataFrame, existing: DataFrame) -> DataFrame:
 def looked_up(asked: DataFrame, results: DataFrame) -> DataFrame:
     """(call_id, answer): calls (call_id, argument) by the number of a result (number, title, source): only notes can be opened."""
     number = F.expr("try_cast(argument AS int)")
-    found = asked.withColumn("number", number).join(F.broadcast(results), "number", "left")
+    found = asked.withColumn("number", number).join(results, "number", "left")
     answer = F.when(F.col("number").isNull(), "not a number").when(F.col("title").isNull(), "out of range").when(F.col("source") != "obsidian", "not a note").otherwise(F.col("title"))
     return found.select("call_id", answer.alias("answer"))

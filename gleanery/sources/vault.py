@@ -11,8 +11,13 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from gleanery.functions.text import inline_tags
 
 SKIPPED = {".obsidian", ".trash"}
 SCHEMA = "path string, modified_at timestamp, content binary"
@@ -65,8 +70,6 @@ class VaultSource(DataSource):
 
 def read_vault(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """(path, modified_at, content, text): bytes that aren't UTF-8 become replacement characters in ``text``; ``content`` is exact."""
-    from pyspark.sql import functions as F
-
     spark.dataSource.register(VaultSource)
     reader = spark.read.format("vault").option("path", root)
     own = (reader if limit is None else reader.option("limit", str(limit))).load()
@@ -75,8 +78,6 @@ def read_vault(spark: SparkSession, root: str, limit: int | None = None) -> Data
 
 def note(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One note, or no row if there is none of that name inside the vault."""
-    from pyspark.sql import functions as F
-
     return read_vault(spark, root).filter(F.col("path") == name)
 
 
@@ -106,17 +107,13 @@ def frontmatter(text: str) -> tuple[dict[str, list[str]], str]:
     return fields, rest.removeprefix("\n")
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """(path, modified_at, tags, body) of vault files: tags of the head and of the text, sorted, each once."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
-    from gleanery.functions.text import inline_tags
+@F.pandas_udf(StructType([StructField("tags", ArrayType(StringType())), StructField("body", StringType())]))  # types, as a string needs a session
+def split_note(text: pd.Series) -> pd.DataFrame:
+    rows = [frontmatter(t) for t in text]
+    return pd.DataFrame({"tags": [[t.lstrip("#") for t in f.get("tags") or f.get("tag") or []] for f, _ in rows], "body": [b for _, b in rows]})
 
-    @F.pandas_udf("struct<tags: array<string>, body: string>")
-    def split(text: pd.Series) -> pd.DataFrame:
-        rows = [frontmatter(t) for t in text]
-        return pd.DataFrame({"tags": [[t.lstrip("#") for t in f.get("tags") or f.get("tag") or []] for f, _ in rows], "body": [b for _, b in rows]})
 
-    own = files.withColumn("s", split("text"))
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, modified_at, tags, body) of vault files (path, modified_at, text): tags of the head and of the text, sorted, each once."""
+    own = files.withColumn("s", split_note(F.coalesce("text", F.lit(""))))
     return own.select("path", "modified_at", F.array_sort(F.array_union("s.tags", inline_tags(F.col("s.body")))).alias("tags"), F.col("s.body").alias("body"))

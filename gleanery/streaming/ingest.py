@@ -27,15 +27,25 @@ def current(spark: SparkSession, folder: str, schema) -> tuple[DataFrame, int]:
 
 
 def index_stream(listing: DataFrame, folder: str, prunes: list[str] = ()) -> StreamingQuery:
-    """Starts the merge of a stream of items (see operators.ingest) and stops when all that is there has been read."""
-    schema = listing.schema
+    """Starts the merge of a stream of items (see operators.ingest) and stops when all that is there has been read.
+
+    A micro-batch has what came since the last one, so a key that it lacks is no sign of a removal: nothing is pruned unless
+    the stream says that a listing is whole. For that it may have a column ``complete``: a provider in ``prunes`` is pruned by
+    a batch in which all its rows have ``complete`` true, to the keys of those rows. Of rows with one key the newest stays:
+    by ``modified_at``, a missing time first, then by fingerprint.
+    """
+    whole = "complete" in listing.columns
+    schema = (listing.drop("complete") if whole else listing).schema
+    newest = F.max_by(F.struct(*schema.names), F.struct(F.coalesce(F.col("modified_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.col("fingerprint")))
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         index, version = current(spark, folder, schema)
         if version >= number:
             return  # run before, and done
-        merged(index, batch.dropDuplicates(["provider", "provider_id"]), list(prunes)).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        new = batch.groupBy("provider", "provider_id").agg(newest.alias("r")).select("r.*")
+        complete = [r["provider"] for r in batch.filter(F.col("provider").isin(list(prunes))).groupBy("provider").agg(F.min(F.coalesce("complete", F.lit(False))).alias("all")).filter("all").collect()] if whole and prunes else []
+        merged(index, new, complete).write.mode("overwrite").parquet(f"{folder}/version={number}")
         spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("append").parquet(f"{folder}/pointer")
 
     return listing.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(step).start()

@@ -1,7 +1,9 @@
 """Operators of retrieval, notes and ingest on small cases, and every query that has SQL against DuckDB."""
 
+import datetime
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -219,6 +221,44 @@ def test_index_stream(spark, tmp_path):
     assert version == 1 and {(r["provider_id"], r["fingerprint"]) for r in index.collect()} == {("1", "y"), ("2", "x"), ("3", "y")}
 
 
+def test_index_stream_prunes_complete_listings_only(spark, tmp_path):
+    schema = "provider string, provider_id string, title string, excerpt string, tags array<string>, modified_at timestamp, fingerprint string, body string, complete boolean"
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/index"
+    early, late = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
+    row = lambda p, i, f, at, whole: (p, i, "t", "e", [], at, f, "", whole)
+    runs = [
+        [row("a", "1", "x", early, True), row("a", "2", "x", early, True), row("b", "1", "x", early, True)],
+        [row("a", "1", "new", late, False), row("a", "1", "old", early, False)],  # a part of a listing: the second row stays in the index
+        [row("a", "1", "new", late, True), row("b", "9", "x", None, None)],  # the whole of a's listing, which lacks "2"; b's isn't said to be whole
+    ]
+    seen = []
+    for data in runs:
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+        streaming.index_stream(spark.readStream.schema(schema).parquet(source), folder, ["a", "b"]).awaitTermination()
+        index, _ = streaming.current(spark, folder, spark.createDataFrame([], schema).drop("complete").schema)
+        seen.append({(r["provider"], r["provider_id"], r["fingerprint"]) for r in index.collect()})
+    assert seen[0] == {("a", "1", "x"), ("a", "2", "x"), ("b", "1", "x")}
+    assert seen[1] == {("a", "1", "new"), ("a", "2", "x"), ("b", "1", "x")}
+    assert seen[2] == {("a", "1", "new"), ("b", "1", "x"), ("b", "9", "x")}
+
+
+def test_note_chunks_follow_the_sections(spark):
+    """The sections that windows find, and those that one pass over a note finds, on random notes; and what cuts and merges must keep."""
+    rng = random.Random(1)
+    bits = ["# A\n", "## B  \n", "### C ##\n", "#no\n", "text here\n", " \n", "\n", "```\n", "  ~~~ x\n", "---\n", "***  \n", "- - -\n", "\r\n", "a\x1cb\n", "# \n", "\t---\n", "#\ttab\n", " ".join(["word"] * 500) + "\n\n"]
+    notes = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    df = spark.createDataFrame(notes, "note_id int, body string")
+    found = {}
+    for r in chunking.sections(df).orderBy("note_id", "section").collect():
+        found.setdefault(r["note_id"], []).append((list(r["path"]), r["text"]))
+    for i, body in notes:
+        assert chunking.marked_sections(body) == found.get(i, []), body
+        own = chunking.note_chunks(body)
+        if len(own) > 1:
+            assert all(len(t) // 4 >= chunking.MIN_TOKENS for _, t in own)
+        assert [w for _, t in own for w in t.split() if w not in ("word",)] == [w for _, t in found.get(i, []) for w in t.split() if w not in ("word",)] or any(len(t) // 4 > chunking.MAX_TOKENS for _, t in found[i])
+
+
 def test_measures_of_nothing(spark):
     assert tuple(evaluation.recall_mrr(spark.createDataFrame([], "rank int"), 5).first()) == (0.0, 0.0)
     got = evaluation.recall_mrr(spark.createDataFrame([(1,), (2,), (5,), (None,)], "rank int"), 5).first()
@@ -235,6 +275,32 @@ def test_tag_rules(spark):
     assert state.capture_states(spark.createDataFrame([], "id string, action string, at timestamp, seq int")).count() == 0
 
 
+def test_similar_existing_takes_spelling_before_meaning(spark):
+    wanted = spark.createDataFrame([("postgresqls", [1.0, 0.0]), ("storage", [1.0, 0.0]), ("alone", [0.0, -1.0])], "tag string, vector array<double>")
+    known = spark.createDataFrame([(1, "postgresql", [0.0, 1.0]), (2, "database", [0.9, 0.1]), (3, "plan", [1.0, 0.0])], "nth int, similar string, known_vector array<double>")
+    got = {r["tag"]: tuple(r)[1:] for r in tags.similar_existing(wanted, known).collect()}
+    assert got == {"postgresqls": ("postgresql", 0.95, "spelling", True), "storage": ("database", 0.99, "meaning", True), "alone": (None, None, None, True)}
+    down = {r["tag"]: tuple(r)[1:] for r in tags.similar_existing(wanted, known, model=False).collect()}
+    assert down == {"postgresqls": ("postgresql", 0.95, "spelling", True), "storage": (None, None, None, False), "alone": (None, None, None, False)}
+    assert {r["checked_meaning"] for r in tags.similar_existing(wanted, known.limit(0), model=False).collect()} == {True}
+
+
+def test_spelling_bound_loses_nothing(spark):
+    import difflib
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcde-") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    words += [w[:-1] + rng.choice("abc") for w in words] + [w + "s" for w in words[:20]]
+    wanted = spark.createDataFrame([(w,) for w in sorted(set(words))], "tag string")
+    known = spark.createDataFrame(list(enumerate(sorted(set(words)))), "nth int, similar string")
+    want = {}
+    for w in set(words):
+        scored = [(-difflib.SequenceMatcher(None, w, k).ratio(), n, k) for n, k in enumerate(sorted(set(words))) if k != w]
+        if scored and -min(scored)[0] >= tags.SAME_SPELLING:
+            want[w] = min(scored)[2]
+    assert want and {r["tag"]: r["similar"] for r in tags.alike_by_spelling(wanted, known).collect()} == want
+
+
 def test_crowding_over_many_queries(spark):
     """Against brute force: the best chunk counts, not the number of chunks; ties by id; vectors without length aren't ranked."""
     c = spark.createDataFrame([("far", 0, [-1.0, 0.1]), ("far", 1, [-1.0, 0.0]), ("far", 2, [-1.0, -0.1]), ("x", 0, [1.0, 0.0]), ("y", 0, [0.0, 1.0]), ("y", 1, [0.0, -1.0]), ("z", 0, [1.0, 1.0]), ("zero", 0, [0.0, 0.0]), ("null", 0, None)], "entity_id string, position int, embedding array<float>")
