@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of what a step works on at a time; Spark's own Arrow batches are bounded by bytes too.
-BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+#: Rows and bytes of what a step works on at a time, and bytes of Spark's Arrow batches where the session says nothing of them.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,12 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Applies make()'s function to parts of every Arrow batch; make runs once a task, on the executor."""
+    """Applies make()'s function to parts of every Arrow batch; make runs once a task, on the executor.
+
+    Spark's 64 MB a batch are several times that in both processes of a task, so a session that has no value of its own gets a smaller one.
+    """
+    if BATCH_SETTING not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
