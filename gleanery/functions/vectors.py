@@ -24,3 +24,9 @@ def normalised(a: Column) -> Column:
     """The vector at unit length; one without length stays."""
     norm = F.sqrt(dot(a, a))
     return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+
+def hashed_words(words: Column, size: int = 64) -> Column:
+    """A vector of how often words fall on each of ``size`` places, by their hash: a deterministic stand-in for a model's embedding."""
+    at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))

@@ -37,6 +37,39 @@ def top_fused(lists: list[DataFrame], limit: int, weights: list[float] | None =
     return fused(lists, weights, k).orderBy(F.desc("score"), "first").limit(limit).select("entity_id", "score")
 
 
+class VectorsUnavailable(Exception):
+    """Vector search was asked for and there are no vectors."""
+
+
+def retrieved(keyword: DataFrame, near: DataFrame | None, mode: str = "hybrid", limit: int = 5) -> DataFrame:
+    """(entity_id, score, mode): the best of a keyword list (entity_id, rank) and a vector list (entity_id, score), by one of them or both fused.
+
+    Without vectors (``near`` is None, as when the model is down) a hybrid search answers from keywords and says so in ``mode``; a vector
+    search raises ``VectorsUnavailable``. Of equal scores, those of the keyword list come first, in its order.
+    """
+    if mode not in ("keyword", "vector", "hybrid"):
+        raise ValueError(f"no such mode: {mode}")
+    if mode == "vector" and near is None:
+        raise VectorsUnavailable("a vector search without vectors")
+    if mode == "keyword" or near is None:
+        return keyword.orderBy(F.desc("rank"), "entity_id").limit(limit).select("entity_id", F.col("rank").alias("score"), F.lit("keyword").alias("mode"))
+    if mode == "vector":
+        return near.orderBy(F.desc("score"), "entity_id").limit(limit).select("entity_id", "score", F.lit("vector").alias("mode"))
+    lists = [positioned(keyword, F.desc("rank"), F.col("entity_id")), positioned(near, F.desc("score"), F.col("entity_id"))]
+    return top_fused(lists, limit).select("entity_id", "score", F.lit("hybrid").alias("mode"))
+
+
+#: Fixed value: how many notes are read whole for one answer.
+WHOLE_NOTES = 2
+
+
+def with_contents(hits: DataFrame, most: int = WHOLE_NOTES) -> DataFrame:
+    """Hits (position, is_note, excerpt, body, ...) with ``content``: the body of the first ``most`` notes that have one, else the excerpt."""
+    has = F.col("is_note") & (F.coalesce("body", F.lit("")) != "")
+    before = F.count_if(has).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))  # a handful of hits
+    return hits.withColumn("nth_whole", before).withColumn("content", F.when(has & (F.col("nth_whole") <= most), F.col("body")).otherwise(F.col("excerpt"))).drop("nth_whole")
+
+
 def rendered(hits: DataFrame) -> DataFrame:
     """One row (context): hits (position, title, source, modified_at, content) as numbered blocks."""
     kind = F.coalesce(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[F.col("source")], F.lit("ITEM"))

@@ -114,6 +114,12 @@ def chunks_replaced(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
     return chunks.join(fresh.select("entity_id").distinct(), "entity_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def cascaded(identities: DataFrame, items: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and chunks (entity_id, ...) that are left once their identities (id) are: an item goes with its identity, a chunk with its item."""
+    left = items.join(identities.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    return left, chunks.join(left.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
 def sync_age(states: DataFrame, now: Column) -> DataFrame:
     """(hours, stale): since the newest completed sync of (completed_at); 24 hours or none at all is stale."""
     hours = (F.unix_micros(now) - F.unix_micros(F.max("completed_at"))) / 3.6e9
@@ -151,6 +157,17 @@ def activities(raw: DataFrame) -> DataFrame:
     )
 
 
+def calendars_merged(calendars: DataFrame, events: DataFrame) -> DataFrame:
+    """(calendar_name, provider_id, title, start, all_day) of all calendars (calendar_id, summary, selected) that are switched on; events (calendar_id, id, title, date_time, date, status) that aren't cancelled.
+
+    To be shown by ``start``, then calendar and id; a date counts as its midnight, a time without a zone as UTC.
+    """
+    shown = calendars.filter(F.coalesce("selected", F.lit(False))).select("calendar_id", F.col("summary").alias("calendar_name"))
+    own = events.filter(~F.coalesce(F.col("status") == "cancelled", F.lit(False))).join(shown, "calendar_id")
+    start = F.coalesce(F.try_to_timestamp("date_time"), F.try_to_timestamp("date"))
+    return own.select("calendar_name", F.col("id").alias("provider_id"), F.coalesce("title", F.lit("(untitled)")).alias("title"), start.alias("start"), F.col("date_time").isNull().alias("all_day"))
+
+
 def event_times(raw: DataFrame) -> DataFrame:
     """(provider_id, start, all_day) of events with a time (RFC 3339) or a date; no zone means UTC."""
     start = F.coalesce(F.try_to_timestamp("date_time"), F.try_to_timestamp("date"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import stripped
+from gleanery.operators.graph import problems
 from gleanery.operators.tags import MAX_TOPICS, TYPE_TAGS
 
 
@@ -64,6 +66,57 @@ def validated(intents: DataFrame, existing: DataFrame) -> DataFrame:
     return intents.join(known, "path", "left").select("path", refusal.alias("refusal"))
 
 
+def unchanged_since(notes: DataFrame, intents: DataFrame) -> DataFrame:
+    """(path, refusal) of intents (path, base_modified_at) to change notes (path, modified_at): refused where the note is gone or changed by more than a millisecond since it was read."""
+    known = notes.select("path", F.col("modified_at").alias("now_at"))
+    apart = F.abs(F.unix_micros(F.col("now_at").cast("timestamp")) - F.unix_micros(F.col("base_modified_at").cast("timestamp")))
+    refusal = F.when(F.col("now_at").isNull(), "no longer there").when(apart > 1000, "changed since it was read")
+    return intents.join(known, "path", "left").select("path", refusal.alias("refusal"))
+
+
+def illegal_links(notes: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(path, rule, target): link rules that drafts (nth, path, body) would break if they were saved in the vault of notes (nth, path, body); other notes aren't judged."""
+    saved = notes.join(drafts.select("path"), "path", "left_anti").select("nth", "path", "body").unionByName(drafts.select("nth", "path", "body"))
+    found = problems(saved).filter(F.col("rule") != "unlisted")
+    return found.join(drafts.select(F.col("path").alias("source")), "source", "left_semi").select(F.col("source").alias("path"), "rule", "target")
+
+
+def composed(drafts: DataFrame) -> DataFrame:
+    """(path, content) of drafts (path, type, project, status, repos, topics, body): the note as it is written, fields first.
+
+    A project's page has its status and repositories, another note the project that it belongs to.
+    """
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    filled = lambda c: F.nullif(c, F.lit(""))
+    page = F.col("type") == "project"
+    repos = F.when(F.size("repos") > 0, F.concat(F.lit("repos:\n"), F.array_join(F.transform("repos", lambda r: F.concat(F.lit("  - "), quoted(r))), "\n")))
+    head = [
+        F.when(page, F.lit("type: project")),
+        F.when(page & filled(F.col("status")).isNotNull(), F.concat(F.lit("status: "), quoted(F.col("status")))),
+        F.when(page, repos),
+        F.when(~page & filled(F.col("project")).isNotNull(), F.concat(F.lit("project: "), quoted(F.concat(F.lit("[["), F.col("project"), F.lit("]]"))))),
+        F.concat(F.lit("tags: ["), F.array_join(F.array_distinct(F.concat(F.array("type"), F.coalesce("topics", F.array().cast("array<string>")))), ", "), F.lit("]")),
+    ]
+    return drafts.select("path", F.concat(F.lit("---\n"), F.concat_ws("\n", *head), F.lit("\n---\n\n"), stripped(F.col("body")), F.lit("\n")).alias("content"))
+
+
+def task_id(list_id: Column, own: Column) -> Column:
+    """One id for a task and its list."""
+    return F.concat(list_id, F.lit("/"), own)
+
+
+def task_id_parts(provider_id: Column) -> tuple[Column, Column]:
+    """The list and the task of an id; null for an id without both."""
+    at = F.instr(provider_id, "/")
+    whole = (at > 1) & (at < F.length(provider_id))
+    return F.when(whole, F.substring_index(provider_id, "/", 1)), F.when(whole, F.substr(provider_id, at + 1))
+
+
+def due_text(due: Column) -> Column:
+    """What a task is due on, as midnight UTC of its day: the service keeps the day alone."""
+    return F.date_format(due.cast("timestamp"), "yyyy-MM-dd'T00:00:00.000Z'")
+
+
 def looked_up(asked: DataFrame, results: DataFrame) -> DataFrame:
     """(call_id, answer): calls (call_id, argument) by the number of a result (number, title, source): only notes can be opened."""
     number = F.expr("try_cast(argument AS int)")

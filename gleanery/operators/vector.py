@@ -106,5 +106,12 @@ def embedded(chunks: DataFrame, embed, signature: str, text: str = "text") -> Da
     return own.mapInPandas(run, f"entity_id {kind}, position {own.schema['position'].dataType.simpleString()}, embedding array<float>, embedder string")
 
 
+def updated(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Chunks (entity_id, position, ..., embedding, embedder) with the vectors and embedders of ``fresh`` put in; rows of no chunk change nothing."""
+    new = fresh.select("entity_id", "position", F.struct("embedding", "embedder").alias("new"))
+    held = chunks.join(new, ["entity_id", "position"], "left")
+    return held.select(*(F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in ("embedding", "embedder") else F.col(c) for c in chunks.columns))
+
+
 def embedder_signature(model: str, prefixes: str, header: str) -> str:
     return f"{model}|{prefixes}|{header}"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.plans.registry import Registry
+from gleanery.sources.shared import shared_folder
 from gleanery.sources.tables import table
 from gleanery.streaming.ingest import windowed_counts
 
@@ -17,8 +18,7 @@ R = Registry()
 @R.query("SELECT date_trunc('day', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_by_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, counted by day; the shared folder of the cluster keeps progress and state."""
-    conf = spark.sparkContext.getConf()
-    folder = f"{(conf.get('spark.checkpoint.dir') or '/tmp/checkpoints/gleanery').rstrip('/')}/events-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
     # a pattern, since a stream's path must be a folder or a pattern
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     counted = windowed_counts(stream, "1 day", "1 day")
