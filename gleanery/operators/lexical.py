@@ -10,6 +10,7 @@ one query only.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -41,6 +42,25 @@ def postings(items: DataFrame, stop: list[str], stem: DataFrame | None = None) -
     return out
 
 
+def stored(made: DataFrame, folder: str) -> DataFrame:
+    """The postings as they were written to ``folder``, or if none were, these, written now in the order of their lexemes.
+
+    A search then reads little more than its own lexemes: each file has a range of them, and the statistics in it tell which.
+    A frequent lexeme is spread over several files. The data are written first and then named, so a job that is cut short leaves
+    nothing that would be read.
+    """
+    spark = made.sparkSession
+    try:
+        path = spark.read.schema("path string").parquet(f"{folder}/named").agg(F.min("path")).first()[0]
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        path = f"{folder}/data-{uuid.uuid4().hex}"
+        made.repartitionByRange("lexeme", "entity_id").sortWithinPartitions("lexeme", "entity_id").write.parquet(path)
+        spark.range(1).select(F.lit(path).alias("path")).write.mode("append").parquet(f"{folder}/named")
+    return spark.read.schema(made.schema).parquet(path)
+
+
 @dataclass
 class Term:
     """One word or phrase of a query."""

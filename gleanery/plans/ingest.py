@@ -172,10 +172,10 @@ def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.pending(e, "m|d|none").select("entity_id", "position")
 
 
-@R.query("SELECT doc_id AS entity_id, 0 AS position, trim(source || chr(10) || substr(text, 1, 20)) AS text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@R.query("SELECT doc_id AS entity_id, 0 AS position, trim(source || chr(10) || substr(text, 1, 500)) AS text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def backfill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the first 20 characters of each text, which the SQL states; ``backfill_whole`` has the whole texts."""
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.substring("text", 1, 20).alias("excerpt"))
+    """With the excerpts that the index keeps, 500 characters; ``backfill_whole`` has the whole texts."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.substring("text", 1, T.INDEX_EXCERPT_CHARS).alias("excerpt"))
     return ingest.backfilled(items, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id")))
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import text as T
 from gleanery.functions.vectors import constant, cosine
 from gleanery.operators import fusion, lexical, vector
 from gleanery.plans.registry import Registry
-from gleanery.sources.tables import table
+from gleanery.sources.shared import shared_folder
+from gleanery.sources.tables import state_of, table
 
 R = Registry()
 #: A short fixed list of stop words.
@@ -31,8 +33,10 @@ postings AS (
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("body"))
-    return lexical.postings(items, STOP)
+    """The documents' postings, written when first asked for and again whenever the table's files change."""
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("body"))
+    return lexical.stored(lexical.postings(items, STOP), f"{shared_folder(spark)}/postings-{state_of(docs)}")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,15 +223,15 @@ def context_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     f"""WITH {LISTS_SQL}, best AS (SELECT entity_id, row_number() OVER (ORDER BY score DESC, first) AS position FROM fused QUALIFY position <= 5),
-blocks AS (SELECT position, '[' || position || '] ITEM — document ' || doc_id || '  (source: ' || source || ')' || chr(10) || '    date: 2024-01-' || lpad((1 + position)::VARCHAR, 2, '0') || ' 00:00' || chr(10) || '    ' || substr(text, 1, 100) AS block
+blocks AS (SELECT position, '[' || position || '] ITEM — document ' || doc_id || '  (source: ' || source || ')' || chr(10) || '    date: 2024-01-' || lpad((1 + position)::VARCHAR, 2, '0') || ' 00:00' || chr(10) || '    ' || substr(text, 1, 500) AS block
   FROM best JOIN documents ON doc_id = entity_id)
 SELECT string_agg(block, chr(10) || chr(10) ORDER BY position) AS context FROM blocks"""
 )
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best hits with the first 100 characters of each, which the SQL states; ``context_bodies`` has the whole texts."""
+    """The five best hits with the excerpts that the index keeps, 500 characters; ``context_bodies`` has whole texts, ``context_whole_notes`` both."""
     best = fusion.fused(ranked_lists(spark, sf_dir)).orderBy(F.desc("score"), "first").limit(5)
     best = fusion.positioned(best, F.desc("score"), F.col("first"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "source", F.substring("text", 1, 100).alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "source", F.substring("text", 1, T.INDEX_EXCERPT_CHARS).alias("content"))
     hits = docs.join(F.broadcast(best), "entity_id").withColumn("modified_at", F.expr("timestamp '2024-01-01' + make_dt_interval(position)"))
     return fusion.rendered(hits)
 

@@ -4,6 +4,7 @@ import datetime
 import glob
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gleanery.functions import text as T
 from gleanery.operators import chunking, evaluation, fusion, graph, ingest, lexical, state, tags, vector
-from gleanery.sources import paged, vault
+from gleanery.sources import jsonl, paged, vault
 from gleanery.streaming import ingest as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +82,79 @@ def test_stems_are_joined(spark):
     assert lexical.postings(items, [], stem).first()["lexeme"] == "optim"
 
 
+def test_stored_postings_follow_the_table(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "s", "red green"), (2, "s", None)], "doc_id long, source string, text string").write.parquet(f"{at}/documents.parquet")
+    find = lambda q: {r["entity_id"] for r in lexical.search(entry.retrieval.index(spark, at), q, []).collect()}
+    assert find("green") == {1} and find("blue") == set()
+    assert find("s") == {1, 2}  # from what was written, by the same name
+    spark.createDataFrame([(3, "s", "blue")], "doc_id long, source string, text string").write.mode("append").parquet(f"{at}/documents.parquet")
+    assert find("blue") == {3} and find("green") == {1}
+
+
+def test_retrieval_without_vectors(spark):
+    words = spark.createDataFrame([(1, 0.5), (2, 0.9)], "entity_id long, rank double")
+    near = spark.createDataFrame([(3, 0.5), (1, 0.4)], "entity_id long, score double")
+    ids = lambda df: [(r["entity_id"], r["mode"]) for r in df.collect()]
+    assert ids(fusion.retrieved(words, None)) == [(2, "keyword"), (1, "keyword")]
+    assert ids(fusion.retrieved(words, near, "vector", 1)) == [(3, "vector")]
+    assert ids(fusion.retrieved(words, near))[0] == (1, "hybrid") and len(ids(fusion.retrieved(words, near))) == 3
+    with pytest.raises(fusion.VectorsUnavailable):
+        fusion.retrieved(words, None, "vector")
+
+
+def test_two_notes_are_whole(spark):
+    hits = spark.createDataFrame([(1, False, "e1", "b1"), (2, True, "e2", ""), (3, True, "e3", "b3"), (4, True, "e4", None), (5, True, "e5", "b5"), (6, True, "e6", "b6")], "position int, is_note boolean, excerpt string, body string")
+    assert [r["content"] for r in fusion.with_contents(hits).orderBy("position").collect()] == ["e1", "e2", "b3", "e4", "b5", "e6"]
+
+
+def test_best_chunks_of_hits(spark):
+    """Against the chunks themselves: the closest by hashed words, three of the first hit in the order of the document."""
+    from hashlib import md5
+
+    def embedded(words):
+        out = [0.0] * 64
+        for w in words:
+            out[int(md5(w.encode()).hexdigest()[:4], 16) % 64] += 1
+        return out
+
+    def near(a, b):
+        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 6) if size else -2
+
+    got = {r["entity_id"]: r["context"] for r in entry.queries()["context_best_chunks"](spark, SF).collect()}
+    best = [r["entity_id"] for r in fusion.top_fused(entry.retrieval.ranked_lists(spark, SF), 5).collect()]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    asked = embedded(entry.retrieval.WORDS)
+    want = {}
+    for k, doc in enumerate(best):
+        own = chunking.note_chunks(texts[doc]) if doc in texts else []
+        order = sorted(range(len(own)), key=lambda i: (-near(embedded(re.findall("[a-z0-9]+", own[i][1].lower())), asked), i))
+        if own:
+            want[doc] = "\n\n".join(("[" + " › ".join(own[i][0]) + "]\n" if own[i][0] else "") + own[i][1] for i in sorted(order[: 3 if k == 0 else 1]))
+    assert want and got == want
+
+
+def test_lines_and_runs(spark, tmp_path):
+    at, schema = f"file://{tmp_path}", "id long, text string"
+    assert jsonl.current(spark, f"{at}/d", schema).count() == 0
+    first = spark.createDataFrame([(1, 'a "b"\n'), (2, None)], schema)
+    assert jsonl.rewritten(first, f"{at}/d") == 0 and jsonl.rewritten(first.filter("id = 1"), f"{at}/d") == 1
+    assert [tuple(r) for r in jsonl.current(spark, f"{at}/d", schema).collect()] == [(1, 'a "b"\n')]
+    jsonl.append(first, f"{at}/l")
+    jsonl.append(first, f"{at}/l")
+    assert jsonl.scan(spark, f"{at}/l", schema).count() == 4
+    run = spark.createDataFrame([("one", 0.5)], "name string, recall double")
+    jsonl.record_run(run, f"{at}/runs")
+    with pytest.raises(ValueError, match="recorded"):
+        jsonl.record_run(run, f"{at}/runs")
+    jsonl.record_run(run.withColumn("name", F.lit("two")), f"{at}/runs")
+    assert spark.read.json(f"{at}/runs").count() == 2
+    (tmp_path / "bad").write_text("{not json}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        jsonl.scan(spark, f"{at}/bad", schema).collect()
+
+
 def test_fusion_order(spark):
     lists = [spark.createDataFrame([(e, i + 1) for i, e in enumerate(order)], "entity_id string, position int") for order in ("axyzc", "bpqac")]
     got = [r["entity_id"] for r in fusion.top_fused(lists, 9).collect()]
