@@ -11,19 +11,20 @@ from gleanery.operators.tags import MAX_TOPICS, TYPE_TAGS
 
 
 def capture_states(log: DataFrame) -> DataFrame:
-    """(id, status, at, steps) of a log (id, action, at, seq): inbox to routed and back, inbox to archived; actions that a state doesn't allow change nothing."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("at", "seq", "action"))), lambda s: F.struct(s["action"].alias("action"), s["at"].alias("at")))
-    moves = lambda s, x: (
-        F.when((s["status"] == "inbox") & (x["action"] == "route"), "routed").when((s["status"] == "inbox") & (x["action"] == "archive"), "archived").when((s["status"] == "routed") & (x["action"] == "undo"), "inbox")
-    )
-    start = F.struct(F.lit("inbox").alias("status"), F.lit(None).cast("timestamp").alias("at"), F.lit(0).cast("long").alias("steps"))
-
-    def step(s: Column, x: Column) -> Column:
-        to = moves(s, x)
-        return F.struct(F.coalesce(to, s["status"]).alias("status"), F.when(to.isNotNull(), x["at"]).otherwise(s["at"]).alias("at"), (s["steps"] + to.isNotNull().cast("long")).alias("steps"))
+    """(id, status, at, steps) of a log (id, action, at, seq): inbox to routed and back, inbox to archived; actions that a state doesn't allow change nothing.
 
-    # a capture has a handful of actions: its own log is the fold's only input
-    return log.groupBy("id").agg(F.aggregate(steps, start, step).alias("s")).select("id", "s.status", "s.at", "s.steps")
+    The last route or undo before an action tells the state that it meets: what repeats one changes nothing, so it may count too. Nothing
+    leaves the archive. So no log is gathered, however long one is.
+    """
+    order = Window.partitionBy("id").orderBy("at", "seq", "action")
+    action, before = F.col("action"), order.rowsBetween(Window.unboundedPreceding, -1)
+    met = F.last(F.when(action.isin("route", "undo"), action), ignorenulls=True).over(before)
+    routed = F.coalesce(F.col("met") == "route", F.lit(False))
+    move = F.when(~routed & (action == "route"), "routed").when(~routed & (action == "archive"), "archived").when(routed & (action == "undo"), "inbox")
+    moves = log.withColumn("met", met).withColumn("move", move).withColumn("late", F.max(F.col("move") == "archived").over(before))
+    counts = F.col("move").isNotNull() & ~F.coalesce("late", F.lit(False))
+    last = F.max(F.when(counts, F.struct("at", "seq", "action", "move"))).alias("s")
+    return moves.groupBy("id").agg(last, F.count_if(counts).alias("steps")).select("id", F.coalesce("s.move", F.lit("inbox")).alias("status"), F.col("s.at").alias("at"), "steps")
 
 
 def latest_snapshots(log: DataFrame) -> DataFrame:

@@ -86,6 +86,24 @@ def crowding(chunks: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
     return scores.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= n).groupBy("entity_id").agg(F.count(F.lit(1)).alias("in_top"))
 
 
+def similar_pairs(counts: DataFrame, least: float) -> DataFrame:
+    """(a, b, cosine), a < b, of all items whose term counts (item_id, term, tf) have a cosine of at least ``least`` at six places.
+
+    An item's terms stand in one order for all, the rare ones first. Behind some place the rest of the vector is shorter than ``least``
+    and can't reach it, so two similar items share a term before that place in both. Only those meet, and their cosine is taken in full.
+    """
+    by_item = Window.partitionBy("item_id")
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    unit = counts.withColumn("w", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(by_item))).join(df, "term")
+    rest = F.sum(F.col("w") * F.col("w")).over(by_item.orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing))
+    ahead = unit.withColumn("rest", rest).filter(F.sqrt("rest") >= least - 1e-6).select("item_id", "term")
+    x, y = ahead.alias("x"), ahead.alias("y")
+    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.item_id") < F.col("y.item_id"))).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).distinct()
+    weights = unit.select("item_id", "term", "w")
+    both = pairs.join(weights.withColumnsRenamed({"item_id": "a", "w": "wa"}), "a").join(weights.withColumnsRenamed({"item_id": "b", "w": "wb"}), ["b", "term"])
+    return both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine")).filter(F.col("cosine") >= least)
+
+
 def pending(chunks: DataFrame, signature: str) -> DataFrame:
     """Chunks whose vector is missing or by another embedder."""
     return chunks.filter(F.col("embedding").isNull() | ~F.col("embedder").eqNullSafe(F.lit(signature)))

@@ -177,6 +177,16 @@ def doc_pairs_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("a", "b", F.round(F.col("d") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
+@R.query(
+    f"""WITH {TF_SQL}, norm AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM tf GROUP BY item_id),
+dots AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.tf * y.tf) AS d FROM tf x JOIN tf y ON x.term = y.term AND x.item_id < y.item_id GROUP BY ALL)
+SELECT a, b, round(d / (p.n * q.n), 6) AS cosine FROM dots JOIN norm p ON p.item_id = a JOIN norm q ON q.item_id = b WHERE round(d / (p.n * q.n), 6) >= 0.5"""
+)
+def doc_pairs_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of benchmark items with a cosine of 0.5 or more."""
+    return vector.similar_pairs(term_counts(spark, sf_dir), 0.5)
+
+
 LISTS_SQL = f"""{ANY_SQL},
 kw AS (SELECT entity_id, row_number() OVER (ORDER BY rank DESC, entity_id) AS position FROM any_hits QUALIFY position <= 20),
 {COSINE_SQL.strip()},
