@@ -597,6 +597,15 @@ def test_sentencepiece_parity_and_round_trip(odd, none):
     assert spm.encoded(none, path("piece_bpe_32k.model")).count() == 0
 
 
+def test_texts_put_together_are_compared_whole(monkeypatch):
+    c = spm.Coder(path("piece_bpe_32k.model"))
+    assert c.encode(["one two three"])[0][1]
+    c.words["two"] = (c.packed([5]), True)  # as if a word had been remembered wrongly
+    assert c.encode(["one two three"])[0][1] == (zlib.crc32(b"one two three") % spm.WHOLE_TOO != 0)
+    monkeypatch.setattr(spm, "WHOLE_TOO", 1)
+    assert not c.encode(["one two three"])[0][1]
+
+
 def _message(*fields):
     out = b""
     for number, value in fields:
