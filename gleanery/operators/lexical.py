@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -85,18 +86,19 @@ class Query:
         return list(dict.fromkeys(w for group in self.alternatives for t in group if not t.negated for w in t.words))
 
 
-def parse(text: str, stop: list[str]) -> Query:
-    """Words, "phrases", OR and -exclusions; stop words drop out, and so do terms of nothing else."""
+def parse(text: str, stop: list[str], stem: Callable[[str], str] = str) -> Query:
+    """Words, "phrases", OR and -exclusions; stop words drop out, and so do terms of nothing else. ``stem`` makes the index's lexeme of a word."""
     groups: list[list[Term]] = [[]]
     for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', text):
         if m[3] == "OR":
             groups.append([])
             continue
         negated = m[1] == "-" if m[3] is None else m[3].startswith("-")
-        words = [w for w in re.findall(WORD, (m[2] if m[3] is None else m[3]).lower()) if w not in stop]
+        words = [stem(w) for w in re.findall(WORD, (m[2] if m[3] is None else m[3]).lower()) if w not in stop]
         if words:
             groups[-1].append(Term(words, negated))
-    return Query([g for g in groups if g], prefix_of(text, stop))
+    prefix = prefix_of(text, stop)
+    return Query([g for g in groups if g], stem(prefix) if prefix else "")
 
 
 def prefix_of(text: str, stop: list[str]) -> str:
@@ -117,14 +119,14 @@ def _saturated(tf: Column) -> Column:
     return tf / (tf + F.lit(1.0))
 
 
-def search(index: DataFrame, text: str, stop: list[str], mode: str = "all", strict: bool = False, items: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, text: str, stop: list[str], mode: str = "all", strict: bool = False, items: DataFrame | None = None, stem: Callable[[str], str] = str) -> DataFrame:
     """(entity_id, rank) of matching entities.
 
     ``any``: any word matches. ``all``: the query as written, or the prefix of its last word unless ``strict``.
     ``prefix``: that prefix alone. A query of nothing but stop words matches nothing. ``items`` (entity_id) is
     needed only where an alternative has exclusions alone.
     """
-    query = parse(text, stop)
+    query = parse(text, stop, stem)
     if mode == "any":
         query = Query([[Term([w])] for w in query.wanted])
     elif mode == "prefix":

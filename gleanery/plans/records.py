@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import stems
 from gleanery.functions import text as T
 from gleanery.functions.vectors import cosine, hashed_words
 from gleanery.operators import chunking, fusion, ingest, lexical, state, tags, vector
@@ -15,7 +16,7 @@ from gleanery.plans import retrieval
 from gleanery.plans.registry import Registry
 from gleanery.sources import jsonl, vault
 from gleanery.sources.shared import shared_folder
-from gleanery.sources.tables import Literal, table
+from gleanery.sources.tables import Literal, state_of, table
 
 R = Registry()
 
@@ -93,6 +94,16 @@ def kw_length_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("nth", F.row_number().over(best)).filter("nth <= 20").select("flag", "entity_id", "rank")
 
 
+@R.query()
+def kw_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best for words in other forms than the texts have, over an index of English stems. No SQL: it has no stemmer."""
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("body"))
+    made = lexical.postings(items, stems.STOP_WORDS, stems.stem_table(items.select(F.explode(lexical.lexemes(F.col("body"))).alias("word")).unionByName(items.select(F.explode(lexical.lexemes(F.col("title"))).alias("word")))))
+    index = lexical.stored(made, f"{shared_folder(spark)}/postings-english-{state_of(docs)}")
+    return lexical.top(lexical.search(index, "licensing the tokens", stems.STOP_WORDS, "any", stem=stems.stem), 50)
+
+
 @R.query(f"WITH {vault_plans.SECTIONS_SQL} SELECT note_id, section::BIGINT AS section, coalesce('[' || path || ']' || chr(10), '') || text AS shown FROM parts LEFT JOIN paths USING (note_id, section) WHERE text <> ''")
 def chunk_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chunking.sections(vault_plans.MARKDOWN.df(spark))

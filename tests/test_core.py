@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gleanery.functions import stems
 from gleanery.functions import text as T
 from gleanery.operators import chunking, evaluation, fusion, graph, ingest, lexical, state, tags, vector
 from gleanery.sources import jsonl, paged, vault
@@ -155,6 +156,20 @@ def test_lines_and_runs(spark, tmp_path):
         jsonl.scan(spark, f"{at}/bad", schema).collect()
 
 
+def test_english_stems(spark):
+    """The samples that are published with the rules."""
+    words = "consign consigned consigning consignment consist consisted consistency consistent consistently consisting consists consolation consolations consolatory console consoled consoles consolidate consolidated consolidating knackeries knaves knavish kneaded kneading knew knick knickknacks knights knitting knives knobs knocked knocker knocking knots"
+    want = "consign consign consign consign consist consist consist consist consist consist consist consol consol consolatori consol consol consol consolid consolid consolid knackeri knave knavish knead knead knew knick knickknack knight knit knive knob knock knocker knock knot"
+    assert [stems.stem(w) for w in words.split()] == want.split()
+    more = {"skies": "sky", "dying": "die", "news": "news", "generously": "generous", "communication": "communic", "ties": "tie", "cries": "cri", "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "happy": "happi", "by": "by", "say": "say", "hopping": "hop", "hoping": "hope", "proceed": "proceed", "rational": "ration", "relational": "relat", "analogies": "analog", "adoption": "adopt", "controlled": "control", "optimizing": "optim", "optimized": "optim"}
+    assert {w: stems.stem(w) for w in more} == more
+    items = spark.createDataFrame([("1", "Note", "The query was optimized last week."), ("2", "Other", "nothing")], "entity_id string, title string, body string")
+    table = stems.stem_table(items.select(F.explode(lexical.lexemes(F.col("body"))).alias("word")))
+    idx = lexical.postings(items, stems.STOP_WORDS, table)
+    found = lexical.search(idx, "optimizing", stems.STOP_WORDS, stem=stems.stem)
+    assert [r["entity_id"] for r in found.collect()] == ["1"] and lexical.search(idx, "the was", stems.STOP_WORDS, stem=stems.stem).count() == 0
+
+
 def test_fusion_order(spark):
     lists = [spark.createDataFrame([(e, i + 1) for i, e in enumerate(order)], "entity_id string, position int") for order in ("axyzc", "bpqac")]
     got = [r["entity_id"] for r in fusion.top_fused(lists, 9).collect()]
