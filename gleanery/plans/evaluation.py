@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators import evaluation as E
+from gleanery.operators.evaluation import REFUSAL
 from gleanery.plans.registry import Registry
 from gleanery.sources.tables import Literal, table
 
@@ -204,7 +205,17 @@ def infer_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", E.mode_of(F.coalesce("text", F.lit(""))).alias("mode"))
 
 
-@R.query()
+NOT_A_FACT = REFUSAL.removeprefix("(?i)").replace("'", "''")
+
+
+@R.query(
+    f"""WITH rows AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS n FROM conversations),
+bare AS (SELECT conv_id, turn, n, trim(regexp_replace(line, '^\\s*(?:[-*•]|\\d+[.)])\\s*', ''), ' ' || chr(9) || chr(13)) AS line FROM rows),
+cut AS (SELECT conv_id, turn, n, unnest(string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence, unnest(range(0, len(string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))) AS k FROM bare WHERE line <> ''),
+counted AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS parts FROM cut WHERE sentence <> ''),
+kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n, k) - 1 AS nth FROM counted WHERE parts = 1 OR len(regexp_split_to_array(trim(sentence), '\\s+')) >= 3)
+SELECT conv_id, turn, nth::INTEGER AS nth, sentence, ends_with(sentence, ':') OR (regexp_matches(sentence, '{NOT_A_FACT}', 'i') AND NOT regexp_matches(sentence, '\\b(but|however|although|though|instead)\\b', 'i')) AS states_no_fact FROM kept WHERE nth < 15"""
+)
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sentences(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
