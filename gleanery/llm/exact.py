@@ -37,7 +37,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{ROCKSDB}.changelogCheckpointing.enabled": "true",
     f"{ROCKSDB}.boundedMemoryUsage": "true",
-    f"{ROCKSDB}.maxMemoryUsageMB": "300",
+    f"{ROCKSDB}.maxMemoryUsageMB": "128",
     f"{ROCKSDB}.allowFAllocate": "false",
 }
 

@@ -43,7 +43,7 @@ BOTTOM = 512
 SKETCH_BITS = 1024
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 MISSED = 1e-6
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 #: Pairs with one member that meet one copy of its set.
 PAIRS_A_COPY = 4096
 #: Members of a bucket that are compared in one slot, about.
