@@ -242,7 +242,8 @@ def linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     buckets = buckets.groupBy("size", "first", "who").agg(F.min("bucket").alias("bucket"))
     buckets = materialize(buckets.select("bucket", "size", "first"), "buckets")
     facts = classes.select("cls", "n", *SKETCH)
-    inside = materialize(members.join(buckets, "bucket").join(facts, "cls"), "bucket-members")
+    # merged, as adaptive execution splits a hot bucket there and not in a hash join
+    inside = materialize(members.join(buckets.hint("merge"), "bucket").join(facts, "cls"), "bucket-members")
     active = inside.select("cls").distinct()
     wanted = classes.join(active, "cls", "left_semi").select("cls", "high", "low", "rep")
     held = rows.withColumnsRenamed({"doc_id": "own"}).join(wanted, F.col("own").eqNullSafe(F.col("rep"))).select("cls", "high", "low", "text")
@@ -260,7 +261,8 @@ def linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
         labelled = (state.join(comps.withColumnRenamed("node", "cls"), "cls", "left") if comps is not None else state).withColumn("of", comp)
         if turn:
             several = labelled.groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y").select("bucket")
-            labelled = materialize(labelled.join(several, "bucket", "left_semi"), "open-buckets")
+            several = materialize(several, "several")
+            labelled = materialize(labelled.join(several.hint("merge"), "bucket", "left_semi"), "open-buckets")
             most = labelled.agg(F.max("size")).first()[0] or 0
             if most <= 1 or done >= most:
                 break
