@@ -11,6 +11,8 @@ from gleanery.plans.registry import Registry
 from gleanery.sources.tables import Literal, table
 
 R = Registry()
+#: Tasks that the documents of one question are dealt to.
+SALTS = 64
 QUESTIONS = Literal("questions", "question_id string, tag string", [("q1", "a"), ("q1", "b"), ("q2", "a"), ("q3", "b"), ("q4", "c"), ("q5", "c")])
 EXPECTED = Literal("expected", "question_id string, item string", [("q1", "n1"), ("q1", "n9"), ("q2", "n2"), ("q3", "n3"), ("q4", "gone"), ("q5", "n5")])
 RANKED = Literal("ranked", "question_id string, position int, item string", [("q1", 1, "n7"), ("q1", 2, "n1"), ("q1", 3, "n9"), ("q2", 1, "n2"), ("q3", 1, "n1"), ("q3", 6, "n3"), ("q5", 1, "n4")])
@@ -72,7 +74,10 @@ def eval_by_tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     key = F.struct((-F.col("n_chars")).alias("less"), "doc_id")
     first = docs.join(expected, "doc_id", "left_semi").groupBy("question_id").agg(F.min(key).alias("first"))
-    ahead = docs.select("question_id", key.alias("key")).join(first, "question_id").groupBy("question_id").agg((F.count_if(F.col("key") < F.col("first")) + 1).alias("rank"))
+    # one pair may hold a third of all documents: they are dealt to several tasks, each of which gets the pair's first hit
+    dealt = docs.select("question_id", key.alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    each = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    ahead = dealt.join(each, ["question_id", "salt"]).groupBy("question_id").agg((F.count_if(F.col("key") < F.col("first")) + 1).alias("rank"))
     tags = docs.select("question_id", F.explode(F.array("lang", "source")).alias("tag")).distinct()
     return E.by_tag(tags.select("question_id").distinct().join(ahead, "question_id", "left"), tags, 5)
 
