@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import best_fit, exact, lines, media, near, pii, spm, suffix, token_counts, toxicity
+from gleanery.llm import align, best_fit, exact, fingerprints, lines, media, merkle, near, pii, spm, suffix, token_counts, toxicity
 from gleanery.llm.common import documents, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,5 +83,46 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_exact_dedup, op5_minhash_near_dedup, op6_pii, op7_sentencepiece, op8_token_counts, op9_progressive_jpeg, op10_line_dedup)}
-ORACLES: dict[str, str] = {"op4_exact_dedup": EXACT_DEDUP_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    rows = merkle.manifest(documents(spark, sf_dir), claimed={"text": changed})
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MERKLE_SQL = """
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+marked AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS tampered,
+  coalesce('=' || source, '') AS tree FROM documents, crc_table),
+fields AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claim FROM marked),
+hashed AS (SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(claim) || ':' || claim, '-')) AS claimed FROM fields),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+low(tree, level, pos, n, node) AS (SELECT tree, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+subroots AS (SELECT tree, level AS top, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, pos, n, node) AS (SELECT 0, pos, n, node FROM subroots
+  UNION ALL SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 16, n),
+low_kin AS (SELECT tree, level, pos, coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(node, '') OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind FROM low WHERE n > 1),
+high_kin AS (SELECT level, pos, coalesce(string_agg(node, '') OVER (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(node, '') OVER (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind FROM high WHERE n > 1),
+low_walk(tree, k, level, pos, node, proof) AS (SELECT tree, pos, 0, pos, claimed, '' FROM leaves
+  UNION ALL SELECT w.tree, k, w.level + 1, w.pos // 16, sha256(before || node || behind), proof || before || behind FROM low_walk w JOIN low_kin b ON b.tree = w.tree AND b.level = w.level AND b.pos = w.pos),
+high_walk(tree, k, level, pos, node, proof) AS (SELECT w.tree, k, 0, s.pos, w.node, proof FROM low_walk w JOIN subroots s ON s.tree = w.tree AND s.top = w.level
+  UNION ALL SELECT tree, k, w.level + 1, w.pos // 16, sha256(before || node || behind), proof || before || behind FROM high_walk w JOIN high_kin b ON b.level = w.level AND b.pos = w.pos)
+SELECT l.doc_id, l.leaf, s.node AS subroot, r.node AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = r.node AS verified
+FROM leaves l JOIN subroots s USING (tree) JOIN high_walk w ON w.tree = l.tree AND w.k = l.pos JOIN high r ON r.n = 1 AND r.level = w.level
+"""
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_suffix_dedup, op4_exact_dedup, op5_minhash_near_dedup, op6_pii, op7_sentencepiece, op8_token_counts, op9_progressive_jpeg, op10_line_dedup, op11_cross_tokenizer_alignment, op12_merkle_manifest, op13_document_fingerprints)}
+ORACLES: dict[str, str] = {"op4_exact_dedup": EXACT_DEDUP_SQL, "op10_line_dedup": LINE_DEDUP_SQL, "op12_merkle_manifest": MERKLE_SQL}
