@@ -9,7 +9,7 @@ K = 60
 #: Fixed values of the rendered context: what each source's items are, and what must be said of them.
 KINDS = {
     "obsidian": "NOTE",
-    "personal_os": "CAPTURED IDEA",
+    "captures": "CAPTURED IDEA",
     "google_calendar": "CALENDAR EVENT",
     "google_tasks": "OPEN TASK — planned, NOT yet done",
     "github": "REPOSITORY",

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import file_stem, link_key, link_targets
 
-# Fixed values of the rules: the page that lists projects, pages that may link to each other, notes with set links.
-INDEX = "projects index"
-ALLOWED_PAIRS = [("audiotour project", "voice generation")]
-ONLY_LINKS = {"master resume": ["personal os", INDEX]}
+
+@dataclass(frozen=True)
+class Rules:
+    """What a vault's owner allows, by notes' names in lower case: the page that lists projects, pages that may link to each other, notes with set links."""
+
+    index: str = "projects index"
+    pairs: tuple[tuple[str, str], ...] = ()
+    only_links: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
 def name_of(path: Column) -> Column:
@@ -95,7 +102,7 @@ def beside(path: Column, adr: Column) -> Column:
     return (folder_of(path) == folder_of(adr)) & (is_adr(path) | is_architecture(path))
 
 
-def problems(notes: DataFrame, only: str | None = None, order: str = "nth") -> DataFrame:
+def problems(notes: DataFrame, only: str | None = None, order: str = "nth", rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """(rule, source, target) of every broken rule. An edge breaks at most one of the first four.
 
     fixed-links: a note with set links links elsewhere. adr-source, adr-target: a decision record shares a link with a note that is
@@ -103,20 +110,20 @@ def problems(notes: DataFrame, only: str | None = None, order: str = "nth") -> D
     unlisted: no architecture page links to a decision record (target null; only without ``only``).
     """
     all_edges = edges(notes, order)
-    projects = all_edges.filter(name_of(F.col("source")) == INDEX).select(F.col("found").alias("project")).distinct()
+    projects = all_edges.filter(name_of(F.col("source")) == rules.index).select(F.col("found").alias("project")).distinct()
     own = all_edges if only is None else all_edges.filter(F.col("source") == only)
     marked = own.join(projects.select(F.col("project").alias("found"), F.lit(True).alias("to_project")), "found", "left").join(projects.select(F.col("project").alias("source"), F.lit(True).alias("from_project")), "source", "left")
     s, t = F.col("source"), F.col("found")
     fixed = F.lit(False)
-    for note in ONLY_LINKS:
+    for note in rules.only_links:
         fixed = fixed | (name_of(s) == note)
     allowed = F.lit(False)
-    for note, names in ONLY_LINKS.items():
-        allowed = allowed | ((name_of(s) == note) & name_of(t).isin(names))
+    for note, names in rules.only_links.items():
+        allowed = allowed | ((name_of(s) == note) & name_of(t).isin(list(names)))
     pair = F.lit(False)
-    for a, b in ALLOWED_PAIRS:
+    for a, b in rules.pairs:
         pair = pair | ((name_of(s) == a) & (name_of(t) == b)) | ((name_of(s) == b) & (name_of(t) == a))
-    project_edge = F.coalesce("to_project", F.lit(False)) & (name_of(s) != INDEX)
+    project_edge = F.coalesce("to_project", F.lit(False)) & (name_of(s) != rules.index)
     rule = (
         F.when(fixed & ~allowed, "fixed-links")
         .when(is_adr(s), F.when(~beside(t, s), "adr-source"))

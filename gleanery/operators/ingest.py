@@ -30,7 +30,7 @@ def NO_TAGS() -> Column:  # noqa: N802
 def captures(df: DataFrame) -> DataFrame:
     """Captured thoughts (id, body, kind, status, updated_at) that aren't archived: titled by their first line."""
     body = F.col("body")
-    return _items(df.filter("status <> 'archived'"), "personal_os", F.col("id"), T.first_line_title(body), body, F.array("kind"), F.col("updated_at"), F.concat_ws("\n", "kind", "status", "body"), body)
+    return _items(df.filter("status <> 'archived'"), "captures", F.col("id"), T.first_line_title(body), body, F.array("kind"), F.col("updated_at"), F.concat_ws("\n", "kind", "status", "body"), body)
 
 
 def notes(df: DataFrame) -> DataFrame:

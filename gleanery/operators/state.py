@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import stripped
-from gleanery.operators.graph import problems
+from gleanery.operators.graph import Rules, problems
 from gleanery.operators.tags import MAX_TOPICS, TYPE_TAGS
 
 
@@ -75,10 +75,10 @@ def unchanged_since(notes: DataFrame, intents: DataFrame) -> DataFrame:
     return intents.join(known, "path", "left").select("path", refusal.alias("refusal"))
 
 
-def illegal_links(notes: DataFrame, drafts: DataFrame) -> DataFrame:
+def illegal_links(notes: DataFrame, drafts: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """(path, rule, target): link rules that drafts (nth, path, body) would break if they were saved in the vault of notes (nth, path, body); other notes aren't judged."""
     saved = notes.join(drafts.select("path"), "path", "left_anti").select("nth", "path", "body").unionByName(drafts.select("nth", "path", "body"))
-    found = problems(saved).filter(F.col("rule") != "unlisted")
+    found = problems(saved, rules=rules).filter(F.col("rule") != "unlisted")
     return found.join(drafts.select(F.col("path").alias("source")), "source", "left_semi").select(F.col("source").alias("path"), "rule", "target")
 
 

@@ -17,13 +17,13 @@ NOTES = Literal(
     "notes",
     "nth int, path string, body string",
     [
-        (1, "Projects Index.md", "All of them: [[Personal OS]], [[Audiotour Project|the tour]] and [[voice generation#Start]]. #note"),
-        (2, "Work/Personal OS.md", "A home for [[Audiotour Project]] things. `[[Not A Link]]` #project #Personal-OS\n\n```\n[[Nor This]] #nor\n```\nSee [[picture.png]] and [[Voice Generation.md]]."),
-        (3, "Work/Audiotour Project.md", "Pairs with [[Voice Generation]]. Missing: [[Nowhere]], [[Nowhere^b1]] #project"),
-        (4, "Deep/er/Voice Generation.md", "Back to [[work/audiotour project]] and to itself [[Voice Generation]] #project #speech/tts"),
-        (5, "Voice Generation.md", "A shorter path wins the name. **Bold** and _em_ text\n> quote\n- item one\n- item two"),
-        (6, "Life/Master Resume.md", "Linked to [[Personal OS]] and [[Some Note]] #résumé"),
-        (7, "Life/Some Note.md", "Two homes: [[Personal OS]] and [[Audiotour Project]], twice [[Personal OS]] #learning #Machine_Learning"),
+        (1, "Projects Index.md", "All of them: [[Harbor Map]], [[Lantern Project|the tour]] and [[tide tables#Start]]. #note"),
+        (2, "Work/Harbor Map.md", "A home for [[Lantern Project]] things. `[[Not A Link]]` #project #Harbor-Map\n\n```\n[[Nor This]] #nor\n```\nSee [[picture.png]] and [[Tide Tables.md]]."),
+        (3, "Work/Lantern Project.md", "Pairs with [[Tide Tables]]. Missing: [[Nowhere]], [[Nowhere^b1]] #project"),
+        (4, "Deep/er/Tide Tables.md", "Back to [[work/lantern project]] and to itself [[Tide Tables]] #project #speech/tts"),
+        (5, "Tide Tables.md", "A shorter path wins the name. **Bold** and _em_ text\n> quote\n- item one\n- item two"),
+        (6, "Life/Fixed Page.md", "Linked to [[Harbor Map]] and [[Some Note]] #résumé"),
+        (7, "Life/Some Note.md", "Two homes: [[Harbor Map]] and [[Lantern Project]], twice [[Harbor Map]] #learning #Machine_Learning"),
         (8, "OS/adr/ADR-001 storage.md", "Beside [[ADR-002 search]] but not [[Some Note]]"),
         (9, "OS/adr/ADR-002 search.md", "Fine"),
         (10, "OS/adr/Architecture Overview.md", "Decisions: [[ADR-001 storage]]"),
@@ -33,6 +33,8 @@ NOTES = Literal(
     ],
 )
 
+RULES = graph.Rules(pairs=(("lantern project", "tide tables"),), only_links={"fixed page": ["harbor map", "projects index"]})
+
 NO_CODE = "regexp_replace(regexp_replace(coalesce(body, ''), '(?ms)^```.*?^```|^~~~.*?^~~~', ' ', 'g'), '`[^`' || chr(10) || ']*`', ' ', 'g')"
 LINKS_SQL = f"""{NOTES.sql()},
 raw AS (SELECT path AS source, unnest(regexp_extract_all({NO_CODE}, '!?\\[\\[([^\\]\\n]+)\\]\\]', 1)) AS r, unnest(range(0, len(regexp_extract_all({NO_CODE}, '!?\\[\\[([^\\]\\n]+)\\]\\]', 1)))) AS k FROM notes),
@@ -98,10 +100,10 @@ wide AS (SELECT e.source, e.found AS target, s.name AS sn, t.name AS tn, s.adr A
     e.source IN (FROM projects) AS sp, e.found IN (FROM projects) AS tp, s.arch AS sarch
   FROM edges e JOIN kinds s ON s.path = e.source JOIN kinds t ON t.path = e.found),
 judged AS (SELECT CASE
-    WHEN sn = 'master resume' AND tn NOT IN ('personal os', 'projects index') THEN 'fixed-links'
+    WHEN sn = 'fixed page' AND tn NOT IN ('harbor map', 'projects index') THEN 'fixed-links'
     WHEN sa THEN CASE WHEN NOT t_beside THEN 'adr-source' END
     WHEN ta THEN CASE WHEN NOT s_beside THEN 'adr-target' END
-    WHEN tp AND sn <> 'projects index' THEN CASE WHEN NOT sp THEN 'to-project' WHEN NOT (sn IN ('audiotour project', 'voice generation') AND tn IN ('audiotour project', 'voice generation')) THEN 'projects' END
+    WHEN tp AND sn <> 'projects index' THEN CASE WHEN NOT sp THEN 'to-project' WHEN NOT (sn IN ('lantern project', 'tide tables') AND tn IN ('lantern project', 'tide tables')) THEN 'projects' END
   END AS rule, source, target FROM wide)
 SELECT rule, source, target FROM judged WHERE rule <> 'to-project'
 UNION ALL SELECT 'many-projects', source, NULL FROM judged WHERE rule = 'to-project' GROUP BY source HAVING count(*) > 1
@@ -110,12 +112,12 @@ UNION ALL SELECT 'unlisted', path, NULL FROM kinds WHERE adr AND path NOT IN (SE
 
 @R.query(f"WITH {RULES_SQL}")
 def rules_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.problems(notes(spark))
+    return graph.problems(notes(spark), rules=RULES)
 
 
-@R.query(f"WITH {RULES_SQL.split('UNION ALL', 1)[0]} AND source = 'Life/Master Resume.md'")
+@R.query(f"WITH {RULES_SQL.split('UNION ALL', 1)[0]} AND source = 'Life/Fixed Page.md'")
 def rules_one_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.problems(notes(spark), only="Life/Master Resume.md")
+    return graph.problems(notes(spark), only="Life/Fixed Page.md", rules=RULES)
 
 
 @R.query(

@@ -218,7 +218,7 @@ def note_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRAFTS = Literal(
     "drafts",
     "nth int, path string, body string",
-    [(101, "Life/New Reader.md", "Two homes: [[Personal OS]] and [[Audiotour Project]]"), (102, "Life/Fine.md", "Just [[Some Note]]"), (103, "Life/Records.md", "See [[ADR-001 storage]]"), (6, "Life/Master Resume.md", "Only [[Personal OS]] now")],
+    [(101, "Life/New Reader.md", "Two homes: [[Harbor Map]] and [[Lantern Project]]"), (102, "Life/Fine.md", "Just [[Some Note]]"), (103, "Life/Records.md", "See [[ADR-001 storage]]"), (6, "Life/Fixed Page.md", "Only [[Harbor Map]] now")],
 )
 #: The rules' SQL over the vault with the drafts in it; its first three findings are about links of one note.
 WRITE_SQL = (
@@ -230,7 +230,7 @@ WRITE_SQL = (
 @R.query(f"WITH {WRITE_SQL} SELECT source AS path, rule, target FROM broken WHERE source IN (SELECT path FROM drafts)")
 def write_links_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on links that drafts would break, judged as if they were saved."""
-    return state.illegal_links(vault_plans.notes(spark), DRAFTS.df(spark))
+    return state.illegal_links(vault_plans.notes(spark), DRAFTS.df(spark), vault_plans.RULES)
 
 
 @R.query(
@@ -247,7 +247,7 @@ TO_WRITE = Literal(
     "to_write",
     "path string, type string, project string, status string, repos array<string>, topics array<string>, body string",
     [
-        ("a.md", "note", "Personal OS", None, None, ["x", "note"], "  Body\n"),
+        ("a.md", "note", "Harbor Map", None, None, ["x", "note"], "  Body\n"),
         ("b.md", "project", "ignored", 'say "hi"', ["o/r", "o/s"], None, "B"),
         ("c.md", "plan", None, None, None, ["b", "a", "b"], "é\n\n"),
         ("d.md", "project", None, "", [], [], ""),

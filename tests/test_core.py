@@ -264,7 +264,7 @@ def test_sources_share_one_shape(spark):
     nts = spark.createDataFrame([("a/N.md", "body", ["t"], None)], "path string, body string, tags array<string>, modified_at timestamp")
     every = ingest.together(ingest.captures(caps), ingest.events(evs, now), ingest.tasks(tsk, now), ingest.repositories(rep), ingest.notes(nts))
     assert every.columns == ingest.COLUMNS
-    assert {r["provider"]: (r["title"], r["excerpt"]) for r in every.collect()} == {"personal_os": ("first", "first\nsecond"), "google_calendar": ("T", "Cal · here"), "google_tasks": ("Do", "L · n"), "github": ("r", "d"), "obsidian": ("N", "body")}
+    assert {r["provider"]: (r["title"], r["excerpt"]) for r in every.collect()} == {"captures": ("first", "first\nsecond"), "google_calendar": ("T", "Cal · here"), "google_tasks": ("Do", "L · n"), "github": ("r", "d"), "obsidian": ("N", "body")}
     times = spark.createDataFrame([("a", "2024-01-01T10:00:00+02:00", None), ("b", None, "2024-01-02")], "provider_id string, date_time string, date string")
     assert [(str(r["start"]), r["all_day"]) for r in ingest.event_times(times).withColumn("start", F.col("start").cast("string")).orderBy("provider_id").collect()] == [("2024-01-01 08:00:00", False), ("2024-01-02 00:00:00", True)]
 
