@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.best_fit import SYMBOLS
 from gleanery.llm.common import map_batches, texts
 
 #: Distinct words that a Python worker remembers before it starts anew.
@@ -53,16 +54,6 @@ SIMPLE = re.compile(f"[\\x21-{chr(WELL_KNOWN - 1)}]+")
 PIECES = re.compile(f"{'|'.join(CONTRACTIONS)}|[{_class(str.isalpha)}]+|[{_class(str.isnumeric)}]|[^{_class(lambda c: c.isalpha() or c.isnumeric())}]+")
 
 
-def byte_symbols() -> dict[int, str]:
-    """The printable character that stands for each byte: itself if it is one, else the next from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-
-
-SYMBOLS = byte_symbols()
-
-
 class PairTable:
     """Which tokens of a merge table may stand next to each other."""
 
@@ -179,11 +170,10 @@ class PrefixCounter:
 
     def _chunk(self, chunk: str) -> list[int]:
         """Counts at every prefix of a text without white space, in NFC, the empty prefix left out."""
-        if SIMPLE.fullmatch(chunk):
-            low = chunk.lower() if "\u0130" not in chunk else self.tok.normalizer.normalize_str(chunk)
-            pieces = [(m, m if m.isascii() else m.encode().decode("latin-1").translate(SYMBOLS)) for m in PIECES.findall(low)]
+        low = chunk.lower() if SIMPLE.fullmatch(chunk) and "\u0130" not in chunk else self.tok.normalizer.normalize_str(chunk)
+        if SIMPLE.fullmatch(low):  # a letter's lower case may lie beyond
+            pieces = [(m, m.encode().decode("latin-1").translate(SYMBOLS)) for m in PIECES.findall(low)]
         else:
-            low = self.tok.normalizer.normalize_str(chunk)
             pieces = [(low[start:end], piece) for piece, (start, end) in self._symbols(low)]
         at: list[int] = []
         done = 0
