@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.sources.buckets import Buckets
+from gleanery.sources.commits import Conflict
+from gleanery.sources.shared import written
 
+#: Rows of keys that are sent to all executors, some 100 bytes each; more are joined by a shuffle.
+SMALL = 1 << 18
 KEYS = ["provider", "provider_id"]
 COLUMNS = [*KEYS, "title", "excerpt", "tags", "modified_at", "fingerprint", "body"]
 
@@ -92,6 +97,37 @@ def merged(index: DataFrame, new: DataFrame, prunes: list[str]) -> DataFrame:
     return kept.join(changed.select(*KEYS), KEYS, "left_anti").unionByName(changed.select(*index.columns))
 
 
+def upsert(index: Buckets, new: DataFrame, prunes: list[str] = (), marks: dict | None = None, tries: int = 5) -> dict[str, int]:
+    """Merges a batch into an index in buckets: the same rows as ``merged``, but only buckets with a changed, new or missing row are written.
+
+    Of an unpruned batch, only the buckets that its keys fall into are read. Gives how many rows were new, changed and removed, and the commit; a batch
+    that changes nothing writes no data. Where another writer was faster with one of the buckets, the batch is merged again into what that one left.
+    """
+    new = written(new.select(*index.schema.names), f"{index.folder.path}/batches")
+    if not new.groupBy(*KEYS).count().filter("count > 1").isEmpty():
+        raise ValueError("a batch has one row for each key")
+    for left in reversed(range(tries)):
+        at = index.state()
+        listed = [r["provider"] for r in new.filter(F.col("provider").isin(list(prunes))).select("provider").distinct().collect()]
+        asked = list(range(index.n)) if listed else index.buckets_of(new)
+        had = index.read(at, asked).select(*KEYS, "fingerprint")
+        change = F.col("change").isin("new", "changed") | (F.col("change") == "missing") & F.col("provider").isin(listed)
+        changes = written(classified(new, had).filter(change), f"{index.folder.path}/changes")
+        counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+        touched = index.buckets_of(changes)
+        keys = changes.select(*KEYS)
+        keys = F.broadcast(keys) if sum(counts.values()) <= SMALL else keys
+        kept = index.read(at, touched).join(keys, KEYS, "left_anti")
+        fresh = new.join(keys, KEYS, "left_semi").select(*index.schema.names)
+        try:
+            number = index.write(at, kept.unionByName(fresh), touched, asked, marks)
+            return {"new": counts.get("new", 0), "changed": counts.get("changed", 0), "removed": counts.get("missing", 0), "commit": number}
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
 def identified(known: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
     """(id, provider, provider_id, first_seen_at, last_seen_at): known keys keep their ids, seen ones a new time, new ones a new id.
 

@@ -10,7 +10,6 @@ one query only.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.segments import folder_of
+
 WORD = "[a-z0-9]+"
 WEIGHTS = {"A": 1.0, "B": 0.4}
 
@@ -43,25 +44,6 @@ def postings(items: DataFrame, stop: list[str], stem: DataFrame | None = None) -
     return out
 
 
-def stored(made: DataFrame, folder: str) -> DataFrame:
-    """The postings as they were written to ``folder``, or if none were, these, written now in the order of their lexemes.
-
-    A search then reads little more than its own lexemes: each file has a range of them, and the statistics in it tell which.
-    A frequent lexeme is spread over several files. The data are written first and then named, so a job that is cut short leaves
-    nothing that would be read.
-    """
-    spark = made.sparkSession
-    try:
-        path = spark.read.schema("path string").parquet(f"{folder}/named").agg(F.min("path")).first()[0]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        path = f"{folder}/data-{uuid.uuid4().hex}"
-        made.repartitionByRange("lexeme", "entity_id").sortWithinPartitions("lexeme", "entity_id").write.parquet(path)
-        spark.range(1).select(F.lit(path).alias("path")).write.mode("append").parquet(f"{folder}/named")
-    return spark.read.schema(made.schema).parquet(path)
-
-
 @dataclass
 class Term:
     """One word or phrase of a query."""
@@ -107,12 +89,11 @@ def prefix_of(text: str, stop: list[str]) -> str:
     return "" if prefix in stop else prefix
 
 
-def _phrase(words: list[str], places: dict[str, Column]) -> Column:
-    """True where the words stand in a row."""
-    first = places[words[0]]
+def _stands(words: list[str], counts: dict[str, Column], places: dict[str, Column]) -> Column:
+    """True where a word is there, or the words of a phrase stand in a row."""
     if len(words) == 1:
-        return F.size(first) > 0
-    return F.exists(first, lambda p: reduce(lambda a, b: a & b, (F.array_contains(places[w], (p + k).cast("int")) for k, w in enumerate(words[1:], 1))))
+        return counts[words[0]] > 0
+    return F.exists(places[words[0]], lambda p: reduce(lambda a, b: a & b, (F.array_contains(places[w], (p + k).cast("int")) for k, w in enumerate(words[1:], 1))))
 
 
 def _saturated(tf: Column) -> Column:
@@ -138,21 +119,27 @@ def search(index: DataFrame, text: str, stop: list[str], mode: str = "all", stri
     weight = F.when(F.col("weight") == "A", WEIGHTS["A"]).otherwise(WEIGHTS["B"])
     needed = F.col("lexeme").isin(words)
     aggs = []
+    phrases = {w for group in query.alternatives for t in group if len(t.words) > 1 for w in t.words}
     for k, w in enumerate(words):
         own = F.col("lexeme") == w
-        aggs += [F.sum(F.when(own, weight).otherwise(0.0)).alias(f"tf{k}"), F.collect_list(F.when(own, F.col("pos"))).alias(f"at{k}")]
+        aggs.append(F.sum(F.when(own, weight).otherwise(0.0)).alias(f"tf{k}"))
+        if w in phrases:  # the others are sums alone, which shrink before the shuffle
+            aggs.append(F.collect_list(F.when(own, F.col("pos"))).alias(f"at{k}"))
     if prefix:
         begins = F.col("lexeme").startswith(prefix)
         needed = needed | begins
         aggs.append(F.sum(F.when(begins, weight).otherwise(0.0)).alias("tfp"))
+    elif "folder" in index.columns:
+        needed = needed & F.col("folder").isin(sorted({folder_of(w) for w in words}))
     found = index.filter(needed).groupBy("entity_id").agg(*aggs)
     if items is not None and any(all(t.negated for t in g) for g in query.alternatives):
         found = items.select("entity_id").join(found, "entity_id", "left")
         found = found.select("entity_id", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c.startswith("tf") else F.coalesce(F.col(c), F.array().cast("array<int>")).alias(c) for c in found.columns[1:]))
-    places = {w: F.col(f"at{k}") for k, w in enumerate(words)}
+    places = {w: F.col(f"at{k}") for k, w in enumerate(words) if w in phrases}
+    counts = {w: F.col(f"tf{k}") for k, w in enumerate(words)}
     holds = F.lit(False)
     for group in query.alternatives:
-        holds = holds | reduce(lambda a, b: a & b, ((~_phrase(t.words, places)) if t.negated else _phrase(t.words, places) for t in group))
+        holds = holds | reduce(lambda a, b: a & b, ((~_stands(t.words, counts, places)) if t.negated else _stands(t.words, counts, places) for t in group))
     ranked = [words.index(w) for w in query.wanted]
     by_words = reduce(lambda a, b: a + b, (_saturated(F.col(f"tf{k}")) for k in ranked), F.lit(0.0)) / max(1, len(ranked))
     by_prefix = _saturated(F.col("tfp")) if prefix else F.lit(0.0)

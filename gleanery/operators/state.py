@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import stripped
 from gleanery.operators.graph import Rules, problems
 from gleanery.operators.tags import MAX_TOPICS, TYPE_TAGS
+from gleanery.sources.buckets import Buckets, State
+from gleanery.sources.commits import Conflict
+from gleanery.sources.shared import written
 
 
 def capture_states(log: DataFrame) -> DataFrame:
@@ -27,6 +30,35 @@ def capture_states(log: DataFrame) -> DataFrame:
     return moves.groupBy("id").agg(last, F.count_if(counts).alias("steps")).select("id", F.coalesce("s.move", F.lit("inbox")).alias("status"), F.col("s.at").alias("at"), "steps")
 
 
+def compare_and_set(table: Buckets, requests: DataFrame, at: State | None = None, tries: int = 5) -> DataFrame:
+    """Changes states (id, status, at, seq) as requests (id, seq, at, expected, status) ask, each only where the status is the expected one.
+
+    Gives (id, seq, applied). Of several requests for one id the first by ``seq`` is judged, the others are refused, and so are those for ids that
+    aren't there. All that are applied are committed at once. ``at`` is the state that the requests were made for, the newest if not given. Where another writer
+    has changed a bucket since, the requests are judged again by what it left, so of two that expect one status one is refused; with the last
+    of the ``tries`` it is ``Conflict``. What is refused leaves nothing behind.
+    """
+    requests = written(requests.select("id", "seq", "at", "expected", "status"), f"{table.folder.path}/requests")
+    first = requests.groupBy("id").agg(F.min(F.struct("seq", "at", "expected", "status")).alias("r")).select("id", "r.*")
+    asked = table.buckets_of(requests)
+    for left in reversed(range(tries)):
+        at = at or table.state()
+        now = table.read(at, asked).select("id", F.col("status").alias("now"))
+        fits = first.join(now, "id").filter(F.col("now") == F.col("expected")).select("id", "status", "at", "seq")
+        fits = written(fits, f"{table.folder.path}/applied")
+        touched = table.buckets_of(fits)
+        kept = table.read(at, touched).join(fits.select("id"), "id", "left_anti")
+        try:
+            if touched:
+                table.write(at, kept.unionByName(fits), touched, asked)
+            return requests.join(fits.select("id", "seq", F.lit(True).alias("hit")), ["id", "seq"], "left").select("id", "seq", F.coalesce("hit", F.lit(False)).alias("applied"))
+        except Conflict:
+            at = None
+            if not left:
+                raise
+    raise AssertionError
+
+
 def latest_snapshots(log: DataFrame) -> DataFrame:
     """The newest snapshot of each note (provider_id, taken_at, undone_at, ...) that isn't undone."""
     newest = Window.partitionBy("provider_id").orderBy(F.desc("taken_at"), F.desc("id"))

@@ -16,7 +16,7 @@ from gleanery.plans import retrieval
 from gleanery.plans.registry import Registry
 from gleanery.sources import jsonl, vault
 from gleanery.sources.shared import shared_folder
-from gleanery.sources.tables import Literal, state_of, table
+from gleanery.sources.tables import Literal, table
 
 R = Registry()
 
@@ -94,13 +94,16 @@ def kw_length_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("nth", F.row_number().over(best)).filter("nth <= 20").select("flag", "entity_id", "rank")
 
 
+def english(items: DataFrame) -> DataFrame:
+    """Postings of stems; each distinct word is stemmed once."""
+    words = items.select(F.explode(F.array_distinct(F.concat(*(lexical.lexemes(F.coalesce(c, F.lit(""))) for c in ("title", "body"))))).alias("word"))
+    return lexical.postings(items, stems.STOP_WORDS, stems.stem_table(words))
+
+
 @R.query()
 def kw_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best for words in other forms than the texts have, over an index of English stems. No SQL: it has no stemmer."""
-    docs = table(spark, sf_dir, "documents")
-    items = docs.select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("body"))
-    made = lexical.postings(items, stems.STOP_WORDS, stems.stem_table(items.select(F.explode(lexical.lexemes(F.col("body"))).alias("word")).unionByName(items.select(F.explode(lexical.lexemes(F.col("title"))).alias("word")))))
-    index = lexical.stored(made, f"{shared_folder(spark)}/postings-english-{state_of(docs)}")
+    index = retrieval.index(spark, sf_dir, "postings-english", english)
     return lexical.top(lexical.search(index, "licensing the tokens", stems.STOP_WORDS, "any", stem=stems.stem), 50)
 
 

@@ -6,15 +6,17 @@ items and vector ids their chunks.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions.vectors import constant, cosine
-from gleanery.operators import fusion, lexical, vector
+from gleanery.operators import fusion, lexical, segments, vector
 from gleanery.plans.registry import Registry
 from gleanery.sources.shared import shared_folder
-from gleanery.sources.tables import state_of, table
+from gleanery.sources.tables import table
 
 R = Registry()
 #: A short fixed list of stop words.
@@ -32,11 +34,15 @@ postings AS (
   WHERE lexeme NOT IN ({STOP_SQL}))"""
 
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' postings, written when first asked for and again whenever the table's files change."""
-    docs = table(spark, sf_dir, "documents")
-    items = docs.select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("body"))
-    return lexical.stored(lexical.postings(items, STOP), f"{shared_folder(spark)}/postings-{state_of(docs)}")
+def items(docs: DataFrame) -> DataFrame:
+    """Documents as items: the source is the title, the text the body."""
+    return docs.select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("body"), *(["file"] if "file" in docs.columns else []))
+
+
+def index(spark: SparkSession, sf_dir: str, name: str = "postings", make: segments.Make = lambda own: lexical.postings(own, STOP)) -> DataFrame:
+    """The documents' live postings; files that were added to the table or changed since the last call are indexed first."""
+    at = md5(sf_dir.encode()).hexdigest()[:16]
+    return segments.followed(segments.Segments(spark, f"{shared_folder(spark)}/{name}-{at}", make), table(spark, sf_dir, "documents"), items)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streaming queries driven to their end, and the same result in SQL."""
+"""Streams driven to their end and tables written by commits, with the same results in SQL."""
 
 from __future__ import annotations
 
@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions import text as T
+from gleanery.operators import ingest, state
+from gleanery.plans.ingest import SNAPSHOT_SQL, snapshots
 from gleanery.plans.registry import Registry
+from gleanery.sources.buckets import Buckets
 from gleanery.sources.shared import shared_folder
 from gleanery.sources.tables import table
-from gleanery.streaming.ingest import windowed_counts
+from gleanery.streaming.ingest import current, index_stream, windowed_counts
 
 R = Registry()
 
@@ -27,3 +31,58 @@ def events_by_day_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.schema(counted.schema.add("batch", "long")).parquet(f"{folder}/out")
     last = out.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
     return last.select("start", "event_type", "v.n", F.round("v.total", 4).alias("total"))
+
+
+#: Rounds of requests: what kind of event asks, what it expects, what it asks for.
+ROUNDS = (("click", "inbox", "routed"), ("error", "inbox", "archived"), ("view", "routed", "inbox"), ("purchase", "inbox", "archived"))
+
+
+@R.query(
+    """WITH e AS (SELECT user_id AS id, event_type, min(event_id) AS first, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
+u AS (SELECT id, max(first) FILTER (event_type = 'click') AS c, max(first) FILTER (event_type = 'error') AS x, max(first) FILTER (event_type = 'view') AS v, max(first) FILTER (event_type = 'purchase') AS p,
+  coalesce(sum(n) FILTER (event_type IN ('click', 'error', 'view', 'purchase')), 0) AS asked FROM e GROUP BY id),
+one AS (SELECT *, CASE WHEN c IS NOT NULL THEN 'routed' ELSE 'inbox' END AS s1, c AS b1, CASE WHEN c IS NOT NULL THEN 1 ELSE 0 END AS n1 FROM u),
+two AS (SELECT *, s1 = 'inbox' AND x IS NOT NULL AS hit2 FROM one),
+three AS (SELECT *, CASE WHEN hit2 THEN 'archived' ELSE s1 END AS s2, CASE WHEN hit2 THEN x ELSE b1 END AS b2, n1 + hit2::INT AS n2 FROM two),
+four AS (SELECT *, s2 = 'routed' AND v IS NOT NULL AS hit3 FROM three),
+five AS (SELECT *, CASE WHEN hit3 THEN 'inbox' ELSE s2 END AS s3, CASE WHEN hit3 THEN v ELSE b2 END AS b3, n2 + hit3::INT AS n3 FROM four),
+six AS (SELECT *, s3 = 'inbox' AND p IS NOT NULL AS hit4 FROM five)
+SELECT id, CASE WHEN hit4 THEN 'archived' ELSE s3 END AS status, CASE WHEN hit4 THEN p ELSE b3 END AS by_event, (n3 + hit4::INT)::BIGINT AS applied, (asked - n3 - hit4::INT)::BIGINT AS refused FROM six"""
+)
+def capture_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as captures in a table that is written by commits: in four rounds each event of a kind asks for a change of status, if the status is the expected one."""
+    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), "event_type")
+    every = events.select("id").distinct().select("id", F.lit("inbox").alias("status"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("seq"))
+    captures = Buckets(spark, f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}", every.schema, ["id"], 16)
+    captures.create(every)
+    told = None
+    for kind, expected, status in ROUNDS:
+        asked = events.filter(F.col("event_type") == kind).withColumns({"expected": F.lit(expected), "status": F.lit(status)})
+        outcome = state.compare_and_set(captures, asked)
+        told = outcome if told is None else told.unionByName(outcome)
+    counts = told.groupBy("id").agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("refused"))
+    zero = F.lit(0).cast("long")
+    return captures.read().join(counts, "id", "left").select("id", "status", F.col("seq").alias("by_event"), F.coalesce("applied", zero).alias("applied"), F.coalesce("refused", zero).alias("refused"))
+
+
+@R.query(
+    f"""WITH {SNAPSHOT_SQL}
+SELECT n.* FROM new n UNION ALL SELECT o.* FROM old o WHERE provider NOT IN ('en', 'es') AND NOT EXISTS (SELECT 1 FROM new n WHERE n.provider = o.provider AND n.provider_id = o.provider_id)"""
+)
+def index_upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of now merged into the index of before, of which only touched buckets are written anew."""
+    new, old = snapshots(spark, sf_dir)
+    index = Buckets(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", old.schema, ingest.KEYS, 256)
+    index.create(old)
+    ingest.upsert(index, new, ["en", "es"])
+    return index.read()
+
+
+@R.query("SELECT lang AS provider, doc_id::VARCHAR AS provider_id, sha256('v6' || chr(10) || text) AS fingerprint FROM documents")
+def index_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of listings, merged batch by batch into an index in buckets."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parque[t]")
+    listing = stream.select(F.col("lang").alias("provider"), F.col("doc_id").cast("string").alias("provider_id"), F.lit(None).cast("timestamp").alias("modified_at"), T.fingerprint(F.col("text")).alias("fingerprint"))
+    index_stream(listing, folder, buckets=64).awaitTermination()
+    return current(spark, folder, listing.schema)[0].select("provider", "provider_id", "fingerprint")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-POINTER = "version long"
+from gleanery.sources.commits import Commits, Conflict
 
 
 def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -20,26 +21,27 @@ def append(rows: DataFrame, path: str) -> None:
 
 def versions(spark: SparkSession, folder: str) -> int:
     """The number of the current version; -1 if there is none."""
-    try:
-        found = spark.read.schema(POINTER).json(f"{folder}/pointer").agg(F.max("version")).first()[0]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return -1
-    return -1 if found is None else found
+    return Commits(spark, folder).latest()[0]
+
 
+def rewritten(rows: DataFrame, folder: str, onto: int | None = None) -> int:
+    """Writes the whole data set anew beside the old one, then commits it: readers see the old one or the new one, never a part.
 
-def rewritten(rows: DataFrame, folder: str) -> int:
-    """Writes the whole data set anew beside the old one, then points to it: readers see the old one or the new one, never a part."""
-    version = versions(rows.sparkSession, folder) + 1
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/version={version}")
-    append(rows.sparkSession.range(1).select(F.lit(version).cast("long").alias("version")), f"{folder}/pointer")
-    return version
+    ``onto`` is the version that the rows were made from, the current one if not given. If another writer has committed
+    since, ``Conflict`` is raised and the other's version stays.
+    """
+    commits = Commits(rows.sparkSession, folder)
+    version = commits.latest()[0] if onto is None else onto
+    name = f"data-{uuid.uuid4().hex}"
+    rows.write.option("ignoreNullFields", "false").json(f"{folder}/{name}")
+    if not commits.put(version + 1, {"data": name}):
+        raise Conflict(f"version {version + 1} is another writer's")
+    return version + 1
 
 
 def current(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    version = versions(spark, folder)
-    return spark.createDataFrame([], schema) if version < 0 else scan(spark, f"{folder}/version={version}", schema)
+    version, entry = Commits(spark, folder).latest()
+    return spark.createDataFrame([], schema) if version < 0 else scan(spark, f"{folder}/{entry['data']}", schema)
 
 
 def record_run(run: DataFrame, folder: str) -> None:

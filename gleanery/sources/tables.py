@@ -5,20 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def state_of(files: DataFrame) -> str:
-    """A name for the files that a table has now; it changes when one is added, removed or written anew."""
-    own = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    n, total = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*own.columns).cast("decimal(38,0)"))).first()
-    return f"{n}-{total or 0}"
-
-
 class Literal:
     """A small table given row by row, readable by Spark and writable as SQL."""
 

@@ -1,7 +1,7 @@
-"""Continuous ingest: each micro-batch of a source's listing is merged into a versioned index.
+"""Continuous ingest: each micro-batch of a source's listing is merged into an index in buckets.
 
-Every version is a folder of its own; a small pointer table names the current one. A
-batch that is run again writes its version anew, so a restart changes nothing.
+A batch writes the buckets that it touches and a commit that names them; the commit also has the batch's
+number, so a batch that is run again after a restart finds that it is done.
 """
 
 from __future__ import annotations
@@ -10,23 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleanery.operators.ingest import merged
+from gleanery.operators.ingest import KEYS, upsert
+from gleanery.sources.buckets import BUCKETS, Buckets
 
 
 def current(spark: SparkSession, folder: str, schema) -> tuple[DataFrame, int]:
-    """The index as it is, and its version; -1 before the first batch."""
-    try:
-        version = spark.read.schema("version long").parquet(f"{folder}/pointer").agg(F.max("version")).first()[0]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        version = None
-    if version is None:
-        return spark.createDataFrame([], schema), -1
-    return spark.read.schema(schema).parquet(f"{folder}/version={version}"), version
-
-
-def index_stream(listing: DataFrame, folder: str, prunes: list[str] = ()) -> StreamingQuery:
+    """The index as it is, and the number of its commit; -1 before the first batch."""
+    index = Buckets(spark, folder, schema, KEYS)
+    at = index.state()
+    return index.read(at), at[0]
+
+
+def index_stream(listing: DataFrame, folder: str, prunes: list[str] = (), buckets: int = BUCKETS) -> StreamingQuery:
     """Starts the merge of a stream of items (see operators.ingest) and stops when all that is there has been read.
 
     A micro-batch has what came since the last one, so a key that it lacks is no sign of a removal: nothing is pruned unless
@@ -39,14 +34,12 @@ def index_stream(listing: DataFrame, folder: str, prunes: list[str] = ()) -> Str
     newest = F.max_by(F.struct(*schema.names), F.struct(F.coalesce(F.col("modified_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.col("fingerprint")))
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        index, version = current(spark, folder, schema)
-        if version >= number:
+        index = Buckets(batch.sparkSession, folder, schema, KEYS, buckets)
+        if index.state()[1].get("marks", {}).get("batch", -1) >= number:
             return  # run before, and done
-        new = batch.groupBy("provider", "provider_id").agg(newest.alias("r")).select("r.*")
+        new = batch.groupBy(*KEYS).agg(newest.alias("r")).select("r.*")
         complete = [r["provider"] for r in batch.filter(F.col("provider").isin(list(prunes))).groupBy("provider").agg(F.min(F.coalesce("complete", F.lit(False))).alias("all")).filter("all").collect()] if whole and prunes else []
-        merged(index, new, complete).write.mode("overwrite").parquet(f"{folder}/version={number}")
-        spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("append").parquet(f"{folder}/pointer")
+        upsert(index, new, complete, {"batch": number})
 
     return listing.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(step).start()
 
