@@ -24,6 +24,7 @@ as a document, repeated ones too. An empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,9 @@ from gleanery.llm.spm import BYTE, MARKER, Coder
 #: Pairs that are sent to every executor at most, some 40 bytes each.
 HEAD = 1 << 20
 #: Distinct words whose pieces a worker remembers.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 20
+#: A space beside other white space, where the tokenizers may cut elsewhere.
+RUN = re.compile(r" \s|\s ")
 
 
 class Tokens:
@@ -53,34 +56,61 @@ class Tokens:
         self.a_bytes = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in entries]
         self.b = Coder(b_path)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode() for p, _, kind in self.b.model.pieces]
-        self.words: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> bytes:
-        """B's ids, as bytes of 32-bit numbers. Texts are taken apart at single spaces where no piece goes over them."""
-        peer, known = self.b.peer, self.words
-        if not self.b.parts or "  " in text or text[0] == " " or text[-1] == " " or MARKER in text or "\0" in text:
-            return self.b.packed(peer.encode(text))
-        words = text.split(" ")
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            fresh = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            mine = dict(zip(fresh, map(self.b.packed, peer.encode(fresh, num_threads=1)), strict=True))
-            known.update((w, ids) for w, ids in mine.items() if len(w) <= 64)
-            found = [mine[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return b"".join(found)
-
-    def both(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A's and B's ids; none if their bytes aren't the text's."""
-        if text:
-            spaced = " " + text
-            a, b = (np.frombuffer(ids, "<u4") for ids in (self.a.encode(spaced), self.pieces(text)))
-            whole = spaced.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
-                return a, b
-        none = np.zeros(0, np.uint32)
-        return none, none
+        self.a_size, self.b_size = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+
+    def _checked(self, texts: list[bytes], a: list[bytes], b: list[bytes]) -> bool:
+        """Whether each text's bytes are those of its tokens: all together, and each by its length."""
+        want, sizes = b"".join(texts), np.array([len(t) for t in texts])
+        for own, table, size in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            ids = np.frombuffer(b"".join(own), "<u4")
+            if b"".join(map(table.__getitem__, ids.tolist())) != want:
+                return False
+            ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum([len(o) // 4 for o in own])]
+            if not np.array_equal(ends, np.cumsum(sizes)):
+                return False
+        return True
+
+    def _learn(self, fresh: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Both tokenizers' ids of a space and a word; None if their bytes aren't these."""
+        spaced = [" " + w for w in fresh]
+        a = list(map(self.a._word, spaced))
+        b = list(map(self.b.packed, self.b.peer.encode(fresh, num_threads=1)))
+        whole = [s.encode() for s in spaced]
+        fine = self._checked(whole, a, b)
+        return {w: (x, y) if fine or self._checked([t], [x], [y]) else None for w, t, x, y in zip(fresh, whole, a, b, strict=True)}
+
+    def both(self, rows: list[str]) -> list[tuple[bytes, bytes]]:
+        """A's and B's ids of every text, as bytes of 32-bit numbers; none if their bytes aren't the text's.
+
+        Both tokenizers cut before a single space, so texts are taken apart there and each word is encoded and checked when first met. Texts
+        with longer runs of white space at a space, or with B's marker, are encoded and checked whole.
+        """
+        known = self.words
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        out, cut, fresh = [(b"", b"")] * len(rows), [], set()
+        for i, text in enumerate(rows):
+            if not text:
+                continue
+            if not self.b.parts or text[0].isspace() or text[-1].isspace() or MARKER in text or "\0" in text or RUN.search(text):
+                a, b = self.a.encode(" " + text), self.b.packed(self.b.peer.encode(text))
+                if self._checked([(" " + text).encode()], [a], [b]):
+                    out[i] = a, b
+                continue
+            words = text.split(" ")
+            found = list(map(known.get, words))
+            cut.append((i, words, found))
+            if None in found:
+                fresh.update([w for w, ids in zip(words, found, strict=True) if ids is None])
+        mine = self._learn(list(fresh)) if fresh else {}
+        known.update((w, ids) for w, ids in mine.items() if ids and len(w) <= 64)
+        for i, words, found in cut:
+            if None in found:
+                found = [mine[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            if None not in found:
+                out[i] = b"".join([ids[0] for ids in found]), b"".join([ids[1] for ids in found])
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -131,17 +161,16 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
         t = tokens(a_path, b_path)
         n_a, n_b = len(t.a_bytes), len(t.b_bytes)
         names = [b"%d%s" % (i, sep) for n, seps in ((n_a, (b",", b"|")), (n_b, (b",", b";"))) for sep in seps for i in range(n)]
-        a_size, b_size = (np.array([len(x) for x in own], np.int64) for own in (t.a_bytes, t.b_bytes))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [t.both(text) for text in batch.column(1).to_pylist()]
-            count_a, count_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
-            a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+            found = t.both(batch.column(1).to_pylist())
+            count_a, count_b = (np.array([len(f[k]) // 4 for f in found], np.int64) for k in (0, 1))
+            a, b = (np.frombuffer(b"".join([f[k] for f in found]), "<u4").astype(np.int64) for k in (0, 1))
             n_groups = n_links = np.zeros(len(found), np.int64)
             pairs, times, ends = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(len(found), np.int64)
             texts_of = [b""] * len(found)
             if len(a):
-                a_end, b_end = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+                a_end, b_end = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
                 label = terminals(a_end, b_end)
                 terminal = label[len(a) :] == np.arange(len(a), len(a) + len(b))
                 number = np.cumsum(terminal) - 1
@@ -156,11 +185,13 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
                         texts_of[d] = b"".join(parts[begin : stops[last - 1]])[:-1]
                         begin = stops[last - 1]
                 # each stretch between two ends, of either side, is where one A and one B token overlap
-                at = np.union1d(a_end, b_end)
+                at = np.sort(np.concatenate([a_end, b_end[~terminal]]))
                 pair = a[np.searchsorted(a_end, at)] * n_b + b[np.searchsorted(b_end, at)]
                 n_links = count_a + count_b - n_groups
-                key, repeats = np.unique(np.repeat(np.arange(len(found)), n_links) * (n_a * n_b) + pair, return_counts=True)
-                pairs, times = key % (n_a * n_b), repeats.astype(np.int32)
+                keys = np.sort(np.repeat(np.arange(len(found)), n_links) * (n_a * n_b) + pair)
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                key = keys[first]
+                pairs, times = key % (n_a * n_b), np.diff(np.append(first, len(keys))).astype(np.int32)
                 ends = np.cumsum(np.bincount(key // (n_a * n_b), minlength=len(found)))
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             cols = [
