@@ -147,3 +147,14 @@ def answer_summary(answers: DataFrame) -> DataFrame:
         F.count_if(wrong & yes(F.col("retrieval_found"))).alias("generation_failures"),
         F.count_if(wrong & ~yes(F.col("retrieval_found"))).alias("retrieval_failures"),
     )
+
+
+#: Fixed values of what a grader reads: how much of the reference and of what was shown.
+REFERENCE_CHARS, CONTEXT_CHARS = 2500, 3500
+
+
+def graded_source(points: Column, answerable: Column, reference: Column, context: Column) -> Column:
+    """What an answer's sentences are checked against: key points if there are any, the reference if the question has an answer, and what was shown. Each part has its own limit."""
+    shown = F.when(F.size(points) > 0, F.concat(F.lit("KEY POINTS:\n"), F.array_join(F.transform(points, lambda p: F.concat(F.lit("- "), p)), "\n")))
+    held = F.when(answerable, F.concat(F.lit("REFERENCE:\n"), F.substring(F.coalesce(reference, F.lit("")), 1, REFERENCE_CHARS)))
+    return F.concat_ws("\n\n", shown, held, F.concat(F.lit("WHAT THE ASSISTANT WAS SHOWN:\n"), F.substring(F.coalesce(context, F.lit("")), 1, CONTEXT_CHARS)))

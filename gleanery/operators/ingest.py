@@ -82,6 +82,17 @@ def stats(changes: DataFrame, prunes: list[str]) -> DataFrame:
     return own.select("provider", "seen", "indexed", "skipped", removed.cast("long").alias("removed"))
 
 
+def status_line(counts: DataFrame, names: dict[str, str], pending: Column, failed: list[str] = ()) -> DataFrame:
+    """One row (status): how many items each source of ``names`` (provider to name, in this order) has, how many wait for a vector, and which sources failed.
+
+    ``counts`` (provider, indexed, skipped) has a row for each source; one without a row has 0.
+    """
+    own = counts.filter(F.col("provider").isin(list(names))).groupBy().pivot("provider", list(names)).agg(F.sum(F.col("indexed") + F.col("skipped")))
+    parts = [F.format_string(f"%d {name}", F.coalesce(F.col(p), F.lit(0))) for p, name in names.items()]
+    waiting = F.when(pending > 0, F.format_string("%d not yet embedded", pending))
+    return own.select(F.concat(F.concat_ws(" · ", *parts, waiting), F.lit(f" — failed: {', '.join(failed)}" if failed else "")).alias("status"))
+
+
 def pruned(index: DataFrame, new: DataFrame, prunes: list[str]) -> DataFrame:
     """The index without rows of pruning providers that their listing, if it has any row, no longer has."""
     listed = new.select("provider").distinct().filter(F.col("provider").isin(prunes)).withColumn("listed", F.lit(True))

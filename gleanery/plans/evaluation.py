@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators import checks
 from gleanery.operators import evaluation as E
 from gleanery.operators.evaluation import REFUSAL
 from gleanery.plans.registry import Registry
+from gleanery.sources.shared import shared_folder
 from gleanery.sources.tables import Literal, table
 
 R = Registry()
@@ -240,3 +244,52 @@ def graded_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a grader reads: the parts of each conversation, each cut to 2500 characters as the format says."""
     parts = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 2500).alias("text")))).alias("p"))
     return parts.select("conv_id", F.concat(F.lit("POINTS:\n"), F.array_join("p.text", "\n\n")).alias("source"))
+
+
+#: Turns of a part that can matter: each has two characters of line ends at least, and no part shows more than 3500.
+MOST_TURNS = 1800
+GRADED_SQL = """
+WITH own AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, 'KEY POINTS:' || chr(10) || string_agg('- ' || substr(text, 1, 80), chr(10) ORDER BY turn) AS points FROM own WHERE role = 'user' AND turn < 2 GROUP BY conv_id),
+r AS (SELECT conv_id, 'REFERENCE:' || chr(10) || substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 2500) AS reference FROM own WHERE role = 'assistant' GROUP BY conv_id),
+c AS (SELECT conv_id, 'WHAT THE ASSISTANT WAS SHOWN:' || chr(10) || substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 3500) AS shown FROM own GROUP BY conv_id)
+SELECT c.conv_id, concat_ws(chr(10) || chr(10), points, CASE WHEN c.conv_id % 5 <> 0 THEN coalesce(reference, 'REFERENCE:' || chr(10)) END, shown) AS source FROM c LEFT JOIN p USING (conv_id) LEFT JOIN r USING (conv_id)
+"""
+
+
+@R.query(GRADED_SQL)
+def graded_source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a grader reads of each conversation: the user's first turns as key points, the assistant's as the reference, all of them as what was shown. Each fifth has no reference."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    first = Window.partitionBy("conv_id").orderBy("turn")
+
+    def joined(rows: DataFrame, name: str) -> DataFrame:
+        kept = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= MOST_TURNS)
+        return kept.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"], "\n\n").alias(name))
+
+    points = turns.filter("role = 'user' AND turn < 2").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 80).alias("text"))))["text"].alias("points"))
+    records = joined(turns, "context").join(joined(turns.filter("role = 'assistant'"), "reference"), "conv_id", "left").join(points, "conv_id", "left").withColumn("answerable", F.col("conv_id") % 5 != 0)
+    return records.select("conv_id", E.graded_source(F.col("points"), F.col("answerable"), F.col("reference"), F.col("context")).alias("source"))
+
+
+BUDGET = 5000
+CHECKS_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS p, length(coalesce(text, '')) // 4 + 1 AS cost FROM conversations),
+warm AS (SELECT DISTINCT p FROM c WHERE role = 'user'),
+missing AS (SELECT conv_id, turn, p, cost FROM c ANTI JOIN warm USING (p) QUALIFY row_number() OVER (PARTITION BY p ORDER BY conv_id, turn) = 1),
+spent AS (SELECT conv_id AS at_conv, turn AS at_turn, p, coalesce(sum(cost) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM missing),
+told AS (SELECT conv_id, turn, p, CASE WHEN before IS NULL THEN 'cached' WHEN before >= {BUDGET} THEN 'over budget' WHEN conv_id = at_conv AND turn = at_turn THEN 'called' ELSE 'shared' END AS outcome FROM c LEFT JOIN spent USING (p))
+SELECT conv_id, turn, outcome, CASE WHEN outcome <> 'over budget' THEN CASE WHEN length(p) % 2 = 0 THEN 'yes' ELSE 'no' END END AS answer FROM told
+"""
+
+
+@R.query(CHECKS_SQL)
+def checks_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is a question. The users' turns were asked before; now all are, by a backend that goes by a text's length, until a budget of tokens is spent."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("prompt"))
+    asked = turns.withColumns({"options": F.array(F.lit("yes"), F.lit("no")), "cost": F.expr("length(prompt) div 4 + 1")})
+    store = checks.Store(spark, f"{shared_folder(spark)}/checks-{uuid.uuid4().hex}")
+    backend = lambda q: q.select("key", F.element_at("options", (F.length("prompt") % 2 + 1).cast("int")).alias("answer"), F.lit(None).cast("double").alias("confidence"))
+    order = ["conv_id", "turn"]
+    checks.asked(store, asked.filter("role = 'user'"), backend, "by length", "1", order)
+    return checks.asked(store, asked, backend, "by length", "1", order, BUDGET).select("conv_id", "turn", "outcome", "answer")

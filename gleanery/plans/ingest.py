@@ -129,6 +129,20 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.stats(ingest.classified(*snapshots(spark, sf_dir)), ["en", "es"])
 
 
+@R.query(
+    f"""WITH {SNAPSHOT_SQL}, n AS (SELECT provider, count(*) AS n FROM changes WHERE change <> 'missing' GROUP BY provider),
+waiting AS (SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))
+SELECT concat_ws(' · ', coalesce((SELECT n FROM n WHERE provider = 'en'), 0) || ' English', coalesce((SELECT n FROM n WHERE provider = 'fr'), 0) || ' French', coalesce((SELECT n FROM n WHERE provider = 'xx'), 0) || ' others',
+  CASE WHEN n > 0 THEN n || ' not yet embedded' END) || ' — failed: es, de' AS status FROM waiting"""
+)
+def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line on the last ingest: totals of some sources, documents without a vector, sources that failed."""
+    counts = ingest.stats(ingest.classified(*snapshots(spark, sf_dir)), ["en", "es"])
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct()
+    waiting = table(spark, sf_dir, "documents").join(chunks, "doc_id", "left_anti").count()
+    return ingest.status_line(counts, {"en": "English", "fr": "French", "xx": "others"}, F.lit(waiting), ["es", "de"])
+
+
 @R.query(f"WITH {SNAPSHOT_SQL} SELECT o.* FROM old o WHERE provider NOT IN ('en', 'es') OR EXISTS (SELECT 1 FROM new n WHERE n.provider = o.provider AND n.provider_id = o.provider_id)")
 def prune_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, old = snapshots(spark, sf_dir)

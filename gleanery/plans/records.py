@@ -15,6 +15,7 @@ from gleanery.plans import notes as vault_plans
 from gleanery.plans import retrieval
 from gleanery.plans.registry import Registry
 from gleanery.sources import jsonl, vault
+from gleanery.sources.commits import Folder
 from gleanery.sources.shared import shared_folder
 from gleanery.sources.tables import Literal, table
 
@@ -141,16 +142,16 @@ def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("user_id = 7 AND event_type = 'click'").select("event_id", "user_id", "event_type")
 
 
+#: The tables of the SQL; the query lists what is there.
 CATALOG = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @R.query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*)::BIGINT AS n_rows FROM {t}" for t in CATALOG))
 def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables at hand with their numbers of rows; counting reads no column."""
-    out = None
-    for name in CATALOG:
-        own = table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
-        out = own if out is None else out.unionByName(own)
+    """The tables that the folder has, with their numbers of rows; counting reads no column."""
+    out = spark.createDataFrame([], "name string, n_rows long")
+    for name in sorted(n.removesuffix(".parquet") for n in Folder(spark, sf_dir).names() if n.endswith(".parquet")):
+        out = out.unionByName(table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows"))
     return out
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import ingest, state
+from gleanery.operators import embedding, ingest, state
 from gleanery.plans.ingest import SNAPSHOT_SQL, snapshots
 from gleanery.plans.registry import Registry
 from gleanery.sources.buckets import Buckets
@@ -86,3 +87,27 @@ def index_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = stream.select(F.col("lang").alias("provider"), F.col("doc_id").cast("string").alias("provider_id"), F.lit(None).cast("timestamp").alias("modified_at"), T.fingerprint(F.col("text")).alias("fingerprint"))
     index_stream(listing, folder, buckets=64).awaitTermination()
     return current(spark, folder, listing.schema)[0].select("provider", "provider_id", "fingerprint")
+
+
+PREFIX = embedding.DOCUMENT_PREFIX
+
+
+def by_word_lengths(texts: list[str]) -> list[list[float]]:
+    """How many words have a length that leaves 0 to 3 when divided by 4: stands for a model."""
+    counts = [Counter(len(w) % 4 for w in t.split(" ")) for t in texts]
+    return [[float(c[k]) for k in range(4)] for c in counts]
+
+
+@R.query(
+    f"""WITH w AS (SELECT doc_id, lang, string_split('{PREFIX}' || coalesce(text, ''), ' ') AS words FROM documents)
+SELECT doc_id AS entity_id, 'new' AS embedder, CASE WHEN lang IN ('es', 'de') THEN array_to_string(list_transform(range(4), lambda k: len(list_filter(words, lambda x: length(x) % 4 = k))), ',') ELSE '9' END AS vector FROM w"""
+)
+def embedding_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: Spanish ones have no vector, German ones another model's. They are embedded by requests of 32 texts, and each batch is committed as it lands."""
+    docs = table(spark, sf_dir, "documents")
+    lang = F.coalesce("lang", F.lit(""))
+    chunks = docs.select(F.col("doc_id").alias("entity_id"), F.lit(0).alias("position"), "text", F.when(lang != "es", F.array(F.lit(9.0).cast("float"))).alias("embedding"), F.when(lang == "de", "old").when(lang != "es", "new").alias("embedder"))
+    held = Buckets(spark, f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}", chunks.schema, embedding.KEYS, 32)
+    held.create(chunks)
+    embedding.embed_pending(held, by_word_lengths, "new", files=8)
+    return held.read().select("entity_id", "embedder", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
