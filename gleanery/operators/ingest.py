@@ -108,10 +108,10 @@ def merged(index: DataFrame, new: DataFrame, prunes: list[str]) -> DataFrame:
     return kept.join(changed.select(*KEYS), KEYS, "left_anti").unionByName(changed.select(*index.columns))
 
 
-def upsert(index: Buckets, new: DataFrame, prunes: list[str] = (), marks: dict | None = None, tries: int = 5) -> dict[str, int]:
+def upsert(index: Buckets, new: DataFrame, prunes: list[str] = (), marks: dict | None = None, gone: DataFrame | None = None, tries: int = 5) -> dict[str, int]:
     """Merges a batch into an index in buckets: the same rows as ``merged``, but only buckets with a changed, new or missing row are written.
 
-    Of an unpruned batch, only the buckets that its keys fall into are read. Gives how many rows were new, changed and removed, and the commit; a batch
+    ``gone`` (provider, provider_id) are keys to remove, those that the batch has excepted. Of an unpruned batch, only the buckets that its keys fall into are read. Gives how many rows were new, changed and removed, and the commit; a batch
     that changes nothing writes no data. Where another writer was faster with one of the buckets, the batch is merged again into what that one left.
     """
     new = written(new.select(*index.schema.names), f"{index.folder.path}/batches")
@@ -120,10 +120,14 @@ def upsert(index: Buckets, new: DataFrame, prunes: list[str] = (), marks: dict |
     for left in reversed(range(tries)):
         at = index.state()
         listed = [r["provider"] for r in new.filter(F.col("provider").isin(list(prunes))).select("provider").distinct().collect()]
-        asked = list(range(index.n)) if listed else index.buckets_of(new)
+        asked = list(range(index.n)) if listed else sorted({*index.buckets_of(new), *(index.buckets_of(gone) if gone is not None else [])})
         had = index.read(at, asked).select(*KEYS, "fingerprint")
-        change = F.col("change").isin("new", "changed") | (F.col("change") == "missing") & F.col("provider").isin(listed)
-        changes = written(classified(new, had).filter(change), f"{index.folder.path}/changes")
+        told = classified(new, had)
+        missing = F.col("provider").isin(listed)
+        if gone is not None:
+            told = told.join(gone.select(*KEYS).distinct().withColumn("gone", F.lit(True)), KEYS, "left")
+            missing = missing | F.coalesce("gone", F.lit(False))
+        changes = written(told.filter(F.col("change").isin("new", "changed") | (F.col("change") == "missing") & missing).select(*KEYS, "change"), f"{index.folder.path}/changes")
         counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         touched = index.buckets_of(changes)
         keys = changes.select(*KEYS)

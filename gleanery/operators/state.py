@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import stripped
 from gleanery.operators.graph import Rules, problems
 from gleanery.operators.tags import MAX_TOPICS, TYPE_TAGS
-from gleanery.sources.buckets import Buckets, State
+from gleanery.sources.buckets import Buckets, State, commit
 from gleanery.sources.commits import Conflict
 from gleanery.sources.shared import written
 
@@ -65,6 +65,51 @@ def latest_snapshots(log: DataFrame) -> DataFrame:
     return log.filter(F.col("undone_at").isNull()).withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
 
 
+#: What ``undone`` works on: a log of what was there before each write and what the write left, and the notes as they are.
+SNAPSHOTS = "id long, provider_id string, operation string, content string, wrote_sha256 string, taken_at timestamp, undone_at timestamp"
+NOTES = "provider_id string, content string, trashed boolean"
+
+
+def undone(log: Buckets, notes: Buckets, asked: DataFrame, now: Column, tries: int = 5) -> DataFrame:
+    """Takes back the newest write to each note (provider_id) that is asked for, and gives (provider_id, id, outcome).
+
+    A note that was changed gets the content of before, one that was created goes to the trash and keeps what it holds; the log's entry is marked as undone. Both
+    tables, of one folder and keyed by ``provider_id``, are committed at once, so neither is changed without the other. A note whose text isn't
+    what the write left is refused: the write is no longer the last one. Where another writer was faster, all is judged again by what it left.
+    """
+    asked = written(asked.select("provider_id").distinct(), f"{log.folder.path}/asked")
+    in_log, in_notes = log.buckets_of(asked), notes.buckets_of(asked)
+    for left in reversed(range(tries)):
+        at = log.state()
+        last = latest_snapshots(log.read(at, in_log).join(asked, "provider_id", "left_semi"))
+        there = notes.read(at, in_notes).select("provider_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha256"), "trashed")
+        found = asked.join(last, "provider_id", "left").join(there, "provider_id", "left")
+        outcome = (
+            F.when(F.col("id").isNull(), "nothing to undo")
+            .when(F.col("sha256").isNull() | F.col("trashed"), "already gone")
+            .when(F.col("sha256") != F.col("wrote_sha256"), "changed since")
+            .when(F.col("operation") == "create", "moved to the trash")
+            .otherwise("restored")
+        )
+        told = written(found.select("provider_id", "id", "content", outcome.alias("outcome")), f"{log.folder.path}/outcomes")
+        done = told.filter(F.col("outcome").isin("moved to the trash", "restored"))
+        if done.isEmpty():
+            return told.select("provider_id", "id", "outcome")
+        log_buckets, note_buckets = log.buckets_of(done), notes.buckets_of(done)
+        marked = log.read(at, log_buckets).join(done.select("provider_id", "id", F.lit(True).alias("hit")), ["provider_id", "id"], "left")
+        log_rows = marked.withColumn("undone_at", F.when(F.col("hit"), now).otherwise(F.col("undone_at"))).select(*log.schema.names)
+        before = notes.read(at, note_buckets).join(done.select("provider_id", F.col("content").alias("was"), "outcome"), "provider_id", "left")
+        restored = F.col("outcome") == "restored"
+        note_rows = before.withColumns({"content": F.when(restored, F.coalesce("was", F.lit(""))).otherwise(F.col("content")), "trashed": F.col("trashed") | F.coalesce(F.col("outcome") == "moved to the trash", F.lit(False))}).select(*notes.schema.names)
+        try:
+            commit(at, [log.prepared(at, log_rows, log_buckets, in_log), notes.prepared(at, note_rows, note_buckets, in_notes)])
+            return told.select("provider_id", "id", "outcome")
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
 def open_tasks(lists: DataFrame, tasks: DataFrame, most: int = 500) -> DataFrame:
     """(list_id, list_name, task_id, title) of open tasks that are neither deleted nor hidden, ``most`` of each list by position."""
     nth = Window.partitionBy("list_id").orderBy("position", "task_id")

@@ -210,7 +210,7 @@ HEADED = Literal(
 
 @R.query(
     f"""WITH {HEADED.sql()}, cut AS (SELECT path, text, starts_with(text, '---' || chr(10)) AND contains(substr(text, 4), chr(10) || '---') AS headed FROM headed),
-parts AS (SELECT path, CASE WHEN headed THEN regexp_extract(text, '(?s)^---\\n(.*?)\\n---', 1) ELSE '' END AS head, CASE WHEN headed THEN regexp_replace(text, '(?s)^---\\n.*?\\n---\\n?', '') ELSE text END AS body FROM cut),
+parts AS (SELECT path, CASE WHEN headed THEN regexp_extract(text, '(?s)^---\\n(.*?)\\n---', 1) ELSE '' END AS head, CASE WHEN headed THEN regexp_replace(text, '(?s)^---\\n.*?\\n---\\n*', '') ELSE text END AS body FROM cut),
 found AS (SELECT path, body, list_concat(string_split(regexp_extract(head, '(?m)^tags?: \\[(.*)\\]$', 1), ','), regexp_extract_all(head, '(?m)^- (.*)$', 1), [regexp_extract(head, '(?m)^tags?: ([^\\[].*)$', 1)], regexp_extract_all(body, '(?:^|\\s)#([A-Za-z][A-Za-z0-9_/-]*)', 1)) AS raw FROM parts)
 SELECT path, array_to_string(list_sort(list_distinct(list_filter(list_transform(raw, lambda x: trim(x, ' ''"')), lambda x: x <> ''))), ',') AS tags, body FROM found"""
 )
@@ -219,6 +219,42 @@ def note_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.parsed(HEADED.df(spark)).select("path", F.array_join("tags", ",").alias("tags"), "body")
 
 
+#: Heads of seven kinds, by the remainder of an id: what each is, and its tags. The fourth is bad YAML, the fifth no mapping; the seventh is no head.
+HEADS = [
+    ("title: 'It''s: one'\ntags: [SRC, 'a, b', \"c\\u0021\"]", ["SRC", "a, b", "c!"]),
+    ("tags:\n  - SRC\n  - two words # a remark\nmore:\n  tags: [deep]", ["SRC", "two words"]),
+    ("tags: 'x, #y'\nlist:\n- {a: 1}", ["x", "y"]),
+    ("tags: [one", None),
+    ("- tags\n- two", []),
+    ("note: |\n  tags: [no]\n\n  more\ntags:\ntag: solo", ["solo"]),
+    (None, []),
+]
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+HEADED_SQL = f"""
+WITH own AS (SELECT doc_id, coalesce(source, '') AS src, coalesce(text, '') AS said, doc_id % 7 AS k FROM documents WHERE doc_id IS NOT NULL),
+cut AS (SELECT doc_id, CASE WHEN k = 6 THEN said WHEN k = 3 THEN {_sql_text("---" + chr(10) + "tags: [one" + chr(10) + "---" + chr(10) + chr(10))} || said ELSE ltrim(said, chr(10)) END AS text,
+  CASE k {" ".join(f"WHEN {k} THEN [{', '.join('src' if t == 'SRC' else _sql_text(t) for t in tags)}]::VARCHAR[]" for k, (_, tags) in enumerate(HEADS) if tags is not None)} ELSE []::VARCHAR[] END AS head FROM own)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(head, regexp_extract_all({vault_plans.NO_CODE.replace("body", "text")}, '(?:^|\\s)#([A-Za-z][A-Za-z0-9_/-]*)', 1)))), ',') AS tags, sha256(text) AS body_sha256 FROM cut
+"""
+
+
+@R.query(HEADED_SQL)
+def note_heads_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes under heads of seven kinds: tags of head and text, and what is body."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.coalesce("text", F.lit("")).alias("said"))
+    text = F.col("said")
+    for k, (head, _) in enumerate(HEADS):
+        if head is not None:
+            text = F.when(F.col("doc_id") % len(HEADS) == k, F.concat(F.lit("---\n"), F.replace(F.lit(head), F.lit("SRC"), F.col("src")), F.lit("\n---\n\n"), F.col("said"))).otherwise(text)
+    notes = docs.select(F.col("doc_id").alias("path"), F.lit(None).cast("timestamp").alias("modified_at"), text.alias("text"))
+    return vault.parsed(notes).select(F.col("path").alias("doc_id"), F.array_join("tags", ",").alias("tags"), F.sha2("body", 256).alias("body_sha256"))
+
+
 DRAFTS = Literal(
     "drafts",
     "nth int, path string, body string",

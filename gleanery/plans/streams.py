@@ -5,16 +5,18 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import embedding, ingest, state
+from gleanery.plans.ingest import R as INGEST
 from gleanery.plans.ingest import SNAPSHOT_SQL, snapshots
 from gleanery.plans.registry import Registry
 from gleanery.sources.buckets import Buckets
 from gleanery.sources.shared import shared_folder
 from gleanery.sources.tables import table
+from gleanery.streaming import states
 from gleanery.streaming.ingest import current, index_stream, windowed_counts
 
 R = Registry()
@@ -111,3 +113,41 @@ def embedding_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     held.create(chunks)
     embedding.embed_pending(held, by_word_lengths, "new", files=8)
     return held.read().select("entity_id", "embedder", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+
+
+@R.query(INGEST.sql["capture_state_events"])
+def capture_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of ``capture_state_events``, kept by a stream of the events."""
+    folder = f"{shared_folder(spark)}/capture-stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    kind = F.col("event_type")
+    action = F.when(kind == "click", "route").when(kind == "view", "undo").when(kind == "error", "archive").otherwise(kind)
+    log = stream.filter("user_id IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("id"), action.alias("action"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    changes = states.capture_changes(log)
+    states.run_to_end(changes, folder)
+    return states.newest(changes, folder, "id").withColumnRenamed("at", "moved_at")
+
+
+@R.query(
+    """WITH e AS (SELECT user_id::VARCHAR AS provider_id, event_id AS id, row_number() OVER w AS nth, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, lag(event_id) OVER w AS before
+  FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+last AS (SELECT * FROM e WHERE back = 1), told AS (SELECT *, provider_id::BIGINT % 3 = 0 AS edited FROM last)
+SELECT provider_id, id, CASE WHEN edited THEN 'changed since' WHEN nth = 1 THEN 'moved to the trash' ELSE 'restored' END AS outcome,
+  CASE WHEN edited THEN 'edited by hand' WHEN nth = 1 THEN 'text ' || id ELSE 'text ' || before END AS content, NOT edited AND nth = 1 AS trashed, NOT edited AS undone FROM told"""
+)
+def note_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as writes to a note each; each third note was edited by hand since. The newest write to every note is taken back, log and notes in one commit."""
+    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select(F.col("user_id").cast("string").alias("provider_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("taken_at"))
+    before = F.lag("id").over(Window.partitionBy("provider_id").orderBy("taken_at", "id"))
+    text = lambda c: F.concat(F.lit("text "), c.cast("string"))
+    wrote = events.withColumn("before", before).select("id", "provider_id", F.when(F.col("before").isNull(), "create").otherwise("update").alias("operation"), text(F.col("before")).alias("content"), F.sha2(text(F.col("id")), 256).alias("wrote_sha256"), "taken_at", F.lit(None).cast("timestamp").alias("undone_at"))
+    last = events.groupBy("provider_id").agg(F.max_by("id", F.struct("taken_at", "id")).alias("id"))
+    as_is = last.select("provider_id", F.when(F.col("provider_id").cast("long") % 3 == 0, "edited by hand").otherwise(text(F.col("id"))).alias("content"), F.lit(False).alias("trashed"))
+    folder = f"{shared_folder(spark)}/undo-{uuid.uuid4().hex}"
+    log = Buckets(spark, folder, wrote.schema, ["provider_id"], 16, "log")
+    notes = Buckets(spark, folder, as_is.schema, ["provider_id"], 16, "notes")
+    log.create(wrote)
+    notes.create(as_is)
+    told = state.undone(log, notes, as_is, F.lit("2024-03-01").cast("timestamp"))
+    marked = log.read().groupBy("provider_id").agg(F.bool_or(F.col("undone_at").isNotNull()).alias("undone"))
+    return told.join(notes.read(), "provider_id").join(marked, "provider_id")

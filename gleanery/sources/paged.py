@@ -9,11 +9,16 @@ from __future__ import annotations
 import random
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Fixed values of the retry rule.
 ATTEMPTS, LONGEST_WAIT = 4, 30.0
@@ -82,6 +87,59 @@ def by_link(fetch: Callable[[str | None], Page], limit: int | None = None, **how
     return by_token(own, limit, **how)
 
 
+def pages_by_token(fetch: Callable[[str | None], Page], limit: int | None = None, **how) -> Iterator[list[dict]]:
+    """The rows of one page after the other, until there is no next token or the limit is reached."""
+    token, given = None, 0
+    while limit is None or given < limit:
+        page = fetched(fetch, token, **how)
+        rows = page.rows if limit is None else page.rows[: limit - given]
+        given += len(rows)
+        yield rows
+        token = page.next_token
+        if not token:
+            return
+
+
+class Collection(InputPartition):
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+
+class Collections(DataSourceReader):
+    def __init__(self, names: list[str], pages: Callable[[str], Iterator[list[dict]]], schema: StructType) -> None:
+        self.names, self.pages, self.kind = names, pages, to_arrow_schema(schema)
+
+    def partitions(self) -> list[InputPartition]:
+        return [Collection(n) for n in self.names]
+
+    def read(self, partition: Collection) -> Iterator[pa.RecordBatch]:
+        for rows in self.pages(partition.name):
+            if rows:
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in self.kind.names} for r in rows], schema=self.kind)
+
+
+def streamed(spark: SparkSession, collections: list[str], pages: Callable[[str], Iterator[list[dict]]], schema: str) -> DataFrame:
+    """Rows of every collection, a partition each, page by page: a task holds one page. ``pages`` gives the pages of a collection, as dicts with the schema's fields.
+
+    The first failure that isn't mended by trying again ends the read, after Spark's own attempts at the task.
+    """
+    kind = spark.createDataFrame([], schema).schema
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return f"pages_{uuid.uuid5(uuid.NAMESPACE_OID, schema).hex}"
+
+        def schema(self) -> StructType:
+            return kind
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return Collections(collections, pages, kind)
+
+    spark.dataSource.register(Source)
+    return spark.read.format(Source.name()).load() if collections else spark.createDataFrame([], schema)
+
+
 def listed(spark: SparkSession, collections: list[str], rows: Callable[[str], Iterator[dict]], schema: str) -> DataFrame:
     """Rows of every collection, one task each; a collection that fails fails the read. ``rows`` gives dicts with the schema's fields."""
     own = spark.createDataFrame([(c,) for c in collections], "collection string").repartition(max(1, len(collections)), "collection")

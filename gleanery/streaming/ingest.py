@@ -27,19 +27,22 @@ def index_stream(listing: DataFrame, folder: str, prunes: list[str] = (), bucket
     A micro-batch has what came since the last one, so a key that it lacks is no sign of a removal: nothing is pruned unless
     the stream says that a listing is whole. For that it may have a column ``complete``: a provider in ``prunes`` is pruned by
     a batch in which all its rows have ``complete`` true, to the keys of those rows. Of rows with one key the newest stays:
-    by ``modified_at``, a missing time first, then by fingerprint.
+    by ``modified_at``, a missing time first, then by fingerprint. A stream of changes may have a column ``deleted``: keys of such rows leave the
+    index, unless the batch has a row for the key that isn't deleted.
     """
-    whole = "complete" in listing.columns
-    schema = (listing.drop("complete") if whole else listing).schema
+    whole, removes = "complete" in listing.columns, "deleted" in listing.columns
+    schema = listing.drop("complete", "deleted").schema
     newest = F.max_by(F.struct(*schema.names), F.struct(F.coalesce(F.col("modified_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.col("fingerprint")))
 
     def step(batch: DataFrame, number: int) -> None:
         index = Buckets(batch.sparkSession, folder, schema, KEYS, buckets)
         if index.state()[1].get("marks", {}).get("batch", -1) >= number:
             return  # run before, and done
-        new = batch.groupBy(*KEYS).agg(newest.alias("r")).select("r.*")
+        there = batch.filter(~F.coalesce("deleted", F.lit(False))) if removes else batch
+        new = there.groupBy(*KEYS).agg(newest.alias("r")).select("r.*")
+        gone = batch.filter("deleted").select(*KEYS).distinct() if removes else None
         complete = [r["provider"] for r in batch.filter(F.col("provider").isin(list(prunes))).groupBy("provider").agg(F.min(F.coalesce("complete", F.lit(False))).alias("all")).filter("all").collect()] if whole and prunes else []
-        upsert(index, new, complete, {"batch": number})
+        upsert(index, new, complete, {"batch": number}, gone)
 
     return listing.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(step).start()
 

@@ -1,5 +1,7 @@
 """Commits by several writers, tables in buckets, conditional changes of state."""
 
+import datetime
+import hashlib
 import json
 import random
 import threading
@@ -185,3 +187,50 @@ def test_a_batch_that_ran_is_not_merged_again(spark, tmp_path):
     index, commit = streaming.current(spark, folder, read().schema)
     assert commit == 0 and keyed(index) == {("a", "1", "x")}
     assert json.loads(Folder(spark, folder).text(Commits._name(0)))["marks"] == {"batch": 0}
+
+
+def undo_tables(spark, path, notes, log):
+    folder = f"file://{path}"
+    held = spark.createDataFrame([(*n, False) for n in notes], state.NOTES)
+    rows = spark.createDataFrame([(i, p, op, was, hashlib.sha256(wrote.encode()).hexdigest(), datetime.datetime(2024, 1, i), None) for i, p, op, was, wrote in log], state.SNAPSHOTS)
+    tables = Buckets(spark, folder, rows.schema, ["provider_id"], 4, "log"), Buckets(spark, folder, held.schema, ["provider_id"], 4, "notes")
+    tables[0].create(rows)
+    tables[1].create(held)
+    return tables
+
+
+def undo(log, notes, *names):
+    asked = log.spark.createDataFrame([(n,) for n in names], "provider_id string")
+    return {r["provider_id"]: r["outcome"] for r in state.undone(log, notes, asked, F.lit("2024-03-01").cast("timestamp")).collect()}
+
+
+def contents(notes):
+    return {r["provider_id"]: (r["content"], r["trashed"]) for r in notes.read().collect()}
+
+
+def test_writes_are_taken_back_one_after_the_other(spark, tmp_path):
+    log, notes = undo_tables(spark, tmp_path, [("a", "three"), ("b", "by hand"), ("c", "c")], [(1, "a", "create", None, "one"), (2, "a", "update", "one", "two"), (3, "a", "update", "two", "three"), (4, "b", "update", "", "wrote")])
+    assert undo(log, notes, "a", "b", "c", "none") == {"a": "restored", "b": "changed since", "c": "nothing to undo", "none": "nothing to undo"}
+    assert contents(notes) == {"a": ("two", False), "b": ("by hand", False), "c": ("c", False)}
+    assert undo(log, notes, "a", "a") == {"a": "restored"} and contents(notes)["a"] == ("one", False)
+    assert undo(log, notes, "a") == {"a": "moved to the trash"} and contents(notes)["a"] == ("one", True)
+    assert undo(log, notes, "a") == {"a": "nothing to undo"}
+    assert {r["id"]: r["undone_at"] is not None for r in log.read().collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_undo_is_judged_again_after_another_writer(spark, tmp_path):
+    log, notes = undo_tables(spark, tmp_path, [("a", "two")], [(1, "a", "update", "one", "two")])
+    prepared, raced = notes.prepared, []
+
+    def slow(*how):
+        if not raced:  # meanwhile the note is edited
+            raced.append(1)
+            other = Buckets(spark, f"file://{tmp_path}", notes.schema, ["provider_id"], name="notes")
+            now = other.state()
+            other.write(now, other.read(now).withColumn("content", F.lit("edited")), list(range(other.n)))
+        return prepared(*how)
+
+    notes.prepared = slow
+    before = {r["undone_at"] for r in log.read().collect()}
+    assert undo(log, notes, "a") == {"a": "changed since"}
+    assert contents(notes) == {"a": ("edited", False)} and {r["undone_at"] for r in log.read().collect()} == before == {None}

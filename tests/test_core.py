@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gleanery.functions import stems
+from gleanery.functions import heads, stems
 from gleanery.functions import text as T
 from gleanery.operators import chunking, evaluation, fusion, graph, ingest, lexical, state, tags, vector
 from gleanery.sources import jsonl, paged, vault
@@ -282,8 +282,8 @@ def test_vault(spark, tmp_path):
     assert vault.read_vault(spark, str(tmp_path), limit=2).count() == 2
     assert vault.note(spark, str(tmp_path), "../A.md").count() == 0
     assert [list(r["tags"]) for r in vault.parsed(vault.read_vault(spark, str(tmp_path))).filter("path = 'A.md'").collect()] == [["in/line", "x", "y z"]]
-    assert vault.frontmatter("a\n---\nb: c\n---\n") == ({}, "a\n---\nb: c\n---\n")
-    assert vault.frontmatter("---\ntags:\n- a\n- b\n---\nbody") == ({"tags": ["a", "b"]}, "body")
+    assert heads.head_and_body("a\n---\nb: c\n---\n") == ({}, "a\n---\nb: c\n---\n")
+    assert heads.head_and_body("---\ntags:\n- a\n- b\n---\nbody") == ({"tags": ["a", "b"]}, "body")
 
 
 def test_pages(spark):
