@@ -25,7 +25,9 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -48,6 +50,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9a-fA-F]{8,}|\d+|[^\w\s]|_")
+RUN = re.compile(r"[0-9]+|([^\W\d_]+)|.", re.DOTALL)
+BREAK = re.compile("[ \n]")
 HEX = re.compile(r"(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+")
 
 Span = tuple[int, int, str]
@@ -101,29 +105,77 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(text: str) -> str:
-    """Runs of digits as 9 and of letters as a or A, with their lengths up to 5 for digits; the rest as it is."""
-    out = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 5)}", text)
-    return re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", out)[:40]
-
-
-def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
+    """Runs of digits as 9 and of letters as a or A, with their lengths up to 5 for digits; the rest as it is; 40 characters."""
+    out = ""
+    for m in RUN.finditer(text):
+        out += f"9{min(len(m[0]), 5)}" if "0" <= m[0][0] <= "9" else ("A" if m[0].isupper() else "a") if m[1] else m[0]
+        if len(out) >= 40:
+            break
+    return out[:40]
+
+
+#: Fixed table: digits of one length are one text.
+ZEROED = str.maketrans("123456789", "000000000")
+#: Scored segments that a worker remembers, and the longest that it does.
+CACHE, CACHED_CHARS = 1 << 17, 120
+
+
+class Tokens:
+    """Tokens of a stretch of text, as numbers: where each begins and ends, the digits before it, and what segments ask of it."""
+
+    def __init__(self, text: str, low: int = 0, high: int | None = None) -> None:
+        self.text = text
+        self.starts, self.ends, self.digits = array("q"), array("q"), array("q", [0])
+        #: whether a segment may begin or end here, goes on from the token before, holds an @; whether the token touches the one before
+        self.begins, self.closes, self.joins, self.ats, self.touches = (bytearray() for _ in range(5))
+        self.afters: list[str] = []  # what the segment before a token is told of it
+        n, last, letters = 0, -2, False
+        for m in TOKEN.finditer(text, low, len(text) if high is None else high):
+            own, (a, b) = m[0], m.span()
+            word, alpha = own[0].isalnum(), own.isalpha()
+            self.starts.append(a)
+            self.ends.append(b)
+            n += (sum(map(own.count, "0123456789")) if b - a > 1 else "0" <= own <= "9") if word and not alpha else 0
+            self.digits.append(n)
+            self.begins.append(word and not (a and text[a - 1].isalnum()) or own[0] in "+(")
+            self.closes.append(own[-1].isalnum() and not text[b : b + 1].isalnum())
+            self.touches.append(a == last)
+            self.joins.append(a == last or a == last + 1 and text[last] != "\n" and not letters and not alpha)
+            self.ats.append(own == "@")
+            self.afters.append("w" if own[:1].isalnum() else own.lower())
+            last, letters = b, alpha
+        self.afters.append("w")
+        self.touches.append(0)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def before(self, i: int) -> list[str]:
+        """The words before token i, three at most, in lower case."""
+        return [self.text[self.starts[k] : self.ends[k]].lower() for k in range(max(0, i - 3), i)]
+
+    def tight(self, i: int, j: int) -> tuple[bool, bool]:
+        """Whether tokens i to j - 1 touch the token before and the one behind."""
+        return bool(i and self.touches[i]), bool(self.touches[j])
+
+
+def segment_features(tokens: Tokens, i: int, j: int, before: list[str] | None = None) -> list[str]:
     """Of tokens i to j - 1 as one segment."""
-    own = text[tokens[i][0] : tokens[j - 1][1]]
-    digits = only_digits(own)
-    before = [text[a:b].lower() for a, b in tokens[max(0, i - 3) : i]]
-    after = text[slice(*tokens[j])].lower() if j < len(tokens) else "END"
-    tight = (i > 0 and tokens[i - 1][1] == tokens[i][0], j < len(tokens) and tokens[j - 1][1] == tokens[j][0])
-    out = ["one", f"shape {shape(own)}", f"digits {min(len(digits), 20)}", f"tokens {j - i}", f"tight {tight}", f"ends {own[0] if not own[0].isalnum() else 'w'}{own[-1] if not own[-1].isalnum() else 'w'}", f"space {' ' in own}"]
+    own = tokens.text[tokens.starts[i] : tokens.ends[j - 1]]
+    digits = tokens.digits[j] - tokens.digits[i]
+    before = tokens.before(i) if before is None else before
+    after = tokens.afters[j]
+    out = ["one", f"shape {shape(own)}", f"digits {min(digits, 20)}", f"tokens {j - i}", f"tight {tokens.tight(i, j)}", f"ends {own[0] if not own[0].isalnum() else 'w'}{own[-1] if not own[-1].isalnum() else 'w'}", f"space {' ' in own}"]
     out += [f"near {w}" for w in before if w.isalpha()]
     out.append(f"before {before[-1] if before else 'START'}")
-    out.append(f"after {after if not after[:1].isalnum() else 'w'}")
+    out.append(f"after {after}")
     if "@" in own:
         left, _, right = own.partition("@")
         out.append(f"at {bool(left)} {'.' in right} {'@' in right}")
-    if IP.fullmatch(own):
+    if own.count(".") == 3 and IP.fullmatch(own):
         out.append(f"ip {all(len(p) <= 3 and octet(p) for p in own.split('.'))}")
-    if 12 <= len(digits) <= 19:
-        out.append(f"luhn {luhn(digits)}")
+    if 12 <= digits <= 19:
+        out.append(f"luhn {luhn(only_digits(own))}")
     if len(own) >= 20 and HEX.fullmatch(own):
         out.append(f"hex {len(own) >= 32}")
     return out
@@ -142,7 +194,8 @@ def islands(text: str, reach: int = REACH) -> list[tuple[int, int]]:
             start = max(space, floor)
         words = 0
         while words <= reach and end < len(text):
-            space = min((p for p in (text.find(" ", end), text.find("\n", end)) if p >= 0), default=len(text))
+            found = BREAK.search(text, end)
+            space = found.start() if found else len(text)
             words += space > end and not text[end:space].isspace()
             end = min(space + 1, len(text))
         if out and start <= out[-1][1]:
@@ -160,35 +213,33 @@ class SemiMarkov:
         self.weights: dict[tuple[str, str], float] = defaultdict(float)
         self.moves: dict[tuple[str, str], float] = defaultdict(float)
         self.table: dict[str, list[float]] | None = None  # the weights by feature, made when a fitted field first decodes
-
-    def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Segments (i, j) that have an @ or enough digits, no line break and no space beside letters, and start and end where a span can."""
-        worth = [0]  # an @ counts as enough digits
-        for a, b in tokens:
-            own = text[a:b]
-            worth.append(worth[-1] + (LEAST_DIGITS if own == "@" else sum(map(own.count, "0123456789")) if TRIGGER.search(own) else 0))
-        # whether a token may stand in one segment with the token before it
-        joins = [False] * len(tokens)
-        for k in range(1, len(tokens)):
-            gap = text[tokens[k - 1][1] : tokens[k][0]]
-            joins[k] = not gap or len(gap) == 1 and gap != "\n" and not text[slice(*tokens[k - 1])].isalpha() and not text[slice(*tokens[k])].isalpha()
-        ends = [text[b - 1].isalnum() and not text[b : b + 1].isalnum() for _, b in tokens]
-        out = []
-        for i, (a, _) in enumerate(tokens):
-            if not (text[a].isalnum() and not (a and text[a - 1].isalnum()) or text[a] in "+("):
+        self.scores: dict[tuple, list[tuple[str, float]]] = {}
+        self.least: dict[str, float] | None = None
+
+    def candidates(self, tokens: Tokens) -> Iterator[tuple[int, list[int]]]:
+        """Segments (i, ends j) by i that have an @ or enough digits, no line break and no space beside letters, and start and end where a span can."""
+        digits, begins, closes, joins, ats, n = tokens.digits, tokens.begins, tokens.closes, tokens.joins, tokens.ats, len(tokens)
+        for i in range(n):
+            if not begins[i]:
                 continue
-            for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-                if j - i > 1 and not joins[j - 1]:
+            at, least, out = ats[i], digits[i] + LEAST_DIGITS, []
+            j = i + 1
+            while True:
+                if closes[j - 1] and (at or digits[j] >= least):
+                    out.append(j)
+                if j >= n or j >= i + LONGEST or not joins[j]:
                     break
-                if ends[j - 1] and worth[j] - worth[i] >= LEAST_DIGITS:
-                    out.append((i, j))
-        return out
+                at = at or ats[j]
+                j += 1
+            if out:
+                yield i, out
 
-    def lattice(self, text: str, tokens: list[tuple[int, int]]) -> dict[int, list[tuple[int, list[str]]]]:
+    def lattice(self, tokens: Tokens) -> dict[int, list[tuple[int, list[str]]]]:
         """By end, the segments' starts and features."""
         by_end: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
-        for i, j in self.candidates(text, tokens):
-            by_end[j].append((i, segment_features(text, tokens, i, j)))
+        for i, ends in self.candidates(tokens):
+            for j in ends:
+                by_end[j].append((i, segment_features(tokens, i, j)))
         return by_end
 
     def value(self, kind: str, features: list[str]) -> float:
@@ -207,76 +258,123 @@ class SemiMarkov:
     def move(self, before: str, kind: str) -> float:
         return self.moves.get((before, kind), 0.0)
 
+    def worth(self, tokens: Tokens, zeroed: str, low: int, i: int, ends: list[int], margin: float) -> Iterator[tuple[int, list[tuple[str, float]]]]:
+        """(j, what the segment from i to j is worth by kind), without the kinds under which tokens outside would always be better.
+
+        All that counts of a segment is its text with every digit a zero (``zeroed``, from ``low`` on), what checks say of the digits, and the words beside it
+        that the field knows.
+        """
+        before = self.known(tokens.before(i))
+        a, had, scores = tokens.starts[i], tokens.digits[i], self.scores
+        context = (margin, *before, bool(i and tokens.touches[i]))
+        for j in ends:
+            b = tokens.ends[j - 1]
+            key = None
+            if b - a <= CACHED_CHARS:
+                own = zeroed[a - low : b - low]
+                check = luhn(only_digits(tokens.text[a:b])) if 12 <= tokens.digits[j] - had <= 19 else None
+                ip = all(len(p) <= 3 and octet(p) for p in tokens.text[a:b].split(".")) if own.count(".") == 3 and IP.fullmatch(own) else None
+                key = (own, j - i, context, tokens.afters[j], tokens.touches[j], check, ip)
+                if (known := scores.get(key)) is not None:
+                    if known:
+                        yield j, known
+                    continue
+            values = self.values(segment_features(tokens, i, j, before))
+            found = [(k, v - margin) for k, v in zip(KINDS, values, strict=True) if v - margin >= self.least[k]]
+            if key is not None:
+                if len(scores) >= CACHE:
+                    scores.clear()
+                scores[key] = found
+            if found:
+                yield j, found
+
+    def known(self, before: list[str]) -> list[str]:
+        """The words as the features see them: one that the field has no weight for is like any other such word."""
+        last = len(before) - 1
+        return [w if w.isalpha() and f"near {w}" in self.table or k == last and f"before {w}" in self.table else "~" for k, w in enumerate(before)]
+
     def decode(self, text: str, margin: float = 0.0, fixed: list[Span] = (), low: int = 0, high: int | None = None) -> list[Span]:
-        """The best segmentation's spans beside the ``fixed`` ones, between two borders of the text; each span costs ``margin``."""
-        tokens = [m.span() for m in TOKEN.finditer(text, low, len(text) if high is None else high)]
+        """The best segmentation's spans beside the ``fixed`` ones, between two borders of the text; each span costs ``margin``.
+
+        Only the scores of the last ``LONGEST`` places are held, each with the chain of spans that leads there; chains share what they have in common.
+        """
+        tokens = Tokens(text, low, high)
+        zeroed = text[low : len(text) if high is None else high].translate(ZEROED)
+        self.values([])  # makes the table
+        if self.least is None:
+            labels = (OUTSIDE, *KINDS)
+            # the most that neighbours can add to a segment, against tokens outside in its place
+            self.least = {k: -max(self.move(p, k) - self.move(p, OUTSIDE) for p in labels) - max(self.move(k, q) - self.move(OUTSIDE, q) for q in labels) - 1e-9 for k in KINDS}
         n = len(tokens)
         # fixed spans as runs of tokens, overlapping ones as one run with the first one's kind
         runs: list[list] = []
         k = 0
         for start, end, kind in sorted(fixed):
-            while k < n and tokens[k][1] <= start:
+            while k < n and tokens.ends[k] <= start:
                 k += 1
             j = k
-            while j < n and tokens[j][0] < end:
+            while j < n and tokens.starts[j] < end:
                 j += 1
             if j > k and runs and k < runs[-1][1]:
                 runs[-1][1] = max(j, runs[-1][1])
             elif j > k:
                 runs.append([k, j, kind])
-        taken = [0] * (n + 1)
-        for i, j, _ in runs:
-            for t in range(i, j):
-                taken[t + 1] = 1
-        for t in range(n):
-            taken[t + 1] += taken[t]
-        ends = {j: (i, kind) for i, j, kind in runs}
-        by_end = self.lattice(text, tokens)
-        # by place: the best score of each kind that the last segment may have, and where from
-        best: list[dict[str, tuple[float, int, str]]] = [{OUTSIDE: (0.0, -1, "")}] + [{} for _ in range(n)]
-
-        into: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
-
-        def reach(i: int, kind: str) -> tuple[float, str]:
-            if (got := into[i].get(kind)) is None:
-                got = into[i][kind] = max((v + self.move(before, kind), before) for before, (v, _, _) in best[i].items())
+        waiting: dict[int, list] = {}  # by end: segments that have begun
+        best: dict[int, dict[str, tuple[float, tuple | None]]] = {0: {OUTSIDE: (0.0, None)}}
+        into: dict[tuple[int, str], tuple[float, tuple | None]] = {}
+
+        def reach(i: int, kind: str) -> tuple[float, tuple | None]:
+            if (got := into.get((i, kind))) is None:
+                v, before = max((v + self.move(before, kind), before) for before, (v, _) in best[i].items())
+                got = into[i, kind] = v, best[i][before][1]
             return got
 
-        for j in range(1, n + 1):
-            if j in ends:
-                i, kind = ends[j]
-                v, before = reach(i, kind)
-                best[j][kind] = (v, i, before)
-                continue
-            if taken[j] > taken[j - 1]:
-                continue  # inside a fixed span
-            v, before = reach(j - 1, OUTSIDE)
-            best[j][OUTSIDE] = (v, j - 1, before)
-            for i, features in by_end.get(j, ()):
-                if taken[j] > taken[i]:
-                    continue
-                for kind, own in zip(KINDS, self.values(features), strict=True):
-                    v, before = reach(i, kind)
-                    v += own - margin
-                    if kind not in best[j] or v > best[j][kind][0]:
-                        best[j][kind] = (v, i, before)
-        out, j = [], n
-        kind = max((v, k) for k, (v, _, _) in best[n].items())[1]
-        while j:
-            _, i, before = best[j][kind]
-            if kind != OUTSIDE and j not in ends:
-                out.append((tokens[i][0], tokens[j - 1][1], kind))
-            j, kind = i, before
+        segments = self.candidates(tokens)
+        coming = next(segments, None)
+        r, run, j = 0, None, 0
+        while j < n:
+            # what begins at this place
+            if r < len(runs) and runs[r][0] == j:
+                run = (runs[r][1], runs[r][2], *reach(j, runs[r][2]))
+                r += 1
+            limit = runs[r][0] if r < len(runs) else n
+            while coming is not None and coming[0] <= j:
+                if coming[0] == j and run is None and coming[1][0] <= limit:
+                    for end, worth in self.worth(tokens, zeroed, low, j, [e for e in coming[1] if e <= limit], margin):
+                        waiting.setdefault(end, []).append((j, worth))
+                coming = next(segments, None)
+            j += 1
+            if run is not None:
+                best[j] = {}
+                if run[0] == j:
+                    best[j] = {run[1]: (run[2], run[3])}
+                    run = None
+            else:
+                here = best[j] = {OUTSIDE: reach(j - 1, OUTSIDE)}
+                for i, worth in waiting.pop(j, ()):
+                    for kind, own in worth:
+                        v, path = reach(i, kind)
+                        v += own
+                        if kind not in here or v > here[kind][0]:
+                            here[kind] = (v, (tokens.starts[i], tokens.ends[j - 1], kind, path))
+            best.pop(j - LONGEST - 1, None)
+            for kind in (OUTSIDE, *KINDS):
+                into.pop((j - LONGEST - 1, kind), None)
+        path = best[n][max((v, k) for k, (v, _) in best[n].items())[1]][1]
+        out = []
+        while path is not None:
+            out.append(path[:3])
+            path = path[3]
         return out[::-1]
 
     def learn(self, text: str, spans: list[Span], rate: float, penalty: float) -> None:
         """One step up the sentence's conditional likelihood."""
-        tokens = [m.span() for m in TOKEN.finditer(text)]
+        tokens = Tokens(text)
         n, labels = len(tokens), (OUTSIDE, *KINDS)
         arcs: list[list[tuple[int, str, float, list[str]]]] = [[] for _ in range(n + 1)]
         for j in range(1, n + 1):
             arcs[j].append((j - 1, OUTSIDE, 0.0, []))
-        for j, segments in self.lattice(text, tokens).items():
+        for j, segments in self.lattice(tokens).items():
             arcs[j] += [(i, kind, self.value(kind, f), f) for i, f in segments for kind in KINDS]
         move = {(a, b): self.move(a, b) for a in labels for b in labels}
         ahead: list[dict[str, float]] = [{OUTSIDE: 0.0}] + [{} for _ in range(n)]
@@ -328,8 +426,8 @@ class SemiMarkov:
                 self.moves[pair] += rate * (path.count(pair) - chance[pair] - penalty * self.moves[pair])
 
     @staticmethod
-    def _as_tokens(tokens: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int, str]]:
-        first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: j + 1 for j, (_, b) in enumerate(tokens)}
+    def _as_tokens(tokens: Tokens, spans: list[Span]) -> list[tuple[int, int, str]]:
+        first, last = {a: i for i, a in enumerate(tokens.starts)}, {b: j + 1 for j, b in enumerate(tokens.ends)}
         return [(first[a], last[b], kind) for a, b, kind in spans if a in first and b in last]
 
 
@@ -429,12 +527,10 @@ def all_spans(text: str, model: SemiMarkov, margin: float = MARGIN) -> tuple[lis
     for low, high in islands(text):
         while k < len(base) and base[k][1] <= low:
             k += 1
-        own = []
-        for span in base[k:]:
-            if span[0] >= high:
-                break
-            own.append(span)
-        every += model.decode(text, margin, own, low, high)
+        last = k
+        while last < len(base) and base[last][0] < high:
+            last += 1
+        every += model.decode(text, margin, base[k:last], low, high)
     return base, sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
