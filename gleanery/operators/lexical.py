@@ -17,8 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.segments import folder_of
-
 WORD = "[a-z0-9]+"
 WEIGHTS = {"A": 1.0, "B": 0.4}
 
@@ -129,8 +127,6 @@ def search(index: DataFrame, text: str, stop: list[str], mode: str = "all", stri
         begins = F.col("lexeme").startswith(prefix)
         needed = needed | begins
         aggs.append(F.sum(F.when(begins, weight).otherwise(0.0)).alias("tfp"))
-    elif "folder" in index.columns:
-        needed = needed & F.col("folder").isin(sorted({folder_of(w) for w in words}))
     found = index.filter(needed).groupBy("entity_id").agg(*aggs)
     if items is not None and any(all(t.negated for t in g) for g in query.alternatives):
         found = items.select("entity_id").join(found, "entity_id", "left")

@@ -7,15 +7,13 @@ tombstones; a search reads the live set as of one commit. Where there are many s
 smallest are merged into one, without what is dead in them; tombstones that no older segment is left for are
 dropped. Of two jobs that add at once, one commits and the other adds again.
 
-Postings stand in folders by a checksum of the lexeme and in order there, so a search opens the folders of
-its words and skips what the statistics in the files exclude; a frequent lexeme is spread over
-several files. They are computed once: the writer deals them out by a hash, not by a range that had to be sampled first.
+Each task writes the postings of the documents that it reads, in the order of their lexemes, so they are computed once and
+none is sent anywhere. A search skips the pages of each file whose least and greatest lexemes exclude its words.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,17 +23,12 @@ from pyspark.sql.types import StructType
 
 from gleanery.sources.commits import Commits, Conflict
 
-#: Folders by checksum of a lexeme in a segment, and segments beyond which the smallest are merged.
-FOLDERS = 32
+#: Segments beyond which the smallest are merged.
 MOST_SEGMENTS = 8
 
 Make = Callable[[DataFrame], DataFrame]
 
 
-def folder_of(lexeme: str) -> int:
-    return zlib.crc32(lexeme.encode()) % FOLDERS
-
-
 class Segments:
     """An index under a folder. ``make`` gives the postings (entity_id, lexeme, pos, weight) of items (entity_id, ...)."""
 
@@ -50,7 +43,7 @@ class Segments:
     def _postings(self, entry: dict, segments: list[dict]) -> DataFrame:
         """Live postings of some of a commit's segments."""
         kind = entry["id_type"]
-        schema = f"entity_id {kind}, lexeme string, pos int, weight string, folder int"
+        schema = f"entity_id {kind}, lexeme string, pos int, weight string"
         parts = [self._read(f"{s['name']}/postings", schema).withColumn("segment", F.lit(s["number"])) for s in segments]
         rows = reduce(lambda a, b: a.unionByName(b), parts)
         if not entry["dead"]:
@@ -66,16 +59,15 @@ class Segments:
         return reduce(lambda a, b: a.unionByName(b), parts)
 
     def live(self) -> DataFrame:
-        """The postings that a search reads, with the ``folder`` that its words are found in."""
+        """The postings that a search reads."""
         _, entry = self.commits.latest()
         if not entry.get("segments"):
-            return self.spark.createDataFrame([], f"entity_id {entry.get('id_type', 'long')}, lexeme string, pos int, weight string, folder int")
+            return self.spark.createDataFrame([], f"entity_id {entry.get('id_type', 'long')}, lexeme string, pos int, weight string")
         return self._postings(entry, entry["segments"])
 
     def _store(self, name: str, postings: DataFrame) -> None:
-        own = postings.select("entity_id", "lexeme", "pos", "weight").withColumn("folder", (F.crc32("lexeme") % FOLDERS).cast("int"))
-        # adaptive execution splits folders with frequent lexemes and joins small ones
-        own.hint("rebalance", "folder").sortWithinPartitions("folder", "lexeme", "entity_id").write.partitionBy("folder").parquet(f"{self.folder.path}/{name}/postings")
+        own = postings.select("lexeme", "entity_id", "pos", "weight")
+        own.sortWithinPartitions("lexeme", "entity_id", "pos").write.option("compression", "zstd").parquet(f"{self.folder.path}/{name}/postings")
 
     def add(self, items: DataFrame, gone: DataFrame | None = None, files: list[str] = (), dropped: list[str] = (), tries: int = 5) -> int:
         """Adds items (entity_id, ..., and ``file`` if the index follows a table); those with a known id replace it. Documents ``gone`` (entity_id) leave.

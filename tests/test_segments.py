@@ -69,11 +69,14 @@ def test_only_new_files_are_read(spark, tmp_path):
     assert find("red") == {1} and find("blue") == {3} and seen[3:] == [[1, 3]]
 
 
-def test_a_search_opens_the_folders_of_its_words(spark, tmp_path):
+def test_postings_are_written_in_order_and_filtered_in_the_scan(spark, tmp_path):
     index = segments.Segments(spark, f"file://{tmp_path}", postings)
-    index.add(spark.createDataFrame([(i, "t", f"word{i} " + " ".join(WORDS)) for i in range(50)], ITEMS))
+    index.add(spark.createDataFrame([(i, "t", f"word{i} " + " ".join(WORDS)) for i in range(50)], ITEMS).repartition(3))
     plan = lexical.search(index.live(), "red word7", ["the"], "any")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "folder" in plan and "PartitionFilters: [" in plan and str(segments.folder_of("word7")) in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PushedFilters: [In(lexeme, [red,word7])]" in plan
+    for f in (tmp_path / index.commits.latest()[1]["segments"][0]["name"] / "postings").glob("part*"):
+        own = [r["lexeme"] for r in spark.read.parquet(f"file://{f}").collect()]
+        assert own == sorted(own)
 
 
 def test_positions_are_gathered_for_phrases_alone(spark):
