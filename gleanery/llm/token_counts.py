@@ -170,8 +170,14 @@ class PrefixCounter:
 
     def _chunk(self, chunk: str) -> list[int]:
         """Counts at every prefix of a text without white space, in NFC, the empty prefix left out."""
-        low = chunk.lower() if SIMPLE.fullmatch(chunk) and "\u0130" not in chunk else self.tok.normalizer.normalize_str(chunk)
-        if SIMPLE.fullmatch(low):  # a letter's lower case may lie beyond
+        plain = chunk.isascii() and chunk.isprintable()  # no U+007F, whose symbol is another character
+        if plain or SIMPLE.fullmatch(chunk) and "\u0130" not in chunk:
+            low = chunk.lower()
+        else:
+            low = self.tok.normalizer.normalize_str(chunk)
+        if plain:
+            pieces = [(m, m) for m in PIECES.findall(low)]
+        elif SIMPLE.fullmatch(low):  # a letter's lower case may lie beyond
             pieces = [(m, m.encode().decode("latin-1").translate(SYMBOLS)) for m in PIECES.findall(low)]
         else:
             pieces = [(low[start:end], piece) for piece, (start, end) in self._symbols(low)]
