@@ -271,10 +271,16 @@ def _probe_routed(rows: DataFrame, tables: DataFrame, number: int, min_chars: in
     hits = dealt.drop("copies").groupBy("shard", "copy").cogroup(copies.drop("copies").groupBy("shard", "copy")).applyInArrow(probe, f"doc_id {kind}, body long, line int")
     drops = hits.groupBy("doc_id", "body").agg(F.collect_set("line").alias("drops")).select(F.col("doc_id").alias("of"), F.col("body").alias("of_body"), "drops")
     joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("drops", s["i"]))
-    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return joined.select("doc_id", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+
+    def cutting():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            gone = [set(d or ()) for d in batch.column(2).to_pylist()]
+            cut = [_cut(text, d) for text, d in zip(batch.column(1).to_pylist(), gone, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in cut], pa.string()), pa.array([n for _, n in cut], pa.int64()), pa.array([len(d) for d in gone], pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+
+        return step
+
+    return map_batches(joined.select("doc_id", "text", "drops"), cutting, f"doc_id {kind}, text string, n_lines long, n_dropped long")
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
