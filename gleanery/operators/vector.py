@@ -11,7 +11,9 @@ from gleanery.functions.vectors import constant, cosine
 
 
 def scored(chunks: DataFrame, query: list[float], signature: str | None = None, items: list | None = None) -> DataFrame:
-    """Chunks with their cosine to the query at six places; only embedded ones, of the given embedder and items."""
+    """Chunks with their cosine to the query at six places; only embedded ones, of the given embedder and items. An empty query is like nothing."""
+    if not query:
+        return chunks.filter(F.lit(False)).withColumn("score", F.lit(None).cast("double"))
     own = chunks.filter(F.col("embedding").isNotNull())
     if signature is not None:
         own = own.filter(F.col("embedder") == signature)

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.functions.vectors import constant, cosine
 from gleanery.operators import fusion, lexical, segments, vector
 from gleanery.plans.registry import Registry
 from gleanery.sources.shared import shared_folder
@@ -50,7 +49,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
+    """The vector that stands for a question; empty if the table lacks it."""
+    found = table(spark, sf_dir, "embeddings").filter("vec_id = 0 AND embedding IS NOT NULL").select("embedding").first()
+    return list(found[0]) if found else []
 
 
 COSINE_SQL = """
@@ -276,5 +277,5 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {COSINE_SQL} SELECT position AS vec_id, score FROM scored WHERE score >= 0.68")
 def vectors_like_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = constant(first_vector(spark, sf_dir))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), first), 6).alias("score")).filter("score >= 0.68")
+    own = vector.scored(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir))
+    return own.select("vec_id", "score").filter("score >= 0.68")

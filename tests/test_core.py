@@ -440,3 +440,11 @@ def test_states_and_tags_read_the_tables(spark, tmp_path):
     spark.createDataFrame([(5, 1), (10, 1), (11, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["tag"]: (r["found"], r["total"]) for r in entry.queries()["eval_by_tag_documents"](spark, str(tmp_path)).collect()}
     assert got == {"en": (1, 2), "a": (0, 1), "b": (1, 2), "de": (0, 1)}
+
+
+def test_searches_without_the_question_s_vector(spark, tmp_path):
+    spark.createDataFrame([(1, 1, [1.0, 0.0])], "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "s", "a license", "en", 9)], "doc_id long, source string, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("vector_best_chunk", "vector_best_chunk_ids", "top_chunks_in_order", "vectors_like_first"):
+        assert entry.queries()[name](spark, str(tmp_path)).count() == 0
+    assert [r["entity_id"] for r in entry.queries()["hybrid_retrieve"](spark, str(tmp_path)).collect()] == [1]
