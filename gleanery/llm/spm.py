@@ -8,12 +8,10 @@ scores, byte fallback, and the decoder. Texts are encoded in batches by the libr
 threads.
 
 A piece has the marker at its start or is a run of markers, so texts can be taken apart
-before single markers; each distinct word is encoded once a worker, and when first met it
-is encoded by the ``sentencepiece`` library too: the ids must be equal (``parity``). Of the
-texts put together from words, one in ``WHOLE_TOO`` by its hash is encoded whole by both
-libraries as well, and its three encodings must be equal. Texts
-with runs of spaces, or with models whose pieces have inner markers, are encoded whole and
-compared whole. Decoding gives the normalised text back.
+before single markers, and each distinct word is encoded once a worker. Texts with runs of
+spaces, or with models whose pieces have inner markers, are encoded whole. Every text is
+encoded whole by the ``sentencepiece`` library too, and ``parity`` says whether the ids are
+equal. Decoding gives the normalised text back.
 
 Null texts count as empty, which has no ids; an empty table gives no rows; repeated rows
 give repeated results.
@@ -36,9 +34,7 @@ from pyspark.sql import DataFrame
 from gleanery.llm.common import map_batches, texts
 
 MARKER = "▁"
-CACHE_WORDS = 1 << 19
-#: One in so many texts is also encoded whole, which costs several times what its words do.
-WHOLE_TOO = 128
+CACHE_WORDS = 1 << 20
 #: Fixed values of the format: kinds of pieces, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -159,7 +155,7 @@ class Coder:
         #: whether a text may be cut before a marker that follows none
         self.parts = self.model.add_dummy_prefix and not self.model.rules and all(MARKER not in p.lstrip(MARKER) for p in shown) and not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
         self.piece_bytes = [self._bytes_of(p, kind) for p, _, kind in self.model.pieces]
-        self.words: dict[str, tuple[bytes, bool]] = {}
+        self.words: dict[str, bytes] = {}
 
     def _bytes_of(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -181,27 +177,26 @@ class Coder:
 
     def encode(self, rows: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian 32-bit numbers, parity) of every text; an empty text has none."""
-        out: list[tuple[bytes, bool] | None] = [None] * len(rows)
-        cut, whole = [], []
-        for i, text in enumerate(rows):
-            if not text:
-                out[i] = (b"", True)
-            elif self.parts and "  " not in text and text[0] != " " and text[-1] != " " and MARKER not in text and "\0" not in text:
-                cut.append((i, text.split(" ")))
-            else:
-                whole.append(i)
-        known = self.words
+        out: list[tuple[bytes, bool]] = [(b"", True)] * len(rows)
+        cut, whole, fresh, known = [], [], set(), self.words
         if len(known) > CACHE_WORDS:
             known.clear()
-        fresh = list({w for _, words in cut for w in words if w not in known})
-        mine = dict(zip(fresh, self.whole(fresh), strict=True))
-        known.update((w, v) for w, v in mine.items() if len(w) <= 64)
-        for i, words in cut:
-            found = [known[w] if w in known else mine[w] for w in words]
-            out[i] = (b"".join([f[0] for f in found]), all([f[1] for f in found]))
-        checked = [i for i, _ in cut if zlib.crc32(rows[i].encode()) % WHOLE_TOO == 0]
-        for i, (ids, same) in zip(checked, self.whole([rows[i] for i in checked]), strict=True):
-            out[i] = (out[i][0], out[i][1] and same and out[i][0] == ids)
+        for i, text in enumerate(rows):
+            if text and self.parts and "  " not in text and text[0] != " " and text[-1] != " " and MARKER not in text and "\0" not in text:
+                words = text.split(" ")
+                found = list(map(known.get, words))
+                cut.append((i, words, found))
+                if None in found:
+                    fresh.update([w for w, ids in zip(words, found, strict=True) if ids is None])
+            elif text:
+                whole.append(i)
+        new = list(fresh)
+        mine = {w: self.packed(e.ids) for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        known.update((w, ids) for w, ids in mine.items() if len(w) <= 64)
+        peers = self.peer.encode([rows[i] for i, *_ in cut], num_threads=1) if cut else []
+        for (i, words, found), peer in zip(cut, peers, strict=True):
+            ids = b"".join([mine[w] if x is None else x for w, x in zip(words, found, strict=True)] if None in found else found)
+            out[i] = (ids, ids == self.packed(peer))
         for i, v in zip(whole, self.whole([rows[i] for i in whole]), strict=True):
             out[i] = v
         return out
