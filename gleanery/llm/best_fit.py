@@ -32,8 +32,8 @@ from gleanery.llm.common import map_batches, materialize, texts
 
 SEQUENCE = 2048
 OPEN_BINS = 512
-#: Sequences' worth of tokens in a group, many times the open bins.
-GROUP = 8192
+#: Sequences' worth of tokens in a group, many times the open bins; and pieces in a group, about, where they are that short.
+GROUP, GROUP_PIECES = 8192, 1 << 20
 #: Pieces that arrive together, for each open bin. One by one, short pieces come too early to fill the last gaps (0.9 % more sequences
 #: than tokens need, instead of 0.1 %); with many more than there are open bins, bins close with large gaps (1.6 % at 8).
 AT_ONCE = 2
@@ -203,13 +203,14 @@ class Bins:
         return number
 
 
-def pack(pieces: DataFrame, capacity: int = SEQUENCE, open_bins: int = OPEN_BINS, group: int = GROUP) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = SEQUENCE, open_bins: int = OPEN_BINS, group: int = GROUP, at_once: int = AT_ONCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length and any other columns); no piece may be longer than ``capacity``.
 
+    ``at_once`` pieces for each open bin arrive together; with 0 each is placed as it comes, which is the online setting and loses more room.
     ``pieces`` is read twice; a table that is costly to make should be written first.
     """
-    tokens = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, math.ceil(tokens / (group * capacity)))
+    tokens, rows = pieces.agg(F.sum("length"), F.count(F.lit(1))).first()
+    groups = max(1, math.ceil((tokens or 0) / (group * capacity)), math.ceil(rows / group_pieces))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -218,7 +219,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, open_bins: int = OPEN_BINS
         bins = Bins(capacity, open_bins)
         lengths = table["length"].to_numpy()
         placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
-        step = AT_ONCE * open_bins
+        step = max(1, at_once * open_bins)
         for at in range(0, len(lengths), step):
             for i in np.argsort(-lengths[at : at + step], kind="stable").tolist():
                 placed[at + i] = bins.place(int(lengths[at + i]))
