@@ -117,7 +117,7 @@ def shape(text: str) -> str:
 #: Fixed table: digits of one length are one text.
 ZEROED = str.maketrans("123456789", "000000000")
 #: Scored segments that a worker remembers, and the longest that it does.
-CACHE, CACHED_CHARS = 1 << 17, 120
+CACHE, CACHED_CHARS = 1 << 14, 120
 
 
 class Tokens:
