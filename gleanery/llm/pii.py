@@ -27,7 +27,7 @@ import random
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -150,6 +150,9 @@ class Tokens:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        return zip(self.starts, self.ends, strict=True)
+
     def before(self, i: int) -> list[str]:
         """The words before token i, three at most, in lower case."""
         return [self.text[self.starts[k] : self.ends[k]].lower() for k in range(max(0, i - 3), i)]
@@ -234,8 +237,9 @@ class SemiMarkov:
             if out:
                 yield i, out
 
-    def lattice(self, tokens: Tokens) -> dict[int, list[tuple[int, list[str]]]]:
-        """By end, the segments' starts and features."""
+    def lattice(self, text: str, tokens: Sequence[tuple[int, int]] | None = None) -> dict[int, list[tuple[int, list[str]]]]:
+        """By end, the segments' starts and features; ``tokens`` are those of the text, found anew if they aren't given as ``Tokens``."""
+        tokens = tokens if isinstance(tokens, Tokens) else Tokens(text)
         by_end: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
         for i, ends in self.candidates(tokens):
             for j in ends:
@@ -374,7 +378,7 @@ class SemiMarkov:
         arcs: list[list[tuple[int, str, float, list[str]]]] = [[] for _ in range(n + 1)]
         for j in range(1, n + 1):
             arcs[j].append((j - 1, OUTSIDE, 0.0, []))
-        for j, segments in self.lattice(tokens).items():
+        for j, segments in self.lattice(text, tokens).items():
             arcs[j] += [(i, kind, self.value(kind, f), f) for i, f in segments for kind in KINDS]
         move = {(a, b): self.move(a, b) for a in labels for b in labels}
         ahead: list[dict[str, float]] = [{OUTSIDE: 0.0}] + [{} for _ in range(n)]
@@ -426,8 +430,9 @@ class SemiMarkov:
                 self.moves[pair] += rate * (path.count(pair) - chance[pair] - penalty * self.moves[pair])
 
     @staticmethod
-    def _as_tokens(tokens: Tokens, spans: list[Span]) -> list[tuple[int, int, str]]:
-        first, last = {a: i for i, a in enumerate(tokens.starts)}, {b: j + 1 for j, b in enumerate(tokens.ends)}
+    def _as_tokens(tokens: Iterable[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int, str]]:
+        pairs = list(tokens)
+        first, last = {a: i for i, (a, _) in enumerate(pairs)}, {b: j + 1 for j, (_, b) in enumerate(pairs)}
         return [(first[a], last[b], kind) for a, b, kind in spans if a in first and b in last]
 
 
