@@ -30,11 +30,9 @@ def postings(items: DataFrame, stop: list[str], stem: DataFrame | None = None) -
 
     Positions run on from the title to the body and count stop words.
     """
-    title = F.size(lexemes(F.coalesce(F.col("title"), F.lit(""))))
-    body = items.select("entity_id", F.posexplode(lexemes(F.col("body"))).alias("pos", "lexeme"), title.alias("before"))
-    body = body.select("entity_id", "lexeme", (F.col("pos") + F.col("before")).cast("int").alias("pos"), F.lit("B").alias("weight"))
-    head = items.select("entity_id", F.posexplode(lexemes(F.col("title"))).alias("pos", "lexeme")).select("entity_id", "lexeme", F.col("pos").cast("int").alias("pos"), F.lit("A").alias("weight"))
-    out = head.unionByName(body)
+    title, body = (lexemes(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
+    out = items.select("entity_id", F.size(title).alias("before"), F.posexplode(F.concat(title, body)).alias("pos", "lexeme"))
+    out = out.select("entity_id", "lexeme", F.col("pos").cast("int").alias("pos"), F.when(F.col("pos") < F.col("before"), "A").otherwise("B").alias("weight"))
     out = out.filter(~F.col("lexeme").isin(stop)) if stop else out
     if stem is not None:
         known = stem.select(F.col("word").alias("lexeme"), F.col("lexeme").alias("stemmed"))

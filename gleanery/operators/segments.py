@@ -7,12 +7,14 @@ tombstones; a search reads the live set as of one commit. Where there are many s
 smallest are merged into one, without what is dead in them; tombstones that no older segment is left for are
 dropped. Of two jobs that add at once, one commits and the other adds again.
 
-Each task writes the postings of the documents that it reads, in the order of their lexemes, so they are computed once and
-none is sent anywhere. A search skips the pages of each file whose least and greatest lexemes exclude its words.
+Each task writes the postings of its documents, in the order of their lexemes, so they are computed once and none is sent
+anywhere. Where an index follows a table, the texts are dealt to as many tasks as the size of its files asks for, so what a task
+sorts stays the same however large the files are. A search skips the pages of each file whose least and greatest lexemes exclude its words.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -25,6 +27,8 @@ from gleanery.sources.commits import Commits, Conflict
 
 #: Segments beyond which the smallest are merged.
 MOST_SEGMENTS = 8
+#: Bytes of a table's files, and postings of merged segments, whose postings one task sorts and writes.
+TASK_BYTES, TASK_POSTINGS = 4 << 20, 2 << 20
 
 Make = Callable[[DataFrame], DataFrame]
 
@@ -67,16 +71,18 @@ class Segments:
 
     def _store(self, name: str, postings: DataFrame) -> None:
         own = postings.select("lexeme", "entity_id", "pos", "weight")
-        own.sortWithinPartitions("lexeme", "entity_id", "pos").write.option("compression", "zstd").parquet(f"{self.folder.path}/{name}/postings")
+        own.sortWithinPartitions("lexeme").write.option("compression", "zstd").parquet(f"{self.folder.path}/{name}/postings")
 
-    def add(self, items: DataFrame, gone: DataFrame | None = None, files: list[str] = (), dropped: list[str] = (), tries: int = 5) -> int:
+    def add(self, items: DataFrame, gone: DataFrame | None = None, files: list[str] = (), dropped: list[str] = (), tries: int = 5, tasks: int | None = None) -> int:
         """Adds items (entity_id, ..., and ``file`` if the index follows a table); those with a known id replace it. Documents ``gone`` (entity_id) leave.
 
-        ``files`` and ``dropped`` are the names of files that the commit adds to those it has read, and takes away. Gives the commit's number.
+        ``files`` and ``dropped`` are the names of files that the commit adds to those it has read, and takes away.
+        ``tasks`` is how many share the making of postings; without it, each reads its own items. Gives the commit's number.
         """
         name = f"segment-{uuid.uuid4().hex}"
         columns = [c for c in items.columns if c != "file"]
-        self._store(name, self.make(items.select(*columns)))
+        own = items.select(*columns)
+        self._store(name, self.make(own.repartition(tasks, "entity_id") if tasks else own))
         held = items.select("entity_id", F.col("file") if "file" in items.columns else F.lit("").alias("file"))
         held.write.parquet(f"{self.folder.path}/{name}/documents")
         held = self._read(f"{name}/documents", held.schema)
@@ -108,7 +114,8 @@ class Segments:
         small, rest = segments[: len(segments) - self.most // 2], segments[len(segments) - self.most // 2 :]
         newest = max(s["number"] for s in small)
         name = f"segment-{uuid.uuid4().hex}"
-        self._store(name, self._postings(entry, small))
+        rows = self._postings(entry, small)
+        self._store(name, rows.repartition(math.ceil(max(1, rows.count()) / TASK_POSTINGS), "entity_id"))
         documents = self.documents(entry | {"segments": small})
         if entry["dead"]:
             dead = reduce(lambda a, b: a.unionByName(b), [self._read(d["name"], f"entity_id {entry['id_type']}").withColumn("died", F.lit(d["number"])) for d in entry["dead"]])
@@ -152,5 +159,5 @@ def followed(index: Segments, table: DataFrame, items: Callable[[DataFrame], Dat
     gone = None
     if dropped and entry.get("segments"):
         gone = index.documents(entry).join(F.broadcast(spark.createDataFrame([(f,) for f in dropped], "file string")), "file", "left_semi").select("entity_id")
-    index.add(made, gone, fresh, dropped)
+    index.add(made, gone, fresh, dropped, tasks=math.ceil(sum(int(f.rsplit("|", 2)[1]) for f in fresh) / TASK_BYTES))
     return index.live()

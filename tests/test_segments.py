@@ -102,3 +102,29 @@ def test_queries_follow_their_table(spark, tmp_path, name):
     first = find()
     docs((3, "s", "licensed under apache license, tokens"), (4, None, "the license")).write.mode("append").parquet(f"{at}/documents.parquet")
     assert find() == first | ({3, 4} if name != "kw_all" else {3})
+
+
+def test_a_large_file_is_dealt_to_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/docs"
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, rng.choice(WORDS), " ".join(f"w{rng.randrange(9999)}" for _ in range(300))) for i in range(200)], ITEMS)
+    docs.coalesce(1).write.parquet(at)
+    size = sum(f.stat().st_size for f in (tmp_path / "docs").glob("part*"))
+    monkeypatch.setattr(segments, "TASK_BYTES", size // 8)
+    index = segments.Segments(spark, f"file://{tmp_path}/index", postings)
+    live = segments.followed(index, spark.read.parquet(at), lambda d: d)
+    assert rows(live) == rows(postings(docs))
+    written = [spark.read.parquet(f"file://{f}").count() for f in tmp_path.glob("index/segment-*/postings/part*")]
+    assert len(written) >= 8 and max(written) < sum(written) / 3
+
+
+def test_a_merge_is_dealt_to_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "TASK_POSTINGS", 100)
+    index = segments.Segments(spark, f"file://{tmp_path}", postings, most=2)
+    held = [(i, "t", " ".join(WORDS)) for i in range(120)]
+    for k in range(3):
+        index.add(spark.createDataFrame(held[k * 40 : (k + 1) * 40], ITEMS).coalesce(1))
+    segment = max(index.commits.latest()[1]["segments"], key=lambda s: s["documents"])
+    assert segment["documents"] == 80 and rows(index.live()) == rows(postings(spark.createDataFrame(held, ITEMS)))
+    written = [spark.read.parquet(f"file://{f}").count() for f in (tmp_path / segment["name"] / "postings").glob("part*")]
+    assert len(written) > 4 and max(written) < 300
