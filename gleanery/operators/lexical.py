@@ -25,14 +25,19 @@ def lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
 
-def postings(items: DataFrame, stop: list[str], stem: DataFrame | None = None) -> DataFrame:
-    """(entity_id, lexeme, pos, weight) of items (entity_id, title, body). ``stem`` maps (word, lexeme); words that it lacks stay.
+def postings(items: DataFrame, stop: list[str], stem: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
+    """(entity_id, lexeme, pos, weight) of items (entity_id, title, body). ``stem`` maps (word, lexeme), where words that it lacks stay, or makes lexemes of an array of words, which sends no posting anywhere.
 
     Positions run on from the title to the body and count stop words.
     """
     title, body = (lexemes(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
-    out = items.select("entity_id", F.size(title).alias("before"), F.posexplode(F.concat(title, body)).alias("pos", "lexeme"))
+    words = F.concat(title, body)
+    if callable(stem):
+        words = stem(F.transform(words, lambda w: F.when(~w.isin(stop), w)) if stop else words)
+    out = items.select("entity_id", F.size(title).alias("before"), words.alias("words")).select("entity_id", "before", F.posexplode("words").alias("pos", "lexeme"))
     out = out.select("entity_id", "lexeme", F.col("pos").cast("int").alias("pos"), F.when(F.col("pos") < F.col("before"), "A").otherwise("B").alias("weight"))
+    if callable(stem):
+        return out.filter("lexeme IS NOT NULL")
     out = out.filter(~F.col("lexeme").isin(stop)) if stop else out
     if stem is not None:
         known = stem.select(F.col("word").alias("lexeme"), F.col("lexeme").alias("stemmed"))

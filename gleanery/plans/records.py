@@ -96,9 +96,8 @@ def kw_length_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def english(items: DataFrame) -> DataFrame:
-    """Postings of stems; each distinct word is stemmed once."""
-    words = items.select(F.explode(F.array_distinct(F.concat(*(lexical.lexemes(F.coalesce(c, F.lit(""))) for c in ("title", "body"))))).alias("word"))
-    return lexical.postings(items, stems.STOP_WORDS, stems.stem_table(words))
+    """Postings of stems, found text by text; each distinct word of a batch is stemmed once."""
+    return lexical.postings(items, stems.STOP_WORDS, stems.stemmed_all)
 
 
 @R.query()

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gleanery.functions import stems
 from gleanery.operators import lexical, segments
+from gleanery.plans import records
 
 ITEMS = "entity_id long, title string, body string"
 WORDS = "red green blue yellow black white grey brown".split()
@@ -128,3 +130,14 @@ def test_a_merge_is_dealt_to_tasks_of_bounded_size(spark, tmp_path, monkeypatch)
     assert segment["documents"] == 80 and rows(index.live()) == rows(postings(spark.createDataFrame(held, ITEMS)))
     written = [spark.read.parquet(f"file://{f}").count() for f in (tmp_path / segment["name"] / "postings").glob("part*")]
     assert len(written) > 4 and max(written) < 300
+
+
+def test_stems_are_found_without_sending_postings(spark):
+    texts = ["Licensing the licensed tokens", None, "", "the of", "Running runs ran, tokens Ünïcode running " * 9]
+    items = spark.createDataFrame([(i, title, body) for i, (title, body) in enumerate((t, b) for t in ("The Tokens", None) for b in texts)], ITEMS)
+    words = items.select(F.explode(F.concat(*(lexical.lexemes(F.coalesce(c, F.lit(""))) for c in ("title", "body")))).alias("word"))
+    own = records.english(items)
+    assert rows(own) == rows(lexical.postings(items, stems.STOP_WORDS, stems.stem_table(words)))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    held = spark.createDataFrame([(["running", None, ""],), (None,), ([],)], "words array<string>")
+    assert [r[0] for r in held.coalesce(1).select(stems.stemmed_all("words")).collect()] == [["run", None, ""], None, []]
