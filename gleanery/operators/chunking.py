@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.batches import map_slices
 from gleanery.functions.text import LINE_END, lines, stripped
 
 # Fixed values of chunking: sizes in tokens of four characters, and the overlap of a cut.
@@ -120,19 +121,18 @@ def note_chunks(body: str) -> list[tuple[list[str], str]]:
 
 
 def chunks(notes: DataFrame, id_col: str = "note_id", body_col: str = "body") -> DataFrame:
-    """(note_id, position, path, text) of every note's chunks, note by note over Arrow batches: no shuffle. A null body has none."""
+    """(note_id, position, path, text) of every note's chunks, note by note over small Arrow batches: no shuffle. A null body has none."""
     own = notes.select(F.col(id_col).alias("note_id"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
     kind = own.schema["note_id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            made = [note_chunks(b) for b in batch.column(1).to_pylist()]
-            at = pa.array([r for r, m in enumerate(made) for _ in m], pa.int64())
-            flat = [c for m in made for c in m]
-            cols = [batch.column(0).take(at), pa.array([k for m in made for k in range(len(m))], pa.int32()), pa.array([p for p, _ in flat], pa.list_(pa.string())), pa.array([t for _, t in flat], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["note_id", "position", "path", "text"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [note_chunks(b) for b in batch.column(1).to_pylist()]
+        at = pa.array([r for r, m in enumerate(made) for _ in m], pa.int64())
+        flat = [c for m in made for c in m]
+        cols = [batch.column(0).take(at), pa.array([k for m in made for k in range(len(m))], pa.int32()), pa.array([p for p, _ in flat], pa.list_(pa.string())), pa.array([t for _, t in flat], pa.string())]
+        return pa.RecordBatch.from_arrays(cols, ["note_id", "position", "path", "text"])
 
-    return own.mapInArrow(run, f"note_id {kind}, position int, path array<string>, text string")
+    return map_slices(own, run, f"note_id {kind}, position int, path array<string>, text string")
 
 
 def item_chunks(items: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,3 +449,14 @@ def test_searches_without_the_question_s_vector(spark, tmp_path):
     for name in ("vector_best_chunk", "vector_best_chunk_ids", "top_chunks_in_order", "vectors_like_first"):
         assert entry.queries()[name](spark, str(tmp_path)).count() == 0
     assert [r["entity_id"] for r in entry.queries()["hybrid_retrieve"](spark, str(tmp_path)).collect()] == [1]
+
+
+def test_chunks_are_made_over_small_batches(spark, monkeypatch):
+    from gleanery.functions import batches
+
+    made = []
+    monkeypatch.setattr(chunking, "map_slices", lambda df, step, schema: made.append(df) or batches.map_slices(df, step, schema))
+    notes = spark.createDataFrame([(i, f"# Head {i}\n" + "words " * 99) for i in range(1200)], "note_id long, body string").coalesce(1)
+    assert chunking.chunks(notes).count() == 1200 and len(made) == 1
+    sizes = [r["n"] for r in batches.map_slices(notes, lambda b: pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}), "n long").collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= batches.BATCH_ROWS
