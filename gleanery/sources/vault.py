@@ -13,12 +13,13 @@ from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from gleanery.functions.batches import map_slices
 from gleanery.functions.heads import head_and_body, head_tags
 from gleanery.functions.text import inline_tags
 
@@ -181,13 +182,16 @@ def changes(spark: SparkSession, root: str) -> DataFrame:
     return _with_text(spark.readStream.format("vault_changes").option("path", root).load())
 
 
-@F.pandas_udf(StructType([StructField("tags", ArrayType(StringType())), StructField("fields", StringType()), StructField("body", StringType())]))  # types, as a string needs a session
-def split_note(text: pd.Series) -> pd.DataFrame:
-    rows = [head_and_body(t) for t in text]
-    return pd.DataFrame({"tags": [head_tags(f) for f, _ in rows], "fields": [json.dumps({str(k): v for k, v in f.items()}, default=str, ensure_ascii=False) for f, _ in rows], "body": [b for _, b in rows]})
+def split_notes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Batches (path, modified_at, text) of notes as (path, modified_at, tags, fields, body), tags of the head alone."""
+    rows = [head_and_body(t) for t in batch.column(2).to_pylist()]
+    fields = [json.dumps({str(k): v for k, v in f.items()}, default=str, ensure_ascii=False) for f, _ in rows]
+    cols = [pa.array([head_tags(f) for f, _ in rows], pa.list_(pa.string())), pa.array(fields, pa.string()), pa.array([b for _, b in rows], pa.string())]
+    return pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["path", "modified_at", "tags", "fields", "body"])
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """(path, modified_at, tags, fields, body) of vault files (path, modified_at, text): tags of the head and of the text, sorted, each once; the head's fields as JSON."""
-    own = files.withColumn("s", split_note(F.coalesce("text", F.lit(""))))
-    return own.select("path", "modified_at", F.array_sort(F.array_union("s.tags", inline_tags(F.col("s.body")))).alias("tags"), "s.fields", F.col("s.body").alias("body"))
+    own = files.select("path", "modified_at", F.coalesce("text", F.lit("")).alias("text"))
+    made = map_slices(own, split_notes, StructType([*own.schema.fields[:2], StructField("tags", ArrayType(StringType())), StructField("fields", StringType()), StructField("body", StringType())]))
+    return made.withColumn("tags", F.array_sort(F.array_union("tags", inline_tags(F.col("body")))))

@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+import json
 import os
 import random
 import re
@@ -460,3 +461,14 @@ def test_chunks_are_made_over_small_batches(spark, monkeypatch):
     assert chunking.chunks(notes).count() == 1200 and len(made) == 1
     sizes = [r["n"] for r in batches.map_slices(notes, lambda b: pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}), "n long").collect()]
     assert sum(sizes) == 1200 and max(sizes) <= batches.BATCH_ROWS
+
+
+def test_heads_are_read_over_small_batches(spark, monkeypatch):
+    from gleanery.functions import batches
+
+    made = []
+    monkeypatch.setattr(vault, "map_slices", lambda df, step, schema: made.append(df) or batches.map_slices(df, step, schema))
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 6)
+    files = spark.createDataFrame([(str(i), None if i % 2 else at, f"---\ntags: [t{i}]\n---\n\nwords #in " if i % 3 else None) for i in range(1200)], "path string, modified_at timestamp, text string").coalesce(1)
+    own = {r["path"]: tuple(r)[1:] for r in vault.parsed(files).collect()}
+    assert len(made) == 1 and own == {str(i): (None if i % 2 else at, ["in", f"t{i}"] if i % 3 else [], json.dumps({"tags": [f"t{i}"]}) if i % 3 else "{}", "words #in " if i % 3 else "") for i in range(1200)}
