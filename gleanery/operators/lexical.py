@@ -1,7 +1,7 @@
 """Keyword search over postings.
 
 A posting is (entity_id, lexeme, pos, weight): weight A for titles and tags, B for the
-body. A search reads only the postings of its own lexemes, gathers them once by entity
+body. Stored postings are gathered into lists (lexeme, weight, entity_ids, positions). A search reads only the postings of its own lexemes, gathers them once by entity
 with sums made before the shuffle, and ranks: for each query lexeme tf / (tf + 1), where
 tf sums 1.0 for A and 0.4 for B, averaged over the lexemes. Ranks are comparable within
 one query only.
@@ -14,11 +14,19 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import words as W
+from gleanery.functions.batches import map_runs
+
 WORD = "[a-z0-9]+"
 WEIGHTS = {"A": 1.0, "B": 0.4}
+#: Bytes of texts or of postings that are gathered into lists at a time.
+RUN_BYTES = 16 << 20
 
 
 def lexemes(text: Column) -> Column:
@@ -34,10 +42,11 @@ def postings(items: DataFrame, stop: list[str], stem: DataFrame | Callable[[Colu
     words = F.concat(title, body)
     if callable(stem):
         words = stem(F.transform(words, lambda w: F.when(~w.isin(stop), w)) if stop else words)
-    out = items.select("entity_id", F.size(title).alias("before"), words.alias("words")).select("entity_id", "before", F.posexplode("words").alias("pos", "lexeme"))
+    out = items.select("entity_id", F.size(title).alias("before"), words.alias("words")).select("entity_id", "before", F.posexplode_outer("words").alias("pos", "lexeme"))  # without outer, a filter cuts all words once more where the texts are read
     out = out.select("entity_id", "lexeme", F.col("pos").cast("int").alias("pos"), F.when(F.col("pos") < F.col("before"), "A").otherwise("B").alias("weight"))
+    out = out.filter("lexeme IS NOT NULL")
     if callable(stem):
-        return out.filter("lexeme IS NOT NULL")
+        return out
     out = out.filter(~F.col("lexeme").isin(stop)) if stop else out
     if stem is not None:
         known = stem.select(F.col("word").alias("lexeme"), F.col("lexeme").alias("stemmed"))
@@ -45,6 +54,51 @@ def postings(items: DataFrame, stop: list[str], stem: DataFrame | Callable[[Colu
     return out
 
 
+def lists(items: DataFrame, stop: list[str], stem: Callable[[str], str] | None = None) -> DataFrame:
+    """The postings of items (entity_id, title, body), gathered by lexeme and weight over ``RUN_BYTES`` of texts at a time; each run is in the order of its lexemes."""
+    stopped = pa.array(stop, pa.string())
+
+    def run(batch: pa.RecordBatch):
+        ids, title, body = batch.columns
+        (heads, before), (rest, after) = W.words(title), W.words(body)
+        coded = pa.concat_arrays([heads, rest]).dictionary_encode()
+        made = pc.if_else(pc.is_in(coded.dictionary, stopped), pa.scalar(None, pa.string()), coded.dictionary)
+        made = pa.array([w and stem(w) for w in made.to_pylist()], pa.string()) if stem else made
+        lexeme, names = W.ranked(made.dictionary_encode())
+        (owner, pos), (owner2, pos2) = W.places(before), W.places(after, before)
+        weight = np.repeat([0, 1], [len(heads), len(rest)])
+        return W.lists((lexeme[coded.indices.to_numpy()], names), (weight, pa.array(["A", "B"])), ids, np.concatenate([owner, owner2]), np.concatenate([pos, pos2]))
+
+    own = items.select("entity_id", *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("title", "body")))
+    return map_runs(own, run, _lists_schema(own), RUN_BYTES)
+
+
+def gathered(postings: DataFrame) -> DataFrame:
+    """Postings as lists, gathered as they come, ``RUN_BYTES`` at a time."""
+
+    def run(batch: pa.RecordBatch):
+        ids, lexeme, pos, weight = batch.columns
+        return W.lists(W.ranked(pc.dictionary_encode(lexeme)), W.ranked(pc.dictionary_encode(weight)), ids, np.arange(len(ids)), pos.to_numpy())
+
+    own = postings.select("entity_id", "lexeme", "pos", "weight")
+    return map_runs(own, run, _lists_schema(own), RUN_BYTES)
+
+
+def _lists_schema(own: DataFrame) -> str:
+    return lists_schema(own.schema["entity_id"].dataType.simpleString())
+
+
+def lists_schema(kind: str) -> str:
+    return f"lexeme string, weight string, entity_ids array<{kind}>, positions array<int>"
+
+
+def spread(lists: DataFrame) -> DataFrame:
+    """The postings of lists. No list is empty; without outer, a filter that asks so would be added to what a scan reads."""
+    each = lists.select("*", F.posexplode_outer("entity_ids").alias("at", "entity_id"))
+    kept = [c for c in lists.columns if c not in ("lexeme", "weight", "entity_ids", "positions")]
+    return each.select("entity_id", "lexeme", F.get("positions", "at").alias("pos"), "weight", *kept)
+
+
 @dataclass
 class Term:
     """One word or phrase of a query."""

@@ -7,9 +7,10 @@ tombstones; a search reads the live set as of one commit. Where there are many s
 smallest are merged into one, without what is dead in them; tombstones that no older segment is left for are
 dropped. Of two jobs that add at once, one commits and the other adds again.
 
-Each task writes the postings of its documents, in the order of their lexemes, so they are computed once and none is sent
-anywhere. Where an index follows a table, the texts are dealt to as many tasks as the size of its files asks for, so what a task
-sorts stays the same however large the files are. A search skips the pages of each file whose least and greatest lexemes exclude its words.
+Each task writes the postings of its documents as lists by lexeme and weight, so they are computed once and none is sent
+anywhere. The lists of some megabytes of texts are a run, in the order of its lexemes; few tasks have more than one. Where an index
+follows a table, the texts are dealt to as many tasks as the size of its files asks for, so what a task gathers stays the same however
+large the files are. A search skips the pages of each file whose least and greatest lexemes exclude its words.
 """
 
 from __future__ import annotations
@@ -23,18 +24,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gleanery.operators import lexical
 from gleanery.sources.commits import Commits, Conflict
 
 #: Segments beyond which the smallest are merged.
 MOST_SEGMENTS = 8
-#: Bytes of a table's files, and postings of merged segments, whose postings one task sorts and writes.
+#: Bytes of a table's files, and postings of merged segments, whose postings one task gathers and writes.
 TASK_BYTES, TASK_POSTINGS = 4 << 20, 2 << 20
+#: Lists of a page, of which a search reads those that may have its words.
+PAGE_LISTS = 1000
 
 Make = Callable[[DataFrame], DataFrame]
 
 
 class Segments:
-    """An index under a folder. ``make`` gives the postings (entity_id, lexeme, pos, weight) of items (entity_id, ...)."""
+    """An index under a folder. ``make`` gives the postings of items (entity_id, ...), as rows (entity_id, lexeme, pos, weight) or as lists of them."""
 
     def __init__(self, spark: SparkSession, folder: str, make: Make, most: int = MOST_SEGMENTS) -> None:
         self.spark, self.make, self.most = spark, make, most
@@ -47,8 +51,7 @@ class Segments:
     def _postings(self, entry: dict, segments: list[dict]) -> DataFrame:
         """Live postings of some of a commit's segments."""
         kind = entry["id_type"]
-        schema = f"entity_id {kind}, lexeme string, pos int, weight string"
-        parts = [self._read(f"{s['name']}/postings", schema).withColumn("segment", F.lit(s["number"])) for s in segments]
+        parts = [lexical.spread(self._read(f"{s['name']}/postings", lexical.lists_schema(kind))).withColumn("segment", F.lit(s["number"])) for s in segments]
         rows = reduce(lambda a, b: a.unionByName(b), parts)
         if not entry["dead"]:
             return rows.drop("segment")
@@ -70,8 +73,8 @@ class Segments:
         return self._postings(entry, entry["segments"])
 
     def _store(self, name: str, postings: DataFrame) -> None:
-        own = postings.select("lexeme", "entity_id", "pos", "weight")
-        own.sortWithinPartitions("lexeme").write.option("compression", "zstd").parquet(f"{self.folder.path}/{name}/postings")
+        own = postings if "positions" in postings.columns else lexical.gathered(postings)
+        own.write.option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_LISTS).parquet(f"{self.folder.path}/{name}/postings")
 
     def add(self, items: DataFrame, gone: DataFrame | None = None, files: list[str] = (), dropped: list[str] = (), tries: int = 5, tasks: int | None = None) -> int:
         """Adds items (entity_id, ..., and ``file`` if the index follows a table); those with a known id replace it. Documents ``gone`` (entity_id) leave.

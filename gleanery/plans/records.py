@@ -103,7 +103,7 @@ def english(items: DataFrame) -> DataFrame:
 @R.query()
 def kw_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best for words in other forms than the texts have, over an index of English stems. No SQL: it has no stemmer."""
-    index = retrieval.index(spark, sf_dir, "postings-english", english)
+    index = retrieval.index(spark, sf_dir, "lists-english", lambda own: lexical.lists(own, stems.STOP_WORDS, stems.known))
     return lexical.top(lexical.search(index, "licensing the tokens", stems.STOP_WORDS, "any", stem=stems.stem), 50)
 
 

@@ -38,7 +38,7 @@ def items(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("entity_id"), F.col("source").alias("title"), F.col("text").alias("body"), *(["file"] if "file" in docs.columns else []))
 
 
-def index(spark: SparkSession, sf_dir: str, name: str = "postings", make: segments.Make = lambda own: lexical.postings(own, STOP)) -> DataFrame:
+def index(spark: SparkSession, sf_dir: str, name: str = "lists", make: segments.Make = lambda own: lexical.lists(own, STOP)) -> DataFrame:
     """The documents' live postings; files that were added to the table or changed since the last call are indexed first."""
     at = md5(sf_dir.encode()).hexdigest()[:16]
     return segments.followed(segments.Segments(spark, f"{shared_folder(spark)}/{name}-{at}", make), table(spark, sf_dir, "documents"), items)
